@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from colscope import constants as K
 
 # Every Unicode White_Space character; trim() alone strips blanks only.
-WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    + "".join(chr(c) for c in range(0x2000, 0x200B))
-    + "    　"
+WHITESPACE = "".join(
+    chr(c)
+    for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 )
 # Number grammar of a float literal: sign, digits with single underscores, exponent, inf, nan.
 _DIGITS = r"[0-9](_?[0-9])*"
