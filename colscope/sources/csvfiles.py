@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.functions.numeric import INF
-from colscope.sources.uploads import encoding_detect, read_uploads
 
 SPARK_CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "latin-1": "ISO-8859-1"}
 
 
+def text_encoding(spark: SparkSession, path: str) -> str:
+    """Encoding of text files of any size: lines are judged where they lie, files are split as usual."""
+    line = spark.read.text(path)
+    start = F.hex(F.substring(F.col("value").cast("binary"), 1, 2))
+    seen = line.agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+                    F.bool_or(start.isin("FFFE", "FEFF")).alias("utf16")).first()
+    return "utf-16" if seen["utf16"] else "utf-8" if seen["utf8"] in (True, None) else "latin-1"
+
+
 def csv_load(spark: SparkSession, path: str, encoding: str | None = None, schema=None, delimiter: str = ",",
              multi_line: bool = False) -> DataFrame:
     """IN1: CSV with a header. Without an encoding, UTF-8 unless some file is not valid UTF-8.
@@ -19,9 +27,7 @@ def csv_load(spark: SparkSession, path: str, encoding: str | None = None, schema
     Quoted line breaks need `multi_line`, which reads each file in one task; leave it off for
     large files so they are split.
     """
-    if encoding is None:
-        found = {r["encoding"] for r in encoding_detect(read_uploads(spark, path)).select("encoding").distinct().collect()}
-        encoding = next((e for e in ("utf-16", "latin-1") if e in found), "utf-8")
+    encoding = encoding or text_encoding(spark, path)
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("sep", delimiter).option(
         "encoding", SPARK_CHARSETS.get(encoding, encoding)).option("multiLine", multi_line)
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
