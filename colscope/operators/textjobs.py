@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colscope.functions import text as X
 
 SPAN_PATTERN = r"(\[[\s\S]*\]|\{[\s\S]*\})"
-ITEM_HEAD = r"^#?\s*([0-9]+)\s*[.):\-]\s*"
+ITEM_HEAD = r"^#?[ \t]*([0-9]+)[ \t]*[.):\-]\s*"
 
 
 def clean_text(c: Column) -> Column:
