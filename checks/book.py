@@ -265,9 +265,9 @@ CTE["pairs"] = """
   select i, j, col_a, col_b, n, case when n >= 3 and not infs and sx > 0 and sy > 0 then r end as r from (
     select a.ordinal as i, b.ordinal as j, any_value(a.name) as col_a, any_value(b.name) as col_b, count(*) as n,
       bool_or(isinf(a.v) or isinf(b.v)) as infs, max(a.v) - min(a.v) as sx, max(b.v) - min(b.v) as sy,
-      covar_pop(case when isfinite(a.v) then a.v - ma.mean end, case when isfinite(b.v) then b.v - mb.mean end)
-        / nullif(stddev_pop(case when isfinite(a.v) then a.v - ma.mean end)
-                 * stddev_pop(case when isfinite(b.v) then b.v - mb.mean end), 0) as r
+      covar_pop(case when isfinite(a.v) then a.v - coalesce(ma.mean,0) end, case when isfinite(b.v) then b.v - coalesce(mb.mean,0) end)
+        / nullif(stddev_pop(case when isfinite(a.v) then a.v - coalesce(ma.mean,0) end)
+                 * stddev_pop(case when isfinite(b.v) then b.v - coalesce(mb.mean,0) end), 0) as r
     from clong a join clong b on a.rid=b.rid and a.ordinal < b.ordinal
       join cmom ma on ma.ordinal=a.ordinal join cmom mb on mb.ordinal=b.ordinal
     where a.v is not null and b.v is not null group by a.ordinal, b.ordinal)"""

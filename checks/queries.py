@@ -7,7 +7,6 @@ query does not profile the table again. `fresh()` forgets it (the benchmark does
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ from colscope.plans.analysis import Analysis
 from colscope.plans.catalogue import Catalogue
 from colscope.schemas import as_finding, union_all
 from colscope.sources import csvfiles, uploads as UP
-from colscope.sources.tables import dirty_orders, nan_to_null, read_table, reversal_orders, spread_orders
+from colscope.sources.tables import REVERSAL_COLUMNS, dirty_orders, nan_to_null, read_table, reversal_orders, spread_orders
 from colscope.streaming.admission import admission_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,7 +143,7 @@ query("in9_dataset_info", _dims, " union all ".join(
 def _sanitized(s, d):
     x = dirty(s, d).select("order_id", "ratio", F.struct(F.col("ratio").alias("r"), F.array("ratio", "amount").alias("a")).alias("n"))
     doc = csvfiles.as_json(x)
-    field = lambda p: F.get_json_object("document", p).cast("double")
+    field = lambda p: F.get_json_object("document", p).try_cast("double")
     return doc.select("order_id", "ratio", field("$.n.r").alias("nested"), field("$.n.a[0]").alias("in_array"),
                       field("$.n.a[1]").alias("amount"))
 
@@ -213,16 +212,17 @@ query("pr9_nearest_quantile_lineitem",
       f"with r as ({book.ranked('(' + _line_long + ')')}) " + " union all ".join(
           f"select 'lineitem' as dataset, ordinal, any_value(name) as name, {q}::double as q, any_value(nn) as nn, {book.nearest(q)} as value"
           " from r group by ordinal" for q in (0.25, 0.5, 0.75)))
-query("pr6_numeric_profile_lineitem",
-      lambda s, d: (lambda m: P.numeric_profile(m).join(P.shape_profile(m).drop("name"), ["dataset", "ordinal"]))(
-          P.moments(read_table(s, d, "lineitem"), "lineitem")),
-      f"with src as ({_line_long}), mom as ({book.moments('src')}) select 'lineitem' as dataset, ordinal, name, {_fin4('mean')},"
-      f" {_fin4('std')}, {_fin4('mn', 'min')}, {_fin4('mx', 'max')}, round(zeros*100.0::double/nn,2) as zeros_pct,"
-      f" round(negatives*100.0::double/nn,2) as negative_pct, {_fin4('skewness')}, {_fin4('kurtosis')} from mom")
-ORACLES["pr6_numeric_profile_lineitem"] = (
-    f"with src as ({_line_long}), mom as ({book.moments('src')}) select 'lineitem' as dataset, ordinal, name, {_fin4('mean')},"
-    f" {_fin4('std')}, {_fin4('mn', 'min')}, {_fin4('mx', 'max')}, round(zeros*100.0::double/nn,2) as zeros_pct,"
-    f" round(negatives*100.0::double/nn,2) as negative_pct, {_fin4('skewness')}, {_fin4('kurtosis')} from mom")
+
+
+def _line_numbers(s, d):
+    m = P.moments(read_table(s, d, "lineitem"), "lineitem")
+    return P.numeric_profile(m).join(P.shape_profile(m).drop("name"), ["dataset", "ordinal"])
+
+
+query("pr6_numeric_profile_lineitem", _line_numbers,
+      f"select 'lineitem' as dataset, ordinal, name, {_fin4('mean')}, {_fin4('std')}, {_fin4('mn', 'min')}, {_fin4('mx', 'max')},"
+      f" round(zeros*100.0::double/nn,2) as zeros_pct, round(negatives*100.0::double/nn,2) as negative_pct, {_fin4('skewness')},"
+      f" {_fin4('kurtosis')} from mom", {"nlong": _line_long})
 query("pr10_inf_count", lambda s, d: P.inf_counts(P.moments(dirty(s, d), book.DATASET)), f"select {_DS}, ordinal, name, inf_count from mom")
 query("pr11_quartiles", lambda s, d: A(s, d).quartiles,
       f"select {_DS}, ordinal, o.name, median, q25, q75, greatest(mn, q25-1.5*(q75-q25)) as whisker_low,"
@@ -414,7 +414,7 @@ finding_query("st10_heteroscedasticity",
 finding_query("st11_near_zero_variance", lambda s, d: ST.near_zero_variance(A(s, d).clean_moments, A(s, d).counts), "st11")
 finding_query("st12_extreme_skewness", lambda s, d: ST.extreme_skewness(A(s, d).clean_moments, A(s, d).clean_order_stats), "st12")
 finding_query("st13_class_imbalance", lambda s, d: ST.class_imbalance(A(s, d).targets, A(s, d).class_counts), "st13")
-_REV = V.sql_view("orders", tuple((n, e) for n, e in __import__("colscope.sources.tables", fromlist=["x"]).REVERSAL_COLUMNS))
+_REV = V.sql_view("(select *, o_custkey as c, o_orderkey as k from orders)", REVERSAL_COLUMNS)
 _groups = f"(select grp, count(*) as n, corr(x, y) as group_r from {_REV} group by grp)"
 query("st14_reversal_stats",
       lambda s, d: ST.reversal_stats(reversal_orders(read_table(s, d, "orders")), "x", "y", "grp", "reversal").select(
@@ -478,14 +478,16 @@ query("fn2_rank_findings", lambda s, d: FN.rank_findings(A(s, d).all_findings).s
 
 
 def order_findings(s: SparkSession, d: str) -> DataFrame:
-    """Findings of three datasets, derived from the orders of each status."""
-    groups = read_table(s, d, "orders").groupBy(F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("col")).agg(
-        F.count(F.lit(1)).alias("n")).withColumn("k", F.substring("col", 1, 1).cast("bigint"))
-    return union_all([
-        as_finding(groups, seq=F.lit(no * 1000).cast("bigint") + F.col("k"), type=F.lit(t), severity=F.lit(sev),
-                   column=F.col("col") if named else F.lit(None), percentage=F.round(F.col("n") / 10, 1),
-                   skewness=F.col("n").cast("double"), count=F.col("n"), message=F.concat(F.lit("seen "), F.col("n").cast("string"), F.lit(" times")))
+    """Findings of three datasets, derived from the orders of each status in one scan."""
+    kinds = F.array(*[
+        F.struct(F.lit(no).alias("no"), F.lit(t).alias("type"), F.lit(sev).alias("severity"), F.lit(named).alias("named"))
         for no, (t, sev, named) in enumerate(book.ORDER_TYPES)])
+    groups = read_table(s, d, "orders").groupBy(F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("col")).agg(
+        F.count(F.lit(1)).alias("n")).withColumn("t", F.explode(kinds))
+    return as_finding(groups, seq=F.col("t.no") * 1000 + F.substring("col", 1, 1).cast("bigint"), type=F.col("t.type"),
+                      severity=F.col("t.severity"), column=F.when(F.col("t.named"), F.col("col")), percentage=F.round(F.col("n") / 10, 1),
+                      skewness=F.col("n").cast("double"), count=F.col("n"),
+                      message=F.concat(F.lit("seen "), F.col("n").cast("string"), F.lit(" times")))
 
 
 def order_models(s: SparkSession) -> DataFrame:
@@ -508,14 +510,13 @@ query("fn3_aggregate_findings", lambda s, d: FN.aggregate_findings(A(s, d).all_f
 query("fn3_aggregate_findings_by_status", lambda s, d: FN.aggregate_findings(order_findings(s, d)).select(
           *MERGED, joined("columns"), "position"),
       f"select {_MERGED_SQL}, position from fagg", book.ORDER_FINDINGS)
-query("fn4_merge_pairs", lambda s, d: merged(FN.merge_pairs(FN._groups(FN.rank_findings(A(s, d).all_findings)))),
+query("fn4_merge_pairs", lambda s, d: merged(FN.merge_pairs(FN.finding_groups(FN.rank_findings(A(s, d).all_findings)))),
       f"select {_MERGED_SQL}, pairtext from fgen_pairs")
 for _k, _fn, _src in (("fn5_merge_ranked", FN.merge_ranked, "fgen_ranked"), ("fn6_merge_listed", FN.merge_listed, "fgen_listed")):
-    query(_k, lambda s, d, f=_fn: merged(f(FN._groups(FN.rank_findings(order_findings(s, d))))).drop("pairtext"),
+    query(_k, lambda s, d, f=_fn: merged(f(FN.finding_groups(FN.rank_findings(order_findings(s, d))))).drop("pairtext"),
           f"select {_MERGED_SQL} from {_src}", book.ORDER_FINDINGS)
-query("fn7_merge_generic", lambda s, d: merged(FN.merge_generic(FN._groups(FN.rank_findings(order_findings(s, d))))).drop("pairtext"),
+query("fn7_merge_generic", lambda s, d: merged(FN.merge_generic(FN.finding_groups(FN.rank_findings(order_findings(s, d))))).drop("pairtext"),
       f"select {_MERGED_SQL} from (select * from fgen_other union all select * from fbare)", book.ORDER_FINDINGS)
-_part_family = book.case_map("fam", ()) if False else None
 query("fn8_model_family",
       lambda s, d: read_table(s, d, "part").select("p_partkey", "p_name", FN.model_family(F.concat("p_name", F.lit(" "), F.element_at(
           F.array(*[F.lit(m) for _, _, m, _ in K.MODELS]), (F.col("p_partkey") % len(K.MODELS) + 1).cast("int")))).alias("family")),
@@ -588,22 +589,14 @@ def suspects(s: SparkSession, d: str) -> DataFrame:
     return named.select(F.lit(book.DATASET).alias("dataset"), col.alias("column"), kind.alias("kind"))
 
 
-query("fn20_external_suspects",
-      lambda s, d: FN.external_suspects(A(s, d).all_findings, A(s, d).schema, A(s, d).targets, suspects(s, d)).where("source = 'external'").select(
-          "dataset", "seq", "type", "severity", "column"),
-      f"""with s as (select distinct case substr(o_orderpriority,1,1) when '1' then 'spike' when '2' then 'final_actual' when '3' then 'churn'
-            when '4' then 'hetero' else 'nowhere' end as col, case when o_orderstatus='F' then 'leakage' else 'metadata' end as kind from orders),
-        f as (select * from ({{F}})), known as (select s.*, ordinal from s join ({{S}}) n on n.name=s.col where col not in (select "column" from ({{T}}))),
-        l as (select * from known where kind='leakage' and col not in (select "column" from f where type='data_leakage_risk' and "column" is not null))
-      select {_DS}, cast(14*1000000000000 + ordinal*100000 as bigint) as seq, 'data_leakage_risk' as type, 'critical' as severity, col as "column" from l
-      union all select {_DS}, cast(15*1000000000000 + ordinal*100000 as bigint), 'metadata_leakage', 'high', col from known where kind='metadata'
-        and col not in (select "column" from f where type in ('data_leakage_risk','metadata_leakage') and "column" is not null)
-        and col not in (select col from l)""".format(F="", S="", T="") if False else None)
 _susp = """(select distinct case substr(o_orderpriority,1,1) when '1' then 'spike' when '2' then 'final_actual' when '3' then 'churn'
    when '4' then 'hetero' else 'nowhere' end as col, case when o_orderstatus='F' then 'leakage' else 'metadata' end as kind from orders)"""
 _known = f"(select s.*, n.ordinal from {_susp} s join schema_ n on n.name=s.col where col not in (select \"column\" from targets))"
 _leaks = f"(select * from {_known} where kind='leakage' and col not in (select \"column\" from findings where type='data_leakage_risk'))"
-ORACLES["fn20_external_suspects"] = book.sql(
+query(
+    "fn20_external_suspects",
+    lambda s, d: FN.external_suspects(A(s, d).all_findings, A(s, d).schema, A(s, d).targets, suspects(s, d)).where(
+        "source = 'external'").select("dataset", "seq", "type", "severity", "column"),
     f"""select {_DS}, cast(14*1000000000000 + ordinal*100000 as bigint) as seq, 'data_leakage_risk' as type, 'critical' as severity, col as "column" from {_leaks}
       union all select {_DS}, cast(15*1000000000000 + ordinal*100000 as bigint), 'metadata_leakage', 'high', col from {_known} where kind='metadata'
         and col not in (select "column" from findings where type in ('data_leakage_risk','metadata_leakage')) and col not in (select col from {_leaks})""")
@@ -764,7 +757,7 @@ _progress = "case step " + " ".join(f"when {no} then {pct}" for no, _, pct in K.
 query("hx6_job_state_rules", lambda s, d: HX.job_state_rules(HX.latest_state(V.view(s, d, "events", V.STATES))),
       f"""select job_id, status, status not in ('completed','failed','cancelled') as cancellable,
         case when status='completed' then 100 else {_progress} end as progress from (
-        select job_id, arg_max(status, (at, event_id)) as status, max(step) as step from {_states} group by job_id)""")
+        select job_id, arg_max(status, (changed_at, event_id)) as status, max(step) as step from {_states} group by job_id)""")
 
 # ================================================================ RL
 

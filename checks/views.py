@@ -20,7 +20,7 @@ REQUESTS = (
              " when 'view' then concat('/api/status/', cast(event_id as varchar(20))) when 'click' then '/api/jobs' else '/api/analyze' end"),
 )
 STATES = (
-    ("job_id", "user_id"), ("event_id", "event_id"), ("at", "ts"), ("step", "cast(event_id%9 as int)"),
+    ("job_id", "user_id"), ("event_id", "event_id"), ("changed_at", "ts"), ("step", "cast(event_id%9 as int)"),
     ("status", "case event_type when 'signup' then 'queued' when 'view' then 'processing' when 'purchase' then 'completed'"
                " when 'error' then 'failed' else 'cancelled' end"),
 )

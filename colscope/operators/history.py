@@ -60,7 +60,7 @@ def history_view(jobs: DataFrame, metadata: DataFrame) -> DataFrame:
 def latest_state(events: DataFrame) -> DataFrame:
     """HX6: last known status per job; map-side partial, so a chatty job costs nothing extra."""
     return events.groupBy("job_id").agg(
-        F.max_by("status", F.struct("at", "event_id")).alias("status"), F.max("step").alias("step"))
+        F.max_by("status", F.struct("changed_at", "event_id")).alias("status"), F.max("step").alias("step"))
 
 
 def job_state_rules(states: DataFrame) -> DataFrame:

@@ -1,15 +1,20 @@
-"""Standardising, principal components and clusters (ST19-ST22)."""
+"""Standardising, principal components and clusters (ST19-ST22).
+
+Tasks reduce their rows to small matrices (cross products, sums per centre); only those reach the
+driver. K-means advances all cluster counts and restarts in the same pass over the cached rows.
+"""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from colscope.functions import numeric as N
+from colscope.functions.session import settle
 from colscope.operators.longform import by_position, columns_of, pos
 
 PCA_DDL = "dataset string, component int, ratio double, cumulative double, n_components int, n_features int"
@@ -17,6 +22,9 @@ ELBOW_DDL = "dataset string, k int, inertia double, drop double, chosen boolean"
 POINTS_DDL = "dataset string, pc1 double, pc2 double, label int, n_clusters int, pc1_var double, pc2_var double"
 MAX_POINTS = 2_000
 K_RANGE = range(2, 7)
+RESTARTS = 5
+SEED_ROWS = 10_000
+TOLERANCE = 1e-4
 
 
 def complete_rows(df: DataFrame, columns=None) -> tuple[DataFrame, list]:
@@ -107,25 +115,99 @@ def pca_summary(df: DataFrame, columns=None, dataset: str = "") -> DataFrame:
     return spark.createDataFrame(rows, PCA_DDL)
 
 
-def _vectors(scaled: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=scaled.columns, outputCol="features").transform(scaled).select("features")
+def _starts(scaled: DataFrame, ks, restarts: int, rows: int):
+    """Starting centres by k-means++ on a bounded uniform sample of the rows."""
+    import numpy as np
 
+    from colscope.operators.stats import row_sample
 
-def _fit(vectors: DataFrame, k: int, max_iter: int):
-    return KMeans(k=k, seed=42, maxIter=max_iter, featuresCol="features", predictionCol="label").fit(vectors)
+    sample = np.array([tuple(r) for r in row_sample(scaled, SEED_ROWS).collect()], dtype="float64")
+    out = []
+    for k in ks:
+        for r in range(restarts):
+            rng = np.random.default_rng((42, k, r))
+            chosen = [sample[rng.integers(len(sample))]]
+            while len(chosen) < k:
+                far = np.min([((sample - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+                total = far.sum()
+                at = rng.choice(len(sample), p=far / total) if total > 0 else rng.integers(len(sample))
+                chosen.append(sample[at])
+            out.append(np.array(chosen))
+    return out
 
 
-def _elbow(vectors: DataFrame, rows: int, max_iter: int):
-    found, previous = [], None
-    for k in K_RANGE:
-        if k >= rows:
+def _assign(scaled: DataFrame, models: dict):
+    """One pass over the rows for all models: rows, cost and coordinate sums of every centre.
+
+    A task sends one row per model and centre, whatever the number of rows it holds.
+    """
+    p = len(scaled.columns)
+
+    def step(batches):
+        import numpy as np
+
+        acc = {m: [np.zeros(len(c)), np.zeros(len(c)), np.zeros((len(c), p))] for m, c in models.items()}
+        for b in batches:
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(p)])
+            for m, c in models.items():
+                d = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)[None, :]
+                near = d.argmin(axis=1)
+                hot = np.zeros(d.shape)
+                hot[np.arange(len(x)), near] = 1.0
+                acc[m][0] += hot.sum(axis=0)
+                acc[m][1] += hot.T @ np.maximum(d[np.arange(len(x)), near], 0.0)
+                acc[m][2] += hot.T @ x
+        rows = [(m, i, a[0][i], a[1][i], a[2][i].tolist()) for m, a in acc.items() for i in range(len(a[0])) if a[0][i]]
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+                 pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows]),
+                 pa.array([r[4] for r in rows], pa.list_(pa.float64()))], names=["m", "c", "n", "cost", "s"])
+
+    parts = scaled.mapInArrow(step, "m int, c int, n double, cost double, s array<double>")
+    return parts.groupBy("m", "c").agg(
+        F.sum("n").alias("n"), F.sum("cost").alias("cost"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")
+    ).collect()
+
+
+def _lloyd(scaled: DataFrame, ks, restarts: int, rows: int, max_iter: int):
+    """Best centres and inertia per k. All models of all restarts advance in the same passes."""
+    import numpy as np
+
+    starts = _starts(scaled, ks, restarts, rows)
+    centres = dict(enumerate(starts))
+    cost = dict.fromkeys(centres, float("inf"))
+    moving = set(centres)
+    for _ in range(max_iter):
+        if not moving:
             break
-        model = _fit(vectors, k, max_iter)
-        cost = model.summary.trainingCost
-        found.append((k, cost, None if previous is None else previous - cost, model))
+        new = {m: centres[m].copy() for m in moving}
+        total = dict.fromkeys(moving, 0.0)
+        for r in _assign(scaled, {m: centres[m] for m in sorted(moving)}):
+            new[r["m"]][r["c"]] = np.array(r["s"]) / r["n"]
+            total[r["m"]] += r["cost"]
+        for m in list(moving):
+            cost[m] = total[m]
+            if ((new[m] - centres[m]) ** 2).sum() <= TOLERANCE:
+                moving.discard(m)
+            centres[m] = new[m]
+    best = {}
+    for m, c in centres.items():
+        k = len(c)
+        if k not in best or cost[m] < best[k][0]:
+            best[k] = (cost[m], c)
+    return best
+
+
+def _elbow(scaled: DataFrame, rows: int, max_iter: int, restarts: int):
+    """(k, inertia, drop) for every k, and the k with the largest drop (2 when there is none)."""
+    models = _lloyd(scaled, [k for k in K_RANGE if k < rows], restarts, rows, max_iter)
+    found, previous = [], None
+    for k, (cost, _) in sorted(models.items()):
+        found.append((k, cost, None if previous is None else previous - cost))
         previous = cost
-    best = max((f for f in found if f[2] is not None and f[2] > 0), key=lambda f: (f[2], -f[0]), default=found[0])
-    return found, best
+    best = max((f for f in found if f[2] is not None and f[2] > 0), key=lambda f: (f[2], -f[0]), default=found[0])[0]
+    return found, best, models
 
 
 def _prepared(df: DataFrame, columns):
@@ -139,22 +221,21 @@ def _prepared(df: DataFrame, columns):
     return scaled, scale["rows"]
 
 
-def kmeans_elbow(df: DataFrame, columns=None, dataset: str = "", max_iter: int = 100) -> DataFrame:
+def kmeans_elbow(df: DataFrame, columns=None, dataset: str = "", max_iter: int = 100, restarts: int = RESTARTS) -> DataFrame:
     """ST21: inertia for 2 to 6 clusters; the largest drop against one cluster fewer is chosen."""
     spark = df.sparkSession
     ready = _prepared(df, columns)
     if ready is None:
         return spark.createDataFrame([], ELBOW_DDL)
     scaled, rows = ready
-    found, best = _elbow(_vectors(scaled), rows, max_iter)
+    found, best, _ = _elbow(scaled, rows, max_iter, restarts)
     scaled.unpersist()
     return spark.createDataFrame(
-        [(dataset, k, float(cost), None if drop is None else float(drop), k == best[0]) for k, cost, drop, _ in found],
-        ELBOW_DDL)
+        [(dataset, k, float(cost), None if drop is None else float(drop), k == best) for k, cost, drop in found], ELBOW_DDL)
 
 
 def cluster_preview(df: DataFrame, columns=None, dataset: str = "", max_points: int = MAX_POINTS,
-                    max_iter: int = 100) -> DataFrame:
+                    max_iter: int = 100, restarts: int = RESTARTS) -> DataFrame:
     """ST22: cluster labels and the first two component scores of at most `max_points` rows."""
     from colscope.operators.stats import row_sample
 
@@ -163,7 +244,7 @@ def cluster_preview(df: DataFrame, columns=None, dataset: str = "", max_points:
     if ready is None:
         return spark.createDataFrame([], POINTS_DDL)
     scaled, rows = ready
-    _, best = _elbow(_vectors(scaled), rows, max_iter)
+    _, best, models = _elbow(scaled, rows, max_iter, restarts)
     values, vectors = _components(scaled, rows)
     share = values / (values.sum() or 1.0)
 
@@ -171,9 +252,12 @@ def cluster_preview(df: DataFrame, columns=None, dataset: str = "", max_points:
         terms = [F.col(n) * F.lit(float(w)) for n, w in zip(scaled.columns, vectors[:, component])]
         return F.round(sum(terms[1:], terms[0]), 4)
 
-    chosen = row_sample(scaled.withColumns({"pc1": score(0), "pc2": score(1)}), max_points)
-    assembled = VectorAssembler(inputCols=scaled.columns, outputCol="features").transform(chosen)
-    return best[3].transform(assembled).select(
-        F.lit(dataset).alias("dataset"), "pc1", "pc2", F.col("label").cast("int").alias("label"),
-        F.lit(best[0]).alias("n_clusters"), F.lit(round(float(share[0]), 4)).alias("pc1_var"),
-        F.lit(round(float(share[1]), 4)).alias("pc2_var"))
+    def distance(centre):
+        terms = [(F.col(n) - F.lit(float(v))) ** 2 for n, v in zip(scaled.columns, centre)]
+        return sum(terms[1:], terms[0])
+
+    far = F.array(*[distance(c) for c in models[best][1]])
+    points = settle(row_sample(scaled, max_points).select(
+        F.lit(dataset).alias("dataset"), score(0).alias("pc1"), score(1).alias("pc2"),
+        (F.array_position(far, F.array_min(far)) - 1).cast("int").alias("label"), F.lit(best).alias("n_clusters"),
+        F.lit(round(float(share[0]), 4)).alias("pc1_var"), F.lit(round(float(share[1]), 4)).alias("pc2_var"))

@@ -18,6 +18,11 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def slice_no(t: Column, width_us: int) -> Column:
+    """Number of the time slice, in whole microseconds."""
+    return ((t - F.pmod(t, F.lit(width_us))) / width_us).cast("bigint")
+
+
 def requests_in_window(events: DataFrame, key: str, ts: str, window_s: int = 60, slice_s: int = SLICE_S) -> DataFrame:
     """RL1: requests of the key in the trailing window, for every (key, time) that has any.
 
@@ -33,15 +38,12 @@ def requests_in_window(events: DataFrame, key: str, ts: str, window_s: int = 60,
     points = hits.withColumn("p", F.explode(F.array(
         F.struct(F.col("t").alias("at"), F.lit(1).alias("sign"), F.col("n").alias("add")),
         F.struct((F.col("t") - w_us).alias("at"), F.lit(-1).alias("sign"), F.lit(0).cast("bigint").alias("add")),
-    ))).select("key", "t", "n", "p.*").withColumn("slice", F.floor(F.col("at") / s_us))
+    ))).select("key", "t", "n", "p.*").withColumn("slice", slice_no(F.col("at"), s_us))
     inside = Window.partitionBy("key", "slice").orderBy("at", "sign").rowsBetween(Window.unboundedPreceding, 0)
-    running = points.withColumn("within", F.sum("add").over(inside))
-    slices = hits.withColumn("slice", F.floor(F.col("t") / s_us)).groupBy("key", "slice").agg(F.sum("n").alias("total"))
-    probes = points.select("key", "slice").distinct()
     before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = probes.join(slices, ["key", "slice"], "left").withColumn(
-        "before", F.coalesce(F.sum(F.coalesce("total", F.lit(0))).over(before), F.lit(0))).select("key", "slice", "before")
-    return running.join(earlier, ["key", "slice"]).groupBy("key", "t").agg(
+    slices = points.groupBy("key", "slice").agg(F.sum("add").alias("total")).select(
+        "key", "slice", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
+    return points.withColumn("within", F.sum("add").over(inside)).join(slices, ["key", "slice"]).groupBy("key", "t").agg(
         F.max("n").alias("requests"),
         F.sum(F.col("sign") * (F.col("within") + F.col("before"))).alias("in_window"))
 
@@ -65,7 +67,7 @@ def slice_states(rows: DataFrame, max_reqs: int) -> DataFrame:
     x = x.withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(w))
     seeds = ~F.col("busy") & F.coalesce(F.lead("starts").over(w) == 1, F.lit(False)) & F.coalesce(
         F.lead("adjacent").over(w), F.lit(False))
-    return x.withColumn("seeds", seeds).select("key", "slice", "busy", "run", "seeds")
+    return x.withColumn("seeds", seeds).select("key", "slice", "clear", "busy", "run", "seeds")
 
 
 def admission(events: DataFrame, key: str, ts: str, id_col: str, max_reqs: int = K.GLOBAL_TIER[0],
@@ -79,7 +81,7 @@ def admission(events: DataFrame, key: str, ts: str, id_col: str, max_reqs: int =
     """
     w_us = window_s * 1_000_000
     rows = events.select(F.col(key).cast("string").alias("key"), micros(F.col(ts)).alias("ts_us"),
-                         F.col(id_col).cast("bigint").alias("event_id")).withColumn("slice", F.floor(F.col("ts_us") / w_us))
+                         F.col(id_col).cast("bigint").alias("event_id")).withColumn("slice", slice_no(F.col("ts_us"), w_us))
     judged = rows.join(slice_states(rows, max_reqs), ["key", "slice"])
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,16 +101,16 @@ def admission(events: DataFrame, key: str, ts: str, id_col: str, max_reqs: int =
                     out.append((k, now, event, True, max_reqs - len(held), 0.0))
             yield pd.DataFrame(out, columns=["key", "ts_us", "event_id", "accepted", "remaining", "retry_after"])
 
-    run_of = F.concat_ws("#", "key", F.col("run").cast("string"))
-    next_run = F.concat_ws("#", "key", (F.col("run") + 1).cast("string"))
     cols = ["key", "ts_us", "event_id"]
-    todo = judged.where("busy").select(run_of.alias("k"), *cols, F.lit(False).alias("seed")).unionByName(
-        judged.where("seeds").select(next_run.alias("k"), *cols, F.lit(True).alias("seed")))
+    run = F.when(F.col("busy"), F.col("run")).otherwise(F.col("run") + 1)
+    todo = judged.where("busy or seeds").select(
+        F.concat_ws("#", "key", run.cast("string")).alias("k"), *cols, (~F.col("busy")).alias("seed"))
     replayed = todo.repartition("k").sortWithinPartitions("k", "ts_us", "event_id").groupBy("k").applyInPandas(
         replay, ADMISSION_DDL)
     # Outside the runs every request of the window was accepted, so `remaining` is a count; at most
     # max_reqs requests share one time there.
-    counted = requests_in_window(rows.withColumn("ts", F.timestamp_micros("ts_us")), "key", "ts", window_s)
+    clear = judged.where("clear").withColumn("ts", F.timestamp_micros("ts_us"))
+    counted = requests_in_window(clear, "key", "ts", window_s)
     same_time = Window.partitionBy("key", "ts_us")
     calm = judged.where("not busy").withColumns({
         "tied": F.count(F.lit(1)).over(same_time), "at": F.row_number().over(same_time.orderBy("event_id"))})

@@ -16,14 +16,22 @@ def clean_text(c: Column) -> Column:
     return F.coalesce(X.strip(F.regexp_replace(X.unfence(c), "\n{3,}", "\n\n")), F.lit(""))
 
 
+def _is_json(c: Column) -> Column:
+    """The whole text is one JSON value. The parser ignores what follows a value, so the text is
+    judged as an array element and as an object member."""
+    element = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return element.isNotNull() & member.isNotNull()
+
+
 def extract_json(df: DataFrame, text_col: str) -> DataFrame:
     """TX2: the text as JSON once fences are gone, else its first bracketed span, else null."""
     whole = X.strip(X.unfence(F.col(text_col)))
     span = F.regexp_extract("_whole", SPAN_PATTERN, 1)
     return df.withColumn("_whole", whole).withColumn("_span", span).withColumn(
         "json_text",
-        F.when(F.try_parse_json("_whole").isNotNull(), F.col("_whole"))
-        .when((F.col("_span") != "") & F.try_parse_json("_span").isNotNull(), F.col("_span")),
+        F.when(_is_json(F.col("_whole")), F.col("_whole"))
+        .when((F.col("_span") != "") & _is_json(F.col("_span")), F.col("_span")),
     ).drop("_whole", "_span")
 
 

@@ -90,16 +90,18 @@ def header_check(files: DataFrame, max_columns: int = MAX_COLUMNS, sniff_lines:
     lines = F.split(F.regexp_replace(decoded(F.col("content")), "\r\n?", "\n"), "\n")
     x = files.select("path", lines.alias("lines")).select(
         "path", F.col("lines")[0].alias("header"),
-        F.filter(F.slice("lines", 2, 2147483647), lambda v: v != "").alias("rows"))
+        F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda v: v != "").alias("rows"))
 
     def occurs(line, d):
         return F.length(line) - F.length(F.replace(line, F.lit(d), F.lit("")))
 
+    def fits(d):
+        n = occurs(F.col("header"), d)
+        return (n > 0) & F.forall(F.slice("rows", 1, sniff_lines), lambda v: occurs(v, d) == n)
+
     delimiter = F
     for d in DELIMITERS:
-        n = occurs(F.col("header"), d)
-        same = F.forall(F.slice("rows", 1, sniff_lines), lambda v, d=d, n=n: occurs(v, d) == n)
-        delimiter = delimiter.when((n > 0) & same, d)
+        delimiter = delimiter.when(fits(d), d)
     x = x.withColumn("delimiter", delimiter.otherwise(","))
     blank = X.strip(F.replace("header", "delimiter", F.lit(""))) == ""
     x = x.withColumn("n_columns", F.length("header") - F.length(F.replace("header", "delimiter", F.lit(""))) + 1)
