@@ -260,4 +260,6 @@ def cluster_preview(df: DataFrame, columns=None, dataset: str = "", max_points:
     points = settle(row_sample(scaled, max_points).select(
         F.lit(dataset).alias("dataset"), score(0).alias("pc1"), score(1).alias("pc2"),
         (F.array_position(far, F.array_min(far)) - 1).cast("int").alias("label"), F.lit(best).alias("n_clusters"),
-        F.lit(round(float(share[0]), 4)).alias("pc1_var"), F.lit(round(float(share[1]), 4)).alias("pc2_var"))
+        F.lit(round(float(share[0]), 4)).alias("pc1_var"), F.lit(round(float(share[1]), 4)).alias("pc2_var")))
+    scaled.unpersist()
+    return points
