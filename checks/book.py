@@ -273,7 +273,7 @@ CTE["pairs"] = """
     where a.v is not null and b.v is not null group by a.ordinal, b.ordinal)"""
 CTE["corr"] = f"""
   select cast(row_number() over (order by abs(round(r,3)) desc, i, j) as integer) as rank, col_a, col_b,
-    round(r,3) as correlation, {bands('abs(r)', K.STRENGTH_LABELS, 'negligible')} as strength, n
+    round(r,3)+0.0::double as correlation, {bands('abs(r)', K.STRENGTH_LABELS, 'negligible')} as strength, n
   from pairs where r is not null qualify row_number() over (order by abs(round(r,3)) desc, i, j) <= {K.TOP_PAIRS}"""
 CTE["outl"] = """
   select c.ordinal, any_value(c.name) as name, count(*) as nn,
@@ -285,7 +285,7 @@ CTE["outsum"] = ('select ordinal, name as "column", mild as outlier_count, round
                  " where mild > 0 and ordinal in (select ordinal from first15)")
 _s = "skewness"
 CTE["shapes"] = f"""
-  select ordinal, name as "column", round(skewness,3) as skewness, round(kurtosis,3) as kurtosis,
+  select ordinal, name as "column", round(skewness,3)+0.0::double as skewness, round(kurtosis,3)+0.0::double as kurtosis,
     case when abs({_s}) > {K.EXTREME_SKEW} then 'critically skewed' when {_s} > 2 then 'heavily right-skewed'
       when {_s} > 0.5 then 'right-skewed' when {_s} < -2 then 'heavily left-skewed' when {_s} < -0.5 then 'left-skewed'
       else 'roughly normal' end as shape

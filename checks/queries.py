@@ -193,7 +193,7 @@ query("pr5_memory_mb", lambda s, d: P.memory_mb(dirty(s, d), book.DATASET),
 
 
 def _fin4(c, alias=None):
-    return f"case when isfinite({c}) then round({c},4) end as {alias or c}"
+    return f"case when isfinite({c}) then round({c},4)+0.0::double end as {alias or c}"
 
 
 query("pr6_numeric_profile", lambda s, d: P.numeric_profile(P.moments(dirty(s, d), book.DATASET)),
@@ -381,13 +381,13 @@ query("st1_scrubbed_table", lambda s, d: ST.sentinel_scrub(dirty(s, d))[0].selec
       " case when not exists (select 1 from cand c where c.name='bonus' and c.cand=d.bonus) then bonus end as bonus from d")
 query("st2_row_sample", lambda s, d: ST.row_sample(read_table(s, d, "lineitem")))
 query("st3_feature_columns", lambda s, d: A(s, d).features, f"select {_DS}, ordinal, name, role from feat")
-query("st4_pearson_matrix", lambda s, d: A(s, d).pairs.withColumn("r", F.round("r", 4)),
-      f"select {_DS}, i, j, col_a, col_b, n, round(r,4) as r from pairs")
+query("st4_pearson_matrix", lambda s, d: A(s, d).pairs.withColumn("r", N.rounded(F.col("r"), 4)),
+      f"select {_DS}, i, j, col_a, col_b, n, round(r,4)+0.0::double as r from pairs")
 _lp = [(a, b) for i, a in enumerate(LINE) for b in LINE[i + 1:]]
 query("st4_pearson_matrix_lineitem",
-      lambda s, d: ST.pearson_pairs(read_table(s, d, "lineitem"), dataset="lineitem").withColumn("r", F.round("r", 4)),
+      lambda s, d: ST.pearson_pairs(read_table(s, d, "lineitem"), dataset="lineitem").withColumn("r", N.rounded(F.col("r"), 4)),
       " union all ".join(f"select 'lineitem' as dataset, {a[0]} as i, {b[0]} as j, '{a[1]}' as col_a, '{b[1]}' as col_b, count(*) as n,"
-                         f" round(corr({a[1]}, {b[1]}),4) as r from lineitem" for a, b in _lp))
+                         f" round(corr({a[1]}, {b[1]}),4)+0.0::double as r from lineitem" for a, b in _lp))
 query("st5_top_correlations", lambda s, d: A(s, d).correlations,
       f"select {_DS}, rank, col_a, col_b, correlation, strength, n from corr")
 finding_query("st6_multicollinearity", lambda s, d: ST.multicollinearity(A(s, d).pairs), "st6")
@@ -436,8 +436,8 @@ query("st17_outlier_summary", lambda s, d: A(s, d).outlier_summary, f"select {_D
 query("st18_distribution_summary", lambda s, d: A(s, d).shapes, f"select {_DS}, * from shapes")
 FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 query("st19_standardize",
-      lambda s, d: ML.standardize(read_table(s, d, "lineitem"), FEATS).select(*[F.round(c, 5).alias(c) for c in FEATS]),
-      "select " + ", ".join(f"round(({c} - avg({c}) over ())/stddev_pop({c}) over (),5) as {c}" for c in FEATS) + " from lineitem")
+      lambda s, d: ML.standardize(read_table(s, d, "lineitem"), FEATS).select(*[N.rounded(F.col(c), 5).alias(c) for c in FEATS]),
+      "select " + ", ".join(f"round(({c} - avg({c}) over ())/stddev_pop({c}) over (),5)+0.0::double as {c}" for c in FEATS) + " from lineitem")
 query("st20_pca_summary", lambda s, d: ML.pca_summary(read_table(s, d, "lineitem"), FEATS, "lineitem"))
 query("st21_kmeans_elbow", lambda s, d: ML.kmeans_elbow(read_table(s, d, "lineitem"), FEATS, "lineitem", max_iter=20))
 query("st22_cluster_preview", lambda s, d: ML.cluster_preview(read_table(s, d, "lineitem"), FEATS, "lineitem", max_iter=20))

@@ -34,9 +34,14 @@ def pct(a: Column, b: Column, digits: int = 2) -> Column:
     return F.round(ratio(a, b) * 100, digits)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Rounded value without a negative zero."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
 def finite_or_null(c: Column, digits: int = 4) -> Column:
     """Rounded value; NaN and infinities become null."""
-    return F.when(F.abs(c) < F.lit(INF), F.round(c, digits))
+    return F.when(F.abs(c) < F.lit(INF), rounded(c, digits))
 
 
 def bands(c: Column, steps, default: str) -> Column:

@@ -37,4 +37,4 @@ def settle(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.coalesce(1).checkpoint(eager=True)
+    return df.checkpoint(eager=True)

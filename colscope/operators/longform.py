@@ -18,6 +18,7 @@ from colscope.functions.numeric import as_double
 
 # Longer text is compared by its SHA-256 digest, so histograms shuffle 64 characters at most.
 DIGEST_OVER = 64
+DIGEST_LENGTH = 64
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATING = (T.FloatType, T.DoubleType)

@@ -24,6 +24,7 @@ MAX_POINTS = 2_000
 K_RANGE = range(2, 7)
 RESTARTS = 5
 SEED_ROWS = 10_000
+ROWS_PER_CORE = 500_000
 TOLERANCE = 1e-4
 
 
@@ -141,7 +142,11 @@ def _assign(scaled: DataFrame, models: dict):
 
     A task sends one row per model and centre, whatever the number of rows it holds.
     """
+    import numpy as np
+
     p = len(scaled.columns)
+    stacked = np.vstack(list(models.values()))
+    first = dict(zip(models, np.cumsum([0] + [len(c) for c in models.values()]).tolist()))
 
     def step(batches):
         import numpy as np
@@ -149,8 +154,10 @@ def _assign(scaled: DataFrame, models: dict):
         acc = {m: [np.zeros(len(c)), np.zeros(len(c)), np.zeros((len(c), p))] for m, c in models.items()}
         for b in batches:
             x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(p)])
+            own = (x * x).sum(axis=1)
+            all_d = own[:, None] - 2.0 * (x @ stacked.T) + (stacked * stacked).sum(axis=1)[None, :]
             for m, c in models.items():
-                d = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)[None, :]
+                d = all_d[:, first[m]:first[m] + len(c)]
                 near = d.argmin(axis=1)
                 hot = np.zeros(d.shape)
                 hot[np.arange(len(x)), near] = 1.0
@@ -217,8 +224,12 @@ def _prepared(df: DataFrame, columns):
     scale = scaling(complete)
     if scale["rows"] < 50:
         return None
-    scaled = _scaled(complete, scale).persist(StorageLevel.MEMORY_AND_DISK)
-    return scaled, scale["rows"]
+    scaled = _scaled(complete, scale)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if scale["rows"] < ROWS_PER_CORE * cores:
+        # few rows may sit in one or two file splits; dozens of passes over them deserve every core
+        scaled = scaled.repartition(cores)
+    return scaled.persist(StorageLevel.MEMORY_AND_DISK), scale["rows"]
 
 
 def kmeans_elbow(df: DataFrame, columns=None, dataset: str = "", max_iter: int = 100, restarts: int = RESTARTS) -> DataFrame:

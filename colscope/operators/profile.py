@@ -13,8 +13,9 @@ from colscope import constants as K
 from colscope.functions import numeric as N
 from colscope.functions import text as X
 from colscope.operators import quantiles as Q
+from colscope.functions.session import settle
 from colscope.operators.longform import (
-    by_position, columns_of, histogram, is_null_bucket, long_numeric, long_text, ordinal_of, pos,
+    DIGEST_LENGTH, DIGEST_OVER, by_position, columns_of, histogram, is_null_bucket, long_numeric, long_text, ordinal_of, pos,
     schema_table, unpivot,
 )
 
@@ -241,16 +242,20 @@ def _top(h: DataFrame, order, k: int) -> DataFrame:
 
 
 def _restore_text(df: DataFrame, top: DataFrame, columns) -> DataFrame:
-    """Replace digests of long text by the text; the lookup side is k rows per column."""
-    from colscope.operators.longform import DIGEST_OVER
+    """Replace digests of long text by the text.
 
+    `top` is k rows per column, so it is settled first; the table is only read again when one of
+    those rows is a digest, and the lookup side is as small as `top`.
+    """
+    top = settle(top)
+    digests = top.where(F.char_length("value_str") == DIGEST_LENGTH)
+    if digests.isEmpty():
+        return top
     cols = [c for c in columns_of(df, columns) if c.family == "text"]
-    digests = F.broadcast(
-        top.where(F.char_length("value_str") > DIGEST_OVER - 1)
-        .select(F.concat(F.lit("c"), F.col("ordinal").cast("string")).alias("o"), F.col("value_str").alias("digest"))
-    )
+    wanted = F.broadcast(digests.select(
+        F.concat(F.lit("c"), F.col("ordinal").cast("string")).alias("o"), F.col("value_str").alias("digest")))
     long = long_text(df, cols).where(F.char_length("v") > DIGEST_OVER).withColumn("digest", F.sha2("v", 256))
-    texts = long.join(digests, ["o", "digest"]).groupBy("o", "digest").agg(F.any_value("v").alias("text"))
+    texts = long.join(wanted, ["o", "digest"]).groupBy("o", "digest").agg(F.any_value("v").alias("text"))
     texts = F.broadcast(texts.select(ordinal_of(F.col("o")).alias("ordinal"), F.col("digest").alias("value_str"), "text"))
     return top.join(texts, ["ordinal", "value_str"], "left").withColumn(
         "value_str", F.coalesce("text", "value_str")).drop("text")

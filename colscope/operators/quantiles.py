@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from colscope.operators.longform import ColumnInfo, columns_of, long_numeric
 
 ACCURACY = 10_000
-SPAN_ROWS = 200_000
+SPAN_ROWS = 1_000_000
 QUANTILE_SCHEMA = "dataset string, ordinal int, name string, q double, nn bigint, value double"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +12,10 @@ from colscope import constants as K
 
 SLICE_S = 10
 ADMISSION_DDL = "key string, ts_us bigint, event_id bigint, accepted boolean, remaining int, retry_after double"
+ADMISSION_ARROW = pa.schema([
+    ("key", pa.string()), ("ts_us", pa.int64()), ("event_id", pa.int64()), ("accepted", pa.bool_()),
+    ("remaining", pa.int32()), ("retry_after", pa.float64()),
+])
 
 
 def micros(ts: Column) -> Column:
@@ -76,37 +80,40 @@ def admission(events: DataFrame, key: str, ts: str, id_col: str, max_reqs: int =
 
     Whether a request passes depends on earlier refusals, so only a stretch in which a key stays
     over its limit is sequential. Everything else is answered by counting (RL1). An overloaded
-    stretch is streamed through one task in Arrow batches; what is held is the last `max_reqs`
-    accepted times, never the stretch itself.
+    stretch is streamed in time order through one task, batch by batch; what is held is the last
+    `max_reqs` accepted times, never the stretch itself.
     """
     w_us = window_s * 1_000_000
     rows = events.select(F.col(key).cast("string").alias("key"), micros(F.col(ts)).alias("ts_us"),
                          F.col(id_col).cast("bigint").alias("event_id")).withColumn("slice", slice_no(F.col("ts_us"), w_us))
     judged = rows.join(slice_states(rows, max_reqs), ["key", "slice"])
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import deque
 
-        held: deque = deque()
-        for pdf in batches:
+        current, held = None, deque()
+        for batch in batches:
             out = []
-            for k, now, event, seed in zip(pdf["key"], pdf["ts_us"], pdf["event_id"], pdf["seed"]):
+            for k, key_, now, event, seed in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != current:
+                    current, held = k, deque()
                 while held and held[0] < now - w_us:
                     held.popleft()
                 if len(held) >= max_reqs:
-                    out.append((k, now, event, False, 0, max((held[0] + w_us - now) / 1e6, 1.0)))
+                    out.append((key_, now, event, False, 0, max((held[0] + w_us - now) / 1e6, 1.0)))
                     continue
                 held.append(now)
                 if not seed:
-                    out.append((k, now, event, True, max_reqs - len(held), 0.0))
-            yield pd.DataFrame(out, columns=["key", "ts_us", "event_id", "accepted", "remaining", "retry_after"])
+                    out.append((key_, now, event, True, max_reqs - len(held), 0.0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), ADMISSION_ARROW.types)] if out
+                else [pa.array([], t) for t in ADMISSION_ARROW.types], schema=ADMISSION_ARROW)
 
     cols = ["key", "ts_us", "event_id"]
     run = F.when(F.col("busy"), F.col("run")).otherwise(F.col("run") + 1)
     todo = judged.where("busy or seeds").select(
         F.concat_ws("#", "key", run.cast("string")).alias("k"), *cols, (~F.col("busy")).alias("seed"))
-    replayed = todo.repartition("k").sortWithinPartitions("k", "ts_us", "event_id").groupBy("k").applyInPandas(
-        replay, ADMISSION_DDL)
+    replayed = todo.repartition("k").sortWithinPartitions("k", "ts_us", "event_id").mapInArrow(replay, ADMISSION_DDL)
     # Outside the runs every request of the window was accepted, so `remaining` is a count; at most
     # max_reqs requests share one time there.
     clear = judged.where("clear").withColumn("ts", F.timestamp_micros("ts_us"))

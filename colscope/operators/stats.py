@@ -153,7 +153,7 @@ def strength(r: Column) -> Column:
 
 def top_correlations(pairs: DataFrame, k: int = K.TOP_PAIRS) -> DataFrame:
     """ST5: the k strongest defined pairs per dataset; strength is judged before rounding."""
-    known = pairs.where("r is not null").withColumn("correlation", F.round("r", 3))
+    known = pairs.where("r is not null").withColumn("correlation", N.rounded(F.col("r"), 3))
     w = Window.partitionBy("dataset").orderBy(F.desc(F.abs("correlation")), "i", "j")
     return known.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         "dataset", "rank", "col_a", "col_b", "correlation", strength(F.col("r")).alias("strength"), "n")
@@ -329,8 +329,8 @@ def distribution_summary(m: DataFrame, features: DataFrame, limit_columns: int |
     )
     first = _first_numeric(features, limit_columns)
     return m.join(first, ["dataset", "ordinal"], "left_semi").where("nn >= 10").select(
-        "dataset", "ordinal", F.col("name").alias("column"), F.round(s, 3).alias("skewness"),
-        F.round("kurtosis", 3).alias("kurtosis"), shape.alias("shape"))
+        "dataset", "ordinal", F.col("name").alias("column"), N.rounded(s, 3).alias("skewness"),
+        N.rounded(F.col("kurtosis"), 3).alias("kurtosis"), shape.alias("shape"))
 
 
 # ---------------------------------------------------------------- ST13-ST15
