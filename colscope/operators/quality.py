@@ -82,7 +82,7 @@ def sentinel_candidates(df: DataFrame, dataset: str = "", columns=None) -> DataF
         return spark.createDataFrame([], SENTINEL_DDL)
     names = {cols[o].name for o, *_ in suspects}
     bounds = Q.order_statistics(mask_values(df, {n: K.NUMERIC_SENTINELS for n in names}), (0.01, 0.99),
-                                median=False, columns=names)
+                                median=False, columns=names, sizes={o: tally[o][None] for o, *_ in suspects})
     table = spark.createDataFrame(suspects, "ordinal int, name string, nn bigint, cand double, cnt bigint")
     outside = table.join(F.broadcast(bounds.select("ordinal", "q01", "q99")), "ordinal").where(
         (F.col("cand") < F.col("q01")) | (F.col("cand") > F.col("q99"))

@@ -36,13 +36,16 @@ class Span:
     rows: int  # rows strictly inside
 
 
-def select_ranks(long: DataFrame, ranks_of) -> dict[tuple[str, str], tuple[int, float]]:
+def select_ranks(long: DataFrame, ranks_of, sizes: dict[str, int] | None = None) -> dict[tuple[str, str], tuple[int, float]]:
     """Values at exact ranks of each column of a long (o, v) table.
 
     `ranks_of(nn)` maps a non-null count to {tag: 0-based rank}. Returns {(o, tag): (nn, value)}.
-    Only counts and bounds (a few numbers per column) come back to the driver.
+    Only counts and bounds (a few numbers per column) come back to the driver. Non-null counts that
+    are known already (`sizes`) save one pass.
     """
-    sizes = {r["o"]: r["nn"] for r in long.groupBy("o").agg(F.count("v").alias("nn")).collect() if r["nn"] > 0}
+    if sizes is None:
+        sizes = {r["o"]: r["nn"] for r in long.groupBy("o").agg(F.count("v").alias("nn")).collect()}
+    sizes = {o: nn for o, nn in sizes.items() if nn > 0}
     ranks = {(o, tag): rank for o, nn in sizes.items() for tag, rank in ranks_of(nn).items()}
     spans = {k: Span(None, None, 0, sizes[k[0]]) for k in ranks}
     values: dict[tuple[str, str], float] = {}
@@ -160,10 +163,11 @@ def nearest_quantiles(df: DataFrame, qs, columns=None, *, dataset: str = "",
 
 
 def order_statistics(df: DataFrame, qs=(), median: bool = True, *, columns=None, dataset: str = "",
-                     cols: list[ColumnInfo] | None = None) -> DataFrame:
+                     cols: list[ColumnInfo] | None = None, sizes: dict[int, int] | None = None) -> DataFrame:
     """One row per numeric column: interpolated median and nearest-rank quantiles, from one selection.
 
-    Quantile columns are named q01, q25, ... after the percent.
+    Quantile columns are named q01, q25, ... after the percent. `sizes` are known non-null counts
+    per ordinal.
     """
     cols = cols if cols is not None else [c for c in columns_of(df, columns) if c.numeric]
     spark = df.sparkSession
@@ -179,7 +183,8 @@ def order_statistics(df: DataFrame, qs=(), median: bool = True, *, columns=None,
             out |= {"mlo": (nn - 1) // 2, "mhi": nn // 2}
         return out
 
-    found = select_ranks(long_numeric(df, cols), ranks)
+    known = None if sizes is None else {f"c{c.ordinal}": sizes[c.ordinal] for c in cols}
+    found = select_ranks(long_numeric(df, cols), ranks, known)
     rows = []
     for c in cols:
         mine = {tag: v for (o, tag), (_, v) in found.items() if o == f"c{c.ordinal}"}

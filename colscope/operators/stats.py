@@ -25,16 +25,19 @@ MAX_PARTIAL_ROWS = 200_000_000
 # ---------------------------------------------------------------- ST1-ST3
 
 
-def sentinel_scrub(df: DataFrame, known: DataFrame | None = None, dataset: str = "", columns=None):
+def sentinel_scrub(df: DataFrame, known: DataFrame | None = None, dataset: str = "", columns=None,
+                   rescan: bool = True):
     """ST1: null out placeholder numbers. Returns (clean table, audit log).
 
     Columns named in `known` (from QI4) are scrubbed with the values found there; every other
-    numeric column is scanned again. The values become literals of one projection.
+    numeric column is scanned again, unless `known` came from this very table (`rescan=False`).
+    The values become literals of one projection.
     """
-    known = known if known is not None else quality.sentinel_candidates(df, dataset, columns)
+    if known is None:
+        known, rescan = quality.sentinel_candidates(df, dataset, columns), False
     first = known.withColumn("source", F.lit("blueprint"))
     flagged = {r["name"]: r["sentinel_values"] for r in first.select("name", "sentinel_values").collect()}
-    rest = [c.name for c in columns_of(df, columns) if c.numeric and c.name not in flagged]
+    rest = [c.name for c in columns_of(df, columns) if c.numeric and c.name not in flagged] if rescan else []
     second = quality.sentinel_candidates(df, dataset, rest).withColumn("source", F.lit("safety_net"))
     flagged |= {r["name"]: r["sentinel_values"] for r in second.select("name", "sentinel_values").collect()}
     log = first.unionByName(second).select(
@@ -253,7 +256,7 @@ def residual_spread(df: DataFrame, x: str, y: str, dataset: str = "") -> DataFra
     if fit["n"] < 30 or fit["slope"] is None:
         return spark.createDataFrame([], SPREAD_DDL)
     xy = _xy(df, x, y)
-    med = order_statistics(xy, columns=["x"]).first()["median"]
+    med = order_statistics(xy, columns=["x"], sizes={0: fit["n"]}).first()["median"]
     res = F.col("y") - (F.col("x") * fit["slope"] + fit["intercept"])
     high = F.col("x") >= F.lit(med)
     return xy.agg(

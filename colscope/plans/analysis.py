@@ -45,7 +45,8 @@ class Analysis:
 
     @cached_property
     def order_stats(self) -> DataFrame:
-        return order_statistics(self.df, (0.01, 0.25, 0.75, 0.99), dataset=self.dataset)
+        sizes = {r["ordinal"]: r["nn"] for r in self.moments.select("ordinal", "nn").collect()}
+        return order_statistics(self.df, (0.01, 0.25, 0.75, 0.99), dataset=self.dataset, sizes=sizes)
 
     @cached_property
     def text(self) -> DataFrame:
@@ -119,7 +120,7 @@ class Analysis:
 
     @cached_property
     def _scrub(self):
-        return ST.sentinel_scrub(self.df, self.sentinels, self.dataset)
+        return ST.sentinel_scrub(self.df, self.sentinels, self.dataset, rescan=False)
 
     @property
     def clean(self) -> DataFrame:
@@ -151,7 +152,8 @@ class Analysis:
         keep = self.moments.where(F.col("name").isin(*self.numeric_features))
         if not self.scrubbed_columns:
             return keep
-        again = P.moments(self.clean, self.dataset, self.scrubbed_columns).where(F.col("name").isin(*self.numeric_features))
+        columns = [c for c in self.scrubbed_columns if c in self.numeric_features]
+        again = P.moments(self.clean, self.dataset, columns)
         return settle(keep.where(~F.col("name").isin(*self.scrubbed_columns)).unionByName(again))
 
     @cached_property
@@ -159,9 +161,10 @@ class Analysis:
         keep = self.order_stats.where(F.col("name").isin(*self.numeric_features))
         if not self.scrubbed_columns:
             return keep
-        again = order_statistics(self.clean, (0.01, 0.25, 0.75, 0.99), columns=self.scrubbed_columns, dataset=self.dataset)
-        return keep.where(~F.col("name").isin(*self.scrubbed_columns)).unionByName(
-            again.where(F.col("name").isin(*self.numeric_features)))
+        sizes = {r["ordinal"]: r["nn"] for r in self.clean_moments.select("ordinal", "nn").collect()}
+        columns = [c for c in self.scrubbed_columns if c in self.numeric_features]
+        again = order_statistics(self.clean, (0.01, 0.25, 0.75, 0.99), columns=columns, dataset=self.dataset, sizes=sizes)
+        return keep.where(~F.col("name").isin(*self.scrubbed_columns)).unionByName(again)
 
     @cached_property
     def pairs(self) -> DataFrame:

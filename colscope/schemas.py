@@ -76,6 +76,9 @@ def advice(type_: Column, index: int) -> Column:
 
 def as_finding(df: DataFrame, **values) -> DataFrame:
     """Project to the finding shape; what is not given is null."""
+    if isinstance(values["type"], str):
+        why, todo = ADVICE[values["type"]]
+        values = {"plain_english": why, "recommendation": todo} | values
     given = {k: v if isinstance(v, Column) else F.lit(v) for k, v in values.items()}
     given.setdefault("dataset", F.col("dataset"))
     given.setdefault("aggregated", F.lit(False))

@@ -48,9 +48,10 @@ def test_scrub_has_two_sources(spark):
     df = spark.createDataFrame(rows, "a double, b double")
     clean, log = ST.sentinel_scrub(df)
     entry = log.first()
+    assert entry["source"] == "blueprint"
     assert (entry["column"], entry["values"], entry["cells_replaced"]) == ("b", [-999.0], 20)
     assert clean.where("b is null").count() == 20
-    known = ST.quality.sentinel_candidates(df, columns=["a"])
+    known = ST.quality.sentinel_candidates(df, columns=["a"])  # finds nothing, so b is left to the second scan
     assert ST.sentinel_scrub(df, known)[1].first()["source"] == "safety_net"
 
 
