@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +31,22 @@ def new_folder(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def local_table(spark: SparkSession, rows, ddl: str) -> DataFrame:
+    """A few driver-side rows (schemas, bounds, counts) as a local relation.
+
+    Unlike a parallelised list it has a known size and is part of the plan, so joins with it are
+    planned as what they are and no Python data travels to the executors.
+    """
+    schema = T.StructType.fromDDL(ddl)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    columns = [pa.array(c, ARROW_TYPES[f.dataType.simpleString()]) for c, f in zip(zip(*rows), schema)]
+    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Materialise a small table (one row per column, pair or finding) with a reliable checkpoint.
 

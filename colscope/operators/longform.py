@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colscope.functions.session import local_table
 from colscope.functions.numeric import as_double
 
 # Longer text is compared by its SHA-256 digest, so histograms shuffle 64 characters at most.
@@ -65,8 +66,7 @@ def columns_of(df: DataFrame, columns=None) -> list[ColumnInfo]:
 def schema_table(df: DataFrame, dataset: str = "", columns=None) -> DataFrame:
     """The schema as a relation: one row per column. Bounded by the number of columns."""
     rows = [(dataset, c.ordinal, c.name, c.dtype.simpleString(), c.family) for c in columns_of(df, columns)]
-    return df.sparkSession.createDataFrame(
-        rows, "dataset string, ordinal int, name string, dtype string, family string"
+    return local_table(df.sparkSession, rows, "dataset string, ordinal int, name string, dtype string, family string"
     )
 
 
@@ -86,7 +86,9 @@ def unpivot(df: DataFrame, exprs: list[tuple[int, Column]], value: str = "v") ->
 
 
 def ordinal_of(o: Column) -> Column:
-    return F.substring(o, 2, 10).cast("int")
+    """The ordinal behind an unpivoted name. Never null, so joins on it push no filter below the
+    aggregation, where it would run once per cell."""
+    return F.coalesce(F.substring(o, 2, 10).try_cast("int"), F.lit(-1))
 
 
 def long_numeric(df: DataFrame, cols: list[ColumnInfo]) -> DataFrame:
@@ -137,8 +139,7 @@ def histogram(df: DataFrame, columns=None) -> DataFrame:
             "cnt",
         ))
     if not parts:
-        return df.sparkSession.createDataFrame(
-            [], "ordinal int, value_int bigint, value_dbl double, value_str string, cnt bigint"
+        return local_table(df.sparkSession, [], "ordinal int, value_int bigint, value_dbl double, value_str string, cnt bigint"
         )
     out = parts[0]
     for p in parts[1:]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from colscope.functions import numeric as N
-from colscope.functions.session import settle
+from colscope.functions.session import local_table, settle
 from colscope.operators.longform import by_position, columns_of, pos
 
 PCA_DDL = "dataset string, component int, ratio double, cumulative double, n_components int, n_features int"
@@ -102,10 +102,10 @@ def pca_summary(df: DataFrame, columns=None, dataset: str = "") -> DataFrame:
     spark = df.sparkSession
     complete, cols = complete_rows(df, columns)
     if len(cols) < 3:
-        return spark.createDataFrame([], PCA_DDL)
+        return local_table(spark, [], PCA_DDL)
     scale = scaling(complete)
     if scale["rows"] < 30:
-        return spark.createDataFrame([], PCA_DDL)
+        return local_table(spark, [], PCA_DDL)
     values, _ = _components(_scaled(complete, scale), scale["rows"])
     k = min(10, len(cols), scale["rows"])
     ratios = (values / (values.sum() or 1.0))[:k]
@@ -113,7 +113,7 @@ def pca_summary(df: DataFrame, columns=None, dataset: str = "") -> DataFrame:
     for i, r in enumerate(ratios):
         total += float(r)
         rows.append((dataset, i + 1, round(float(r), 4), round(total, 4), k, len(cols)))
-    return spark.createDataFrame(rows, PCA_DDL)
+    return local_table(spark, rows, PCA_DDL)
 
 
 def _starts(scaled: DataFrame, ks, restarts: int, rows: int):
@@ -237,12 +237,11 @@ def kmeans_elbow(df: DataFrame, columns=None, dataset: str = "", max_iter: int =
     spark = df.sparkSession
     ready = _prepared(df, columns)
     if ready is None:
-        return spark.createDataFrame([], ELBOW_DDL)
+        return local_table(spark, [], ELBOW_DDL)
     scaled, rows = ready
     found, best, _ = _elbow(scaled, rows, max_iter, restarts)
     scaled.unpersist()
-    return spark.createDataFrame(
-        [(dataset, k, float(cost), None if drop is None else float(drop), k == best) for k, cost, drop in found], ELBOW_DDL)
+    return local_table(spark, [(dataset, k, float(cost), None if drop is None else float(drop), k == best) for k, cost, drop in found], ELBOW_DDL)
 
 
 def cluster_preview(df: DataFrame, columns=None, dataset: str = "", max_points: int = MAX_POINTS,
@@ -253,7 +252,7 @@ def cluster_preview(df: DataFrame, columns=None, dataset: str = "", max_points:
     spark = df.sparkSession
     ready = _prepared(df, columns)
     if ready is None:
-        return spark.createDataFrame([], POINTS_DDL)
+        return local_table(spark, [], POINTS_DDL)
     scaled, rows = ready
     _, best, models = _elbow(scaled, rows, max_iter, restarts)
     values, vectors = _components(scaled, rows)

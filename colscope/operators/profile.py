@@ -13,7 +13,7 @@ from colscope import constants as K
 from colscope.functions import numeric as N
 from colscope.functions import text as X
 from colscope.operators import quantiles as Q
-from colscope.functions.session import settle
+from colscope.functions.session import local_table, settle
 from colscope.operators.longform import (
     DIGEST_LENGTH, DIGEST_OVER, by_position, columns_of, histogram, is_null_bucket, long_numeric, long_text, ordinal_of, pos,
     schema_table, unpivot,
@@ -137,8 +137,7 @@ def moments(df: DataFrame, dataset: str = "", columns=None, exclude=()) -> DataF
     """Unrounded numeric statistics per column; infinities are counted and kept out of the moments."""
     cols = [c for c in columns_of(df, columns) if c.numeric and c.name not in exclude]
     if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "dataset string, ordinal int, name string, rows bigint, nn bigint, inf_count bigint, mean double,"
+        return local_table(df.sparkSession, [], "dataset string, ordinal int, name string, rows bigint, nn bigint, inf_count bigint, mean double,"
                 " std double, min double, max double, zeros bigint, negatives bigint, skewness double, kurtosis double")
     v, fin = F.col("v"), N.finite(F.col("v"))
     stats = long_numeric(df, cols).groupBy("o").agg(
@@ -209,8 +208,7 @@ def text_profile(df: DataFrame, dataset: str = "", columns=None) -> DataFrame:
     """PR13-PR15, PR17-PR19 in one scan: lengths, padding, hidden nulls, number and date shapes."""
     cols = [c for c in columns_of(df, columns) if c.family == "text"]
     if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "dataset string, ordinal int, name string, nn bigint, avg_length double, whitespace_issues bigint,"
+        return local_table(df.sparkSession, [], "dataset string, ordinal int, name string, nn bigint, avg_length double, whitespace_issues bigint,"
                 " disguised_missing bigint, numeric_like bigint, ymd bigint, dmy bigint, mixed_type boolean,"
                 " is_datetime boolean")
     v = F.col("v")

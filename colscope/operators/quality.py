@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colscope.functions.session import local_table
 from colscope import constants as K
 from colscope.functions import numeric as N
 from colscope.functions import text as X
@@ -61,7 +62,7 @@ def sentinel_candidates(df: DataFrame, dataset: str = "", columns=None) -> DataF
     spark = df.sparkSession
     cols = {c.ordinal: c for c in columns_of(df, columns) if c.numeric}
     if not cols:
-        return spark.createDataFrame([], SENTINEL_DDL)
+        return local_table(spark, [], SENTINEL_DDL)
     v = F.col("v")
     counted = (
         long_numeric(df, list(cols.values())).where(v.isNotNull())
@@ -79,11 +80,11 @@ def sentinel_candidates(df: DataFrame, dataset: str = "", columns=None) -> DataF
         if nn >= 10 and other >= 5 and common:
             suspects += [(o, cols[o].name, nn, c, n) for c, n in common.items()]
     if not suspects:
-        return spark.createDataFrame([], SENTINEL_DDL)
+        return local_table(spark, [], SENTINEL_DDL)
     names = {cols[o].name for o, *_ in suspects}
     bounds = Q.order_statistics(mask_values(df, {n: K.NUMERIC_SENTINELS for n in names}), (0.01, 0.99),
                                 median=False, columns=names, sizes={o: tally[o][None] for o, *_ in suspects})
-    table = spark.createDataFrame(suspects, "ordinal int, name string, nn bigint, cand double, cnt bigint")
+    table = local_table(spark, suspects, "ordinal int, name string, nn bigint, cand double, cnt bigint")
     outside = table.join(F.broadcast(bounds.select("ordinal", "q01", "q99")), "ordinal").where(
         (F.col("cand") < F.col("q01")) | (F.col("cand") > F.col("q99"))
     )
@@ -187,7 +188,7 @@ def suggest_integer(df: DataFrame, dataset: str = "", columns=None) -> DataFrame
     cols = [c for c in columns_of(df, columns) if c.family == "float"]
     out = "dataset string, ordinal int, name string, current_dtype string, suggested_dtype string, reason string"
     if not cols:
-        return df.sparkSession.createDataFrame([], out)
+        return local_table(df.sparkSession, [], out)
     v = F.col("v")
     whole = long_numeric(df, cols).groupBy("o").agg(
         F.bool_and(F.when(N.is_inf(v), False).otherwise(v % 1 == 0)).alias("whole")
@@ -202,7 +203,7 @@ def suggest_narrow_int(df: DataFrame, dataset: str = "", columns=None) -> DataFr
     cols = [c for c in columns_of(df, columns) if c.family == "integer"]
     out = "dataset string, ordinal int, name string, current_dtype string, suggested_dtype string, reason string"
     if not cols:
-        return df.sparkSession.createDataFrame([], out)
+        return local_table(df.sparkSession, [], out)
     spans = unpivot(df, [(c.ordinal, pos(c).cast("bigint")) for c in cols]).groupBy("o").agg(
         F.min("v").alias("lo"), F.max("v").alias("hi")
     ).select(ordinal_of(F.col("o")).alias("ordinal"), "lo", "hi")

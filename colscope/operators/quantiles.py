@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colscope.functions.session import local_table
 from colscope.operators.longform import ColumnInfo, columns_of, long_numeric
 
 ACCURACY = 10_000
@@ -70,7 +71,7 @@ def _inside(long: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def _table(long: DataFrame, rows, schema: str) -> DataFrame:
-    return long.sparkSession.createDataFrame(rows, schema)
+    return local_table(long.sparkSession, rows, schema)
 
 
 def _narrow(long, wide, ranks):
@@ -155,11 +156,11 @@ def nearest_quantiles(df: DataFrame, qs, columns=None, *, dataset: str = "",
     """PR9: quantile by nearest rank of every numeric column, infinities included, nulls left out."""
     cols = cols if cols is not None else [c for c in columns_of(df, columns) if c.numeric]
     if not cols:
-        return df.sparkSession.createDataFrame([], QUANTILE_SCHEMA)
+        return local_table(df.sparkSession, [], QUANTILE_SCHEMA)
     found = select_ranks(long_numeric(df, cols), lambda nn: {repr(q): nearest_rank(q, nn) for q in qs})
     names = {f"c{c.ordinal}": c for c in cols}
     rows = [(dataset, names[o].ordinal, names[o].name, float(tag), nn, v) for (o, tag), (nn, v) in found.items()]
-    return df.sparkSession.createDataFrame(rows, QUANTILE_SCHEMA)
+    return local_table(df.sparkSession, rows, QUANTILE_SCHEMA)
 
 
 def order_statistics(df: DataFrame, qs=(), median: bool = True, *, columns=None, dataset: str = "",
@@ -175,7 +176,7 @@ def order_statistics(df: DataFrame, qs=(), median: bool = True, *, columns=None,
     schema = "dataset string, ordinal int, name string, nn bigint, median double" + "".join(
         f", {c} double" for c in qcols)
     if not cols:
-        return spark.createDataFrame([], schema)
+        return local_table(spark, [], schema)
 
     def ranks(nn):
         out = {c: nearest_rank(q, nn) for c, q in zip(qcols, qs)}
@@ -193,4 +194,4 @@ def order_statistics(df: DataFrame, qs=(), median: bool = True, *, columns=None,
         if mid is not None and math.isnan(mid):
             mid = None
         rows.append((dataset, c.ordinal, c.name, nn, mid, *[mine.get(q) for q in qcols]))
-    return spark.createDataFrame(rows, schema)
+    return local_table(spark, rows, schema)

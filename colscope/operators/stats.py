@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colscope.functions.session import local_table
 from colscope import constants as K
 from colscope.functions import numeric as N
 from colscope.functions import text as X
@@ -136,7 +137,7 @@ def pearson_pairs(df: DataFrame, columns=None, dataset: str = "", centers: dict[
     """ST4: Pearson r of all numeric column pairs by pairwise deletion; undefined pairs are null."""
     cols = [c for c in columns_of(df, columns) if c.numeric]
     if len(cols) < 2:
-        return df.sparkSession.createDataFrame([], PAIR_DDL)
+        return local_table(df.sparkSession, [], PAIR_DDL)
     if centers is None:
         row = by_position(df).agg(*[
             F.avg(N.finite(N.as_double(pos(c), c.dtype))).alias(f"c{c.ordinal}") for c in cols]).first()
@@ -186,8 +187,7 @@ def outlier_counts(df: DataFrame, order_stats: DataFrame, columns=None, dataset:
     """Values outside 1.5 and 3 IQR of every numeric column with at least 10 values and a spread."""
     cols = [c for c in columns_of(df, columns) if c.numeric]
     if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "dataset string, ordinal int, name string, nn bigint, mild bigint, extreme bigint")
+        return local_table(df.sparkSession, [], "dataset string, ordinal int, name string, nn bigint, mild bigint, extreme bigint")
     iqr = F.col("q75") - F.col("q25")
     bounds = order_stats.where((F.col("nn") >= 10) & (iqr != 0)).select(
         F.concat(F.lit("c"), F.col("ordinal").cast("string")).alias("o"), "ordinal", "name", "q25", "q75")
@@ -254,7 +254,7 @@ def residual_spread(df: DataFrame, x: str, y: str, dataset: str = "") -> DataFra
     spark = df.sparkSession
     fit = ols_fit(df, x, y).first()
     if fit["n"] < 30 or fit["slope"] is None:
-        return spark.createDataFrame([], SPREAD_DDL)
+        return local_table(spark, [], SPREAD_DDL)
     xy = _xy(df, x, y)
     med = order_statistics(xy, columns=["x"], sizes={0: fit["n"]}).first()["median"]
     res = F.col("y") - (F.col("x") * fit["slope"] + fit["intercept"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colscope.functions.session import local_table
+
 PAIR = "struct<var1:string,var2:string,correlation:double>"
 
 # Declared finding columns. `seq` carries the list order: block * 10^12 + major * 10^5 + minor.
@@ -88,7 +90,7 @@ def as_finding(df: DataFrame, **values) -> DataFrame:
 
 
 def empty_findings(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], FINDING_DDL)
+    return local_table(df.sparkSession, [], FINDING_DDL)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

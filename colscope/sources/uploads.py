@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colscope.functions.session import local_table
 from colscope import constants as K
 from colscope.functions import text as X
 from colscope.operators.longform import columns_of, long_text, ordinal_of, schema_table
@@ -125,7 +126,7 @@ def formula_injection(df: DataFrame, dataset: str = "", columns=None) -> DataFra
     """IN7: cells per text column that start like a spreadsheet formula; every row is looked at."""
     cols = [c for c in columns_of(df, columns) if c.family == "text"]
     if not cols:
-        return df.sparkSession.createDataFrame([], "dataset string, ordinal int, name string, formula_cells bigint")
+        return local_table(df.sparkSession, [], "dataset string, ordinal int, name string, formula_cells bigint")
     hits = long_text(df, cols).groupBy("o").agg(F.count_if(X.starts_like_formula(F.col("v"))).alias("formula_cells")).select(
         ordinal_of(F.col("o")).alias("ordinal"), "formula_cells")
     return schema_table(df, dataset, [c.name for c in cols]).join(F.broadcast(hits), "ordinal", "left").select(
