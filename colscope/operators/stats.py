@@ -80,7 +80,8 @@ def pair_sums(df: DataFrame, cols, centers: dict[int, float] | None = None) -> D
 
     Each task turns its Arrow batches into matrices and adds up four matrix products - presence,
     sums, squares and cross products - so pairwise deletion costs the same as complete data, and
-    one row per pair leaves the task. Values are shifted by `centers` to keep the sums accurate.
+    one row per pair leaves the task. Values are shifted by `centers` to keep the sums accurate;
+    medians serve best, because a mean can lie far from the rows that a pair has in common.
     """
     p = len(cols)
     shift = [float((centers or {}).get(c.ordinal) or 0.0) for c in cols]
@@ -140,7 +141,8 @@ def pearson_pairs(df: DataFrame, columns=None, dataset: str = "", centers: dict[
         return local_table(df.sparkSession, [], PAIR_DDL)
     if centers is None:
         row = by_position(df).agg(*[
-            F.avg(N.finite(N.as_double(pos(c), c.dtype))).alias(f"c{c.ordinal}") for c in cols]).first()
+            F.percentile_approx(N.finite(N.as_double(pos(c), c.dtype)), F.lit(0.5), F.lit(1000)).alias(f"c{c.ordinal}")
+            for c in cols]).first()
         centers = {c.ordinal: row[f"c{c.ordinal}"] for c in cols}
     ordinals = F.array(*[F.lit(c.ordinal) for c in cols])
     names = F.array(*[F.lit(c.name) for c in cols])

@@ -169,7 +169,7 @@ class Analysis:
     @cached_property
     def pairs(self) -> DataFrame:
         middle = self.clean_moments.select("ordinal", "mean").join(self.clean_order_stats.select("ordinal", "median"), "ordinal", "left")
-        centers = {r["ordinal"]: r["c"] for r in middle.select("ordinal", F.coalesce("mean", "median").alias("c")).collect()}
+        centers = {r["ordinal"]: r["c"] for r in middle.select("ordinal", F.coalesce("median", "mean").alias("c")).collect()}
         return settle(ST.pearson_pairs(self.clean, self.numeric_features, self.dataset, centers))
 
     @cached_property

@@ -1,7 +1,6 @@
 """Checks on uploaded files (IN3-IN7, IN12): one row per file, read with the binaryFile source.
 
-The checks look at whole files. The reference behaviour of judging by the first 8 KB is available
-through `head_bytes`.
+The checks look at whole files; judging by the first bytes only is available through `head_bytes`.
 """
 
 from __future__ import annotations

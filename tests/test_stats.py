@@ -93,3 +93,14 @@ def test_triples_scan(spark):
     rows = [(float(i % 50 + 200 * g), float(-(i % 50) + 200 * g + i % 7), "abc"[g]) for g in range(3) for i in range(100)]
     df = spark.createDataFrame(rows, "x double, y double, g string")
     assert ST.all_triples(df, ["x", "y"], ["g"]).first()["columns"] == ["x", "y", "g"]
+
+
+def test_pair_without_the_outlier_keeps_its_digits(spark):
+    """The one huge value is missing from the pair, so the column's mean is far from what is left."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 13, 2000).astype(float), rng.integers(0, 100, 2000).astype(float)
+    rows = [(1e9 if i == 7 else float(x[i]), None if i % 5 == 2 else float(y[i])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    keep = [i for i in range(2000) if i % 5 != 2]
+    want = np.corrcoef(x[keep], y[keep])[0, 1]
+    assert ST.pearson_pairs(df).first()["r"] == pytest.approx(want, abs=1e-10)
