@@ -195,7 +195,7 @@ query("pr5_memory_mb", lambda s, d: P.memory_mb(dirty(s, d), book.DATASET),
 def _fin4(c, alias=None):
     """Rounded to 4 digits by way of a decimal: DuckDB rounds doubles after scaling them, which turns
     499.70504999999997 into a tie."""
-    return f"case when isfinite({c}) then cast(round(cast({c} as decimal(38,15)),4) as double) end as {alias or c}"
+    return f"case when isfinite({c}) then cast(round(cast(cast({c} as varchar) as decimal(38,15)),4) as double) end as {alias or c}"
 
 
 query("pr6_numeric_profile", lambda s, d: P.numeric_profile(P.moments(dirty(s, d), book.DATASET)),
