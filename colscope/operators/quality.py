@@ -11,7 +11,7 @@ from colscope.functions import numeric as N
 from colscope.functions import text as X
 from colscope.operators import quantiles as Q
 from colscope.operators.longform import (
-    by_position, columns_of, long_numeric, ordinal_of, pos, schema_table, unpivot,
+    columns_of, long_numeric, ordinal_of, pos, schema_table, unpivot,
 )
 from colscope.schemas import as_finding, seq, union_all
 

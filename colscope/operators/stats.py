@@ -13,7 +13,7 @@ from colscope import constants as K
 from colscope.functions import numeric as N
 from colscope.functions import text as X
 from colscope.operators import quality
-from colscope.operators.longform import by_position, columns_of, long_numeric, ordinal_of, pos
+from colscope.operators.longform import by_position, columns_of, long_numeric, pos
 from colscope.operators.quantiles import order_statistics
 from colscope.schemas import as_finding, empty_findings, seq
 
