@@ -12,6 +12,8 @@ before the end of what has been read is final, whatever follows. The transducer
 that many symbols, emits what is final and goes on behind it, so its memory does not depend on the text.
 Splitting there changes nothing, because no merge ever crossed a final boundary.
 
+Letters and digits are those of Unicode 15.1; signs that are newer count as other signs.
+
 The argument needs a proper merge list (every part of a rule is a byte or made by an earlier rule); this is checked on loading.
 """
 
@@ -29,8 +31,12 @@ END = "</w>"
 #: The file's pattern for words, and white space as its pattern knows it.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 BLANK = regex.compile(r"\s+")
+#: Stands for a sign that Python's tables don't know either.
+UNKNOWN = "\uffff"
 #: Control signs that Python's split() takes for white space and the pattern doesn't.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: What a pair without a rule has: a rank behind all others.
+NO_RULE = (1 << 40, -1)
 #: Words that the cache holds at most in each of its two halves, and the longest word it takes.
 CACHE_WORDS, CACHE_CHARS = 150_000, 64
 
@@ -81,23 +87,22 @@ def lookahead(rules: list[tuple[str, str]]) -> int:
 
 
 def merge(symbols: list[int], ranks: dict) -> list[int]:
-    """Merges by rank, leftmost first."""
-    if len(symbols) > 40:
+    """Merges by rank, leftmost first. ranks: of a pair, its rank and the id of the merged symbol."""
+    if len(symbols) > 300:
         return merge_long(symbols, ranks)
-    out = list(symbols)
-    while len(out) > 1:
-        best = min((found for pair in zip(out, out[1:]) if (found := ranks.get(pair))), default=None)
-        if best is None:
+    out, get = list(symbols), ranks.get
+    found = [get(pair, NO_RULE) for pair in zip(out, out[1:])]
+    while found:
+        best = min(found)
+        if best is NO_RULE:
             break
-        rank, i, kept = best[0], 0, []
-        while i < len(out):
-            if i + 1 < len(out) and (found := ranks.get((out[i], out[i + 1]))) and found[0] == rank:
-                kept.append(found[1])
-                i += 2
-            else:
-                kept.append(out[i])
-                i += 1
-        out = kept
+        i = found.index(best)
+        out[i] = best[1]
+        del out[i + 1], found[i]
+        if i:
+            found[i - 1] = get((out[i - 1], out[i]), NO_RULE)
+        if i < len(found):
+            found[i] = get((out[i], out[i + 1]), NO_RULE)
     return out
 
 
@@ -181,7 +186,11 @@ class Encoder:
 
     def of_chunk(self, chunk: str) -> bytes:
         words = self.words
-        return b"".join([words[m.group()] for m in WORD.finditer(chunk)])
+        if chunk.isascii():
+            return b"".join([words[w] for w in WORD.findall(chunk)])
+        # signs that are newer than the library's tables are neither letters nor digits
+        known = "".join(c if c.isascii() or unicodedata.category(c) != "Cn" else UNKNOWN for c in chunk)
+        return b"".join([words[chunk[m.start(): m.end()]] for m in WORD.finditer(known)])
 
     def normal(self, text: str) -> str:
         """Composed and in lower case, letter by letter: a final sigma has no form of its own."""

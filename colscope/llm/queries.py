@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from colscope.llm import exactdedup, sharding
+from colscope.llm import exactdedup, sharding, tokens
 
 QUERIES = {
+    "op1_bpe": tokens.op1_bpe,
     "op3_shards": sharding.op3_shards,
     "op6_exact": exactdedup.op6_exact,
 }
