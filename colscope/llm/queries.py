@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from colscope.llm import exactdedup, sharding, tokens
+from colscope.llm import exactdedup, packing, sharding, tokens
 
 QUERIES = {
     "op1_bpe": tokens.op1_bpe,
     "op3_shards": sharding.op3_shards,
+    "op5_packing": packing.op5_packing,
     "op6_exact": exactdedup.op6_exact,
 }
 

@@ -7,7 +7,8 @@ worker keeps one encoder with a bounded cache. Nothing is shuffled.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import os
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.bpe import Decoder, Encoder
+from colscope.llm.bpe import CACHE_CHARS, SEPARATORS, Chunks, Decoder, Encoder, decode_text
 from colscope.llm.common import documents, whole_text
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +30,37 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+class Library:
+    """The tokenizers library behind the same cache: only chunks that are not in it are encoded, a batch at a time."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tool, self.of = Tokenizer.from_file(path), encoder(path)
+        self.tool.no_truncation()
+        self.tool.no_padding()
+        self.chunks = Chunks(self.one)
+
+    def one(self, chunk: str) -> bytes:
+        return np.array(self.tool.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Packed ids of each text. No word crosses white space, so chunks between it are encoded by themselves."""
+        split = [(t, [] if not t else None if "<|" in t or SEPARATORS.search(t) else t.split()) for t in texts]
+        known, old = self.chunks, self.chunks.old
+        new = list({c: None for _, chunks in split if chunks for c in chunks if c not in known and c not in old and len(c) <= CACHE_CHARS})
+        found = {c: np.array(e.ids, np.uint32).tobytes() for c, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False))}
+        self.chunks.encode = lambda c: found[c] if c in found else self.one(c)
+        for text, chunks in split:
+            yield self.one(text) if chunks is None else b"".join(map(known.__getitem__, chunks))
+
+
+@lru_cache(maxsize=2)
+def library(path: str) -> Library:
+    return Library(path)
+
+
 def encode_texts(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str = WORD_BPE) -> DataFrame:
     """df with a column of token ids (array of int); null and empty texts have an empty array."""
     kept = [c for c in df.columns]
@@ -45,8 +77,6 @@ def encode_texts(df: DataFrame, text_col: str = "text", ids_col: str = "ids", pa
 
 def decode_ids(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str = WORD_BPE, form: str = "text") -> DataFrame:
     """df with the text of a column of ids; null and empty arrays give the empty text."""
-    from colscope.llm.bpe import decode_text
-
     if text_col.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the table has a column {text_col}")
 
