@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from colscope.llm import exactdedup, packing, sharding, tokens, toxicity
+from colscope.llm import exactdedup, htmltext, packing, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_bpe": tokens.op1_bpe,
     "op3_shards": sharding.op3_shards,
     "op5_packing": packing.op5_packing,
     "op6_exact": exactdedup.op6_exact,
+    "op9_html": htmltext.op9_html,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 

@@ -3,7 +3,7 @@
 Weights. For each word the log-odds of standing in a toxic rather than a clean document, with a Dirichlet prior
 that follows the word's overall frequency; documents, not occurrences, are counted, and of a group of near copies
 one counts, so that neither long nor copied documents make a word look toxic. A word is listed when its
-log-odds less Z standard errors are positive, and that lower bound is its score. Any other word scores the (negative)
+log-odds less some standard errors are clearly positive, and that lower bound is its score. Any other word scores the (negative)
 log ratio of not being listed.
 
 Passages. A linear scan finds every maximal scoring segment (all that can't be extended, shortened or joined for
@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,13 @@ WORD = re.compile(r"\w+")
 TRAIN_ROWS = 40_000
 #: One in so many training documents calibrates; the others give the weights.
 CALIBRATE = 4
-#: Weight of the Dirichlet prior, standard errors taken off, and toxic documents that a listed word needs.
-PRIOR, Z, LEAST = 20.0, 2.0, 4
+#: Weight of the Dirichlet prior, toxic documents that a listed word needs, and words listed by chance (over all words
+#: that are tested), from which the number of standard errors taken off follows.
+PRIOR, LEAST, BY_CHANCE = 20.0, 4, 0.5
+#: Lower bound of the log-odds from which on a word is listed: weaker words say what a text is about, not that it is toxic.
+LEAST_ODDS = 0.7
+#: Odd multipliers of the orders in which near copies are looked for.
+ORDERS = [0x9E3779B97F4A7C15 * k % (1 << 63) for k in range(1, 9)]
 #: A passage is significant from this evidence on: by chance one in e**3 documents has such a passage.
 SIGNIFICANT = 3.0
 
@@ -102,10 +108,11 @@ def evidence(words: list[str], model: Model) -> float:
     return sum(strong) if strong else max(each, default=-chance)
 
 
-def copy_key(words: list[str]) -> int:
-    """The smallest hash of five words in a row: mostly the same for near copies."""
+def copy_keys(words: list[str]) -> list[int]:
+    """For each of the ORDERS the smallest of the hashes of five words in a row: near copies agree in most of them."""
     step = max(1, min(5, len(words)))
-    return min((hash_of(" ".join(words[i: i + step])) for i in range(max(1, len(words) - step + 1))), default=0)
+    hashes = np.array([hash_of(" ".join(words[i: i + step])) for i in range(max(1, len(words) - step + 1))], np.uint64)
+    return [int((hashes * np.uint64(2 * k + 1) ^ (hashes >> np.uint64(31)) * np.uint64(k)).min() >> np.uint64(1)) for k in ORDERS]
 
 
 def hash_of(s: str) -> int:
@@ -129,17 +136,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "copy_of": [copy_key(words_of(t)) for t in b["text"]]})
+            found = [copy_keys(words_of(t)) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "keys": found})
 
-    groups = texts.mapInPandas(keys, "doc_id long, toxic int, copy_of long").groupBy("copy_of").agg(
-        F.min("doc_id").alias("doc_id"), F.round(F.avg("toxic")).cast("int").alias("toxic"))
-    return slim.join(F.broadcast(settle(groups.select("doc_id", "toxic"), "labels")), "doc_id")
+    # a row per document and order; a document goes if an earlier one has its key in half of the orders
+    listed = settle(texts.mapInPandas(keys, "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("turn", "key")), "keys")
+    first = listed.groupBy("turn", "key").agg(F.min("doc_id").alias("first"))
+    copies = listed.join(first, ["turn", "key"]).where("doc_id > first").groupBy("doc_id").count().where(
+        F.col("count") >= len(ORDERS) // 2).select("doc_id")
+    return settle(texts.join(F.broadcast(copies), "doc_id", "left_anti"), "training")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """The model from labelled training documents. Without any of one class every document scores the share of toxic ones."""
-    training = training_rows(docs, labels, rows)
-    calibrates = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(CALIBRATE)) == 0
+def word_scores(training: DataFrame) -> tuple[dict[str, float], int, int]:
+    """(scores of the listed words, clean and toxic documents)."""
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -152,19 +161,34 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         yield pd.DataFrame({"word": [*words, ""], "clean": [*(seen[0][w] for w in words), sizes[0]],
                             "toxic": [*(seen[1][w] for w in words), sizes[1]]})
 
-    table = settle(training.where(~calibrates).mapInPandas(counts, "word string, clean long, toxic long").groupBy("word").agg(
+    table = settle(training.mapInPandas(counts, "word string, clean long, toxic long").groupBy("word").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "weights")
     sizes = table.where("word = ''").first()
     n0, n1 = (sizes["clean"], sizes["toxic"]) if sizes else (0, 0)
     if not n0 or not n1:
-        share = (n1 + 0.5) / (n0 + n1 + 1.0) if n0 + n1 else 0.0
-        return Model({}, -1.0, slope=0.0, shift=math.log(share / (1 - share)) if share else -30.0)
+        return {}, n0, n1
+    tested = table.where((F.col("word") != "") & (F.col("toxic") >= LEAST) & (F.col("toxic") < n1))
+    z = NormalDist().inv_cdf(1 - BY_CHANCE / max(2, tested.count()))
     prior = PRIOR * (F.col("clean") + F.col("toxic")) / (n0 + n1)
     inside = lambda c, n: F.log((F.col(c) + prior) / (n + PRIOR - F.col(c) - prior))
-    bound = inside("toxic", n1) - inside("clean", n0) - Z * F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
+    bound = inside("toxic", n1) - inside("clean", n0) - z * F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     # at most (words of the bounded training documents) / LEAST rows
-    listed = table.where((F.col("word") != "") & (F.col("toxic") >= LEAST) & (F.col("toxic") < n1)).withColumn("score", bound).where("score > 0")
-    scores = {r["word"]: float(r["score"]) for r in listed.select("word", "score").collect()}
+    listed = tested.withColumn("score", bound).where(F.col("score") > LEAST_ODDS)
+    return {r["word"]: float(r["score"]) for r in listed.select("word", "score").collect()}, n0, n1
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """The model from labelled training documents: calibrated on a part that gave no weights, then with the weights of all.
+
+    Without any documents of one class every document scores the share of toxic ones.
+    """
+    training = training_rows(docs, labels, rows)
+    calibrates = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(CALIBRATE)) == 0
+    everything, n0, n1 = word_scores(training)
+    scores = word_scores(training.where(~calibrates))[0]
+    if not n0 or not n1:
+        share = (n1 + 0.5) / (n0 + n1 + 1.0) if n0 + n1 else 0.0
+        return Model({}, -1.0, slope=0.0, shift=math.log(share / (1 - share)) if share else -30.0)
 
     def profile(model: Model | None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,6 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         model.k = min(1.0, max(1e-6, float(1 / (clean.words * np.exp(-model.lam * clean.best)).mean())))
     seen = held.mapInPandas(profile(model), shape).toPandas()
     model.slope, model.shift = logistic(seen["evidence"].to_numpy(float), seen["toxic"].to_numpy(float))
+    model.scores = everything
     return model
 
 
