@@ -100,9 +100,14 @@ def found(words: list[str], model: Model) -> list[tuple[int, int, float]]:
     return maximal_segments([(i, scores[w]) for i, w in enumerate(words) if w in scores], model.other)
 
 
+def chance_of(words: list[str], model: Model) -> float:
+    """ln(K n), at least 0: few words are no evidence."""
+    return max(0.0, math.log(model.k * max(1, len(words))))
+
+
 def evidence(words: list[str], model: Model) -> float:
     """Sum of the significant passages' evidence, or the best passage's; without any, that of a segment of score 0."""
-    chance = math.log(model.k * max(1, len(words)))
+    chance = chance_of(words, model)
     each = [model.lam * s - chance for *_, s in found(words, model)]
     strong = [x for x in each if x >= SIGNIFICANT]
     return sum(strong) if strong else max(each, default=-chance)
@@ -262,8 +267,9 @@ def passages(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for doc, text in zip(b["doc_id"].astype("Int64").array, b["text"]):
                 low = text.lower() if text else ""
                 at = [m.span() for m in WORD.finditer(low)]
-                chance = math.log(model.k * max(1, len(at)))
-                for i, j, s in found([low[a:z] for a, z in at], model):
+                words = [low[a:z] for a, z in at]
+                chance = chance_of(words, model)
+                for i, j, s in found(words, model):
                     if model.lam * s - chance >= SIGNIFICANT:
                         out.append((doc, at[i][0], at[j][1] - 1, s, model.lam * s - chance))
             yield pd.DataFrame(out, columns=["doc_id", "first", "last", "score", "evidence"]).astype({"doc_id": "Int64"})
