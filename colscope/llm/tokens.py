@@ -46,14 +46,29 @@ class Library:
         return np.array(self.tool.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Packed ids of each text. No word crosses white space, so chunks between it are encoded by themselves."""
-        split = [(t, [] if not t else None if "<|" in t or SEPARATORS.search(t) else t.split()) for t in texts]
-        known, old = self.chunks, self.chunks.old
-        new = list({c: None for _, chunks in split if chunks for c in chunks if c not in known and c not in old and len(c) <= CACHE_CHARS})
-        found = {c: np.array(e.ids, np.uint32).tobytes() for c, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False))}
-        self.chunks.encode = lambda c: found[c] if c in found else self.one(c)
-        for text, chunks in split:
-            yield self.one(text) if chunks is None else b"".join(map(known.__getitem__, chunks))
+        """Packed ids of each text, a portion of texts at a time. No word crosses white space, so chunks between it are encoded by themselves."""
+        for some in portions(texts):
+            split = [(t, [] if not t else None if "<|" in t or SEPARATORS.search(t) else t.split()) for t in some]
+            known, old = self.chunks, self.chunks.old
+            new = list({c: None for _, chunks in split if chunks for c in chunks if c not in known and c not in old and len(c) <= CACHE_CHARS})
+            found = {c: np.array(e.ids, np.uint32).tobytes() for c, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False))}
+            self.chunks.encode = lambda c: found[c] if c in found else self.one(c)  # noqa: B023
+            for text, chunks in split:
+                yield self.one(text) if chunks is None else b"".join(map(known.__getitem__, chunks))
+
+
+def portions(texts: Iterable[str | None], chars: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The texts in lists of about so many characters, so that the words of a whole batch are never held at once."""
+    some: list[str | None] = []
+    size = 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "")
+        if size >= chars:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 @lru_cache(maxsize=2)
