@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from colscope.llm import exactdedup, htmltext, packing, sharding, tokens, toxicity
+from colscope.llm import exactdedup, htmltext, neardedup, packing, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_bpe": tokens.op1_bpe,
     "op3_shards": sharding.op3_shards,
+    "op4_near": neardedup.op4_near,
     "op5_packing": packing.op5_packing,
     "op6_exact": exactdedup.op6_exact,
     "op9_html": htmltext.op9_html,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_near": neardedup.ORACLE,
     "op6_exact": exactdedup.ORACLE,
 }
