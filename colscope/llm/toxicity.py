@@ -28,10 +28,10 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import documents, free_name, settle, whole_text
+from colscope.llm.common import documents, free_name, remainder, settle, whole_text
 
 WORD = re.compile(r"\w+")
 #: Training documents, about; the labelled rows are sampled down to it by a hash of doc_id.
@@ -124,11 +124,6 @@ def hash_of(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) >> 1
 
 
-def remainder(id_col: str, n: int) -> Column:
-    """crc32 of the identifier as text, mod n; null as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).cast("binary")), F.lit(n))
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, toxic, text of the training documents: about `rows` labelled ones, whose remainder mod 5 isn't 0, one of each group of near copies."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
