@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from colscope.llm import exactdedup, htmltext, neardedup, packing, sharding, suffixtree, tokens, toxicity
+from colscope.llm import exactdedup, fingerprints, htmltext, neardedup, packing, sharding, suffixtree, tokens, toxicity
 
 QUERIES = {
     "op1_bpe": tokens.op1_bpe,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_shards": sharding.op3_shards,
     "op4_near": neardedup.op4_near,
     "op5_packing": packing.op5_packing,
