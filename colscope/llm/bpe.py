@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -30,6 +31,9 @@ import regex
 END = "</w>"
 #: The file's pattern for words, and white space as its pattern knows it.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same for lower-case ASCII without white space; letters up to here are in all versions of Unicode.
+ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+LATIN_END = "\u0250"
 BLANK = regex.compile(r"\s+")
 #: Stands for a sign that Python's tables don't know either.
 UNKNOWN = "\uffff"
@@ -38,7 +42,7 @@ SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: What a pair without a rule has: a rank behind all others.
 NO_RULE = (1 << 40, -1)
 #: Words that the cache holds at most in each of its two halves, and the longest word it takes.
-CACHE_WORDS, CACHE_CHARS = 150_000, 64
+CACHE_WORDS, CACHE_CHARS = 250_000, 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -182,11 +186,18 @@ class Encoder:
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in self.v.special) + ")") if self.v.special else None
 
     def of_word(self, word: str) -> bytes:
-        return array("I", [*self.transducer.feed(word.encode()), *self.transducer.finish()]).tobytes()
+        data = word.encode()
+        if len(data) <= self.transducer.window:  # the end is in sight: everything is final at once
+            symbols = [self.v.inner[b] for b in data]
+            symbols[-1] = self.v.final[data[-1]]
+            return array("I", merge(symbols, self.v.ranks)).tobytes()
+        return array("I", [*self.transducer.feed(data), *self.transducer.finish()]).tobytes()
 
     def of_chunk(self, chunk: str) -> bytes:
         words = self.words
         if chunk.isascii():
+            return b"".join([words[w] for w in ASCII_WORD.findall(chunk)])
+        if max(chunk) < LATIN_END:
             return b"".join([words[w] for w in WORD.findall(chunk)])
         # signs that are newer than the library's tables are neither letters nor digits
         known = "".join(c if c.isascii() or unicodedata.category(c) != "Cn" else UNKNOWN for c in chunk)

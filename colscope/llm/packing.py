@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colscope.llm.common import documents, settle, whole_text
-from colscope.llm.tokens import WORD_BPE, library
+from colscope.llm.tokens import WORD_BPE, encoder
 
 SEQUENCE = 2048
 #: The id that ends every document.
@@ -62,11 +62,11 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """doc_id, start, length, ids_crc32 and doc_tokens: every document's ids and the end id, cut at each `capacity` ids."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = library(path)
+        tool = encoder(path)
         for batch in batches:
             out: list[tuple] = []
-            for doc, packed in zip(batch["doc_id"].astype("Int64").array, tool.encode_all(batch["text"])):
-                ids = np.append(np.frombuffer(packed, np.uint32), END_ID).astype("<u4")
+            for doc, text in zip(batch["doc_id"].astype("Int64").array, batch["text"]):
+                ids = np.append(np.frombuffer(tool.encode(text), np.uint32), END_ID).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     part = ids[start: start + capacity]
                     out.append((doc, start, len(part), zlib.crc32(part.tobytes()), len(ids)))

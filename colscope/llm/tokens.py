@@ -7,7 +7,6 @@ worker keeps one encoder with a bounded cache. Nothing is shuffled.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -17,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.bpe import CACHE_CHARS, SEPARATORS, Chunks, Decoder, Encoder, decode_text
+from colscope.llm.bpe import Decoder, Encoder, decode_text
 from colscope.llm.common import documents, whole_text
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,33 +29,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-class Library:
-    """The tokenizers library behind the same cache: only chunks that are not in it are encoded, a batch at a time."""
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tool, self.of = Tokenizer.from_file(path), encoder(path)
-        self.tool.no_truncation()
-        self.tool.no_padding()
-        self.chunks = Chunks(self.one)
-
-    def one(self, chunk: str) -> bytes:
-        return np.array(self.tool.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Packed ids of each text, a portion of texts at a time. No word crosses white space, so chunks between it are encoded by themselves."""
-        for some in portions(texts):
-            split = [(t, [] if not t else None if "<|" in t or SEPARATORS.search(t) else t.split()) for t in some]
-            known, old = self.chunks, self.chunks.old
-            new = list({c: None for _, chunks in split if chunks for c in chunks if c not in known and c not in old and len(c) <= CACHE_CHARS})
-            found = {c: np.array(e.ids, np.uint32).tobytes() for c, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False))}
-            self.chunks.encode = lambda c: found[c] if c in found else self.one(c)  # noqa: B023
-            for text, chunks in split:
-                yield self.one(text) if chunks is None else b"".join(map(known.__getitem__, chunks))
-
-
 def portions(texts: Iterable[str | None], chars: int = 1 << 20) -> Iterator[list[str | None]]:
     """The texts in lists of about so many characters, so that the words of a whole batch are never held at once."""
     some: list[str | None] = []
