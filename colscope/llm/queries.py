@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colscope.llm import exactdedup, fingerprints, htmltext, neardedup, packing, sharding, suffixtree, tokens, toxicity
+from colscope.llm import exactdedup, fingerprints, htmltext, neardedup, packing, passages, sharding, suffixtree, tokens, toxicity
 
 QUERIES = {
     "op1_bpe": tokens.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_near": neardedup.op4_near,
     "op5_packing": packing.op5_packing,
     "op6_exact": exactdedup.op6_exact,
+    "op7_passages": passages.op7_passages,
     "op8_score": suffixtree.op8_score,
     "op9_html": htmltext.op9_html,
     "op10_toxicity": toxicity.op10_toxicity,
