@@ -119,15 +119,14 @@ def batch_regions(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"anchor": anchor, "content": content, "doc": doc, "start": start, "first": first})
 
 
-def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with `doc`, a number in the order of documents: the identifier itself where each row has one of its own.
+def numbered(df: DataFrame, id_col: str, text_col: str, name: str = "doc") -> DataFrame:
+    """df with a number `name` in the order of documents: the identifier itself where each row has one of its own.
 
     Otherwise rows are numbered by identifier (null last), hash of the text and place; that table is settled.
     """
-    name = free_name(df, "doc")
     rows, ids = df.agg(F.count("*"), F.countDistinct(F.col(id_col).cast("long"))).first()
     if rows == ids:
-        return df.withColumn(name, F.col(id_col).cast("long")).withColumnRenamed(name, "doc")
+        return df.withColumn(name, F.col(id_col).cast("long"))
     order = [F.col(id_col).cast("long").asc_nulls_last(), F.xxhash64(whole_text(text_col))]
     return settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "numbered")
 
@@ -253,17 +252,18 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the passages cut out of its texts. Bytes of a character that is cut in two go with the cut."""
-    mark, runs = free_name(df, "row_text"), free_name(df, "row_runs")
-    docs = numbered(df.withColumn(mark, whole_text(text_col)), id_col, mark)
-    found = covered(docs.select("doc", F.col(mark).alias("text"))).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias(runs))
+    doc, runs = free_name(df, "doc"), free_name(df, "row_runs")
+    docs = numbered(df, id_col, text_col, doc)
+    found = covered(docs.select(F.col(doc).alias("doc"), whole_text(text_col).alias("text")))
+    found = found.groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("start", "windows")).alias(runs))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([t if not (gone := removed_of(r)) else keep(t.encode("utf-8", "replace"), gone).decode("utf-8", "ignore")
                           for t, r in zip(texts, lists)], dtype=object)
 
-    done = docs.join(found, "doc", "left")
-    kept = F.when(F.col(runs).isNull(), F.col(text_col).cast("string")).otherwise(cut(mark, runs))
+    done = docs.join(found, doc, "left")
+    kept = F.when(F.col(runs).isNull(), F.col(text_col).cast("string")).otherwise(cut(whole_text(text_col), F.col(runs)))
     return done.withColumn(text_col, kept).select(*df.columns)
 
 
