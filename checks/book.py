@@ -245,11 +245,11 @@ CTE["targets"] = """
   qualify row_number() over (order by score desc, s.ordinal) <= 3"""
 CTE["dist"] = """
   select ordinal, name, coalesce(value_str,'None') as value, cnt,
-    round(cnt*100.0::double/sum(cnt) over (partition by ordinal),2) as pct,
-    case when cnt = max(cnt) over w and count(*) over w >= 2 and cnt*1.0::double/sum(cnt) over w > 0.7 then 'critical'
-         when cnt = max(cnt) over w and count(*) over w >= 2 and cnt*1.0::double/sum(cnt) over w > 0.5 then 'high'
+    round(cnt*100.0::double/rows,2) as pct,
+    case when cnt = max(cnt) over w and count(*) over w >= 2 and cnt*1.0::double/rows > 0.7 then 'critical'
+         when cnt = max(cnt) over w and count(*) over w >= 2 and cnt*1.0::double/rows > 0.5 then 'high'
          else 'normal' end as flag
-  from tops window w as (partition by ordinal)"""
+  from tops join (select ordinal, rows from counts) using (ordinal) window w as (partition by ordinal)"""
 
 # ------------------------------------------------------------ statistics on scrubbed features
 CTE["feat"] = ("select s.ordinal, s.name, case when family='text' then 'text' else 'numeric' end as role from schema_ s"
@@ -274,22 +274,22 @@ CTE["pairs"] = """
 CTE["corr"] = f"""
   select cast(row_number() over (order by abs(round(r,3)) desc, i, j) as integer) as rank, col_a, col_b,
     round(r,3)+0.0::double as correlation, {bands('abs(r)', K.STRENGTH_LABELS, 'negligible')} as strength, n
-  from pairs where r is not null qualify row_number() over (order by abs(round(r,3)) desc, i, j) <= {K.TOP_PAIRS}"""
+  from pairs where r is not null qualify row_number() over (order by abs(round(r,3)) desc, i, j) <= 20"""
+CTE["allcorr"] = CTE["corr"][: CTE["corr"].index(" qualify ")]
 CTE["outl"] = """
   select c.ordinal, any_value(c.name) as name, count(*) as nn,
     cast(count(*) filter (where v < q25-1.5*(q75-q25) or v > q75+1.5*(q75-q25)) as bigint) as mild,
     cast(count(*) filter (where v < q25-3*(q75-q25) or v > q75+3*(q75-q25)) as bigint) as extreme
   from clong c join cstat s on s.ordinal=c.ordinal where v is not null and s.nn >= 10 and q75-q25 <> 0 group by c.ordinal"""
-CTE["first15"] = f"select ordinal from feat where role='numeric' order by ordinal limit {K.SUMMARY_COLUMNS}"
 CTE["outsum"] = ('select ordinal, name as "column", mild as outlier_count, round(mild*100.0::double/nn,2) as outlier_pct from outl'
-                 " where mild > 0 and ordinal in (select ordinal from first15)")
+                 " where mild > 0 and ordinal in (select ordinal from feat where role='numeric')")
 _s = "skewness"
 CTE["shapes"] = f"""
   select ordinal, name as "column", round(skewness,3)+0.0::double as skewness, round(kurtosis,3)+0.0::double as kurtosis,
     case when abs({_s}) > {K.EXTREME_SKEW} then 'critically skewed' when {_s} > 2 then 'heavily right-skewed'
       when {_s} > 0.5 then 'right-skewed' when {_s} < -2 then 'heavily left-skewed' when {_s} < -0.5 then 'left-skewed'
       else 'roughly normal' end as shape
-  from cmom where nn >= 10 and ordinal in (select ordinal from first15)"""
+  from cmom where nn >= 10 and ordinal in (select ordinal from feat where role='numeric')"""
 CTE["patterns"] = f"""
   select nnum > 0 as has_numeric_features, columns > 50 as high_dimensional, rows > 100000 as large_dataset,
     rows < 500 as small_dataset, ntext > nnum as many_categoricals, sk as skewed_columns, len(sk) > 0 as has_skewed_features,

@@ -364,7 +364,7 @@ query("tg3_explicit_target", _explicit,
         union all select 0, ordinal, s.name, 999, case when unique_count <= 20 then 'classification' else 'regression' end, unique_count,
           case when unique_count <= 20 and buckets >= 2 then imbalance_ratio end, 'user selected via API'
         from scores s join ratios using (ordinal) where s.name = 'priority')""")
-query("tg4_class_distribution", lambda s, d: TG.class_distribution(A(s, d).top_values),
+query("tg4_class_distribution", lambda s, d: A(s, d).distribution,
       f"select {_DS}, ordinal, name, value, cnt as count, pct, flag from dist")
 
 # ================================================================ ST
@@ -381,7 +381,8 @@ query("st1_sentinel_scrub", _scrub_log,
 query("st1_scrubbed_table", lambda s, d: ST.sentinel_scrub(dirty(s, d))[0].select("order_id", "amount", "bonus"),
       "select order_id, case when not exists (select 1 from cand c where c.name='amount' and c.cand=d.amount) then amount end as amount,"
       " case when not exists (select 1 from cand c where c.name='bonus' and c.cand=d.bonus) then bonus end as bonus from d")
-query("st2_row_sample", lambda s, d: ST.row_sample(read_table(s, d, "lineitem")))
+query("st2_row_sample", lambda s, d: ST.row_sample(read_table(s, d, "lineitem"), key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]),
+      "select * from lineitem order by md5(concat_ws('|', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)) limit 50000")
 query("st3_feature_columns", lambda s, d: A(s, d).features, f"select {_DS}, ordinal, name, role from feat")
 query("st4_pearson_matrix", lambda s, d: A(s, d).pairs.withColumn("r", N.rounded(F.col("r"), 4)),
       f"select {_DS}, i, j, col_a, col_b, n, round(r,4)+0.0::double as r from pairs")
@@ -560,7 +561,7 @@ query("fn16_column_relationships", lambda s, d: A(s, d).relationships,
         case when correlation > 0 then 'positive' else 'negative' end as direction,
         case when abs(correlation) >= 0.9 then 'high' when abs(correlation) >= 0.7 then 'medium' else 'info' end as severity,
         printf('"%s" and "%s" (r = %+.2f)', col_a, col_b, correlation) as explanation,
-        cast(row_number() over (order by abs(correlation) desc, rank) as integer) as position from corr where abs(correlation) >= 0.3""")
+        cast(row_number() over (order by abs(correlation) desc, rank) as integer) as position from allcorr where abs(correlation) >= 0.3""")
 query("fn17_quick_wins", lambda s, d: FN.quick_wins(A(s, d).duplicates, A(s, d).traits, A(s, d).all_findings).withColumn("tips", joined("tips", " | ")),
       f"""select {_DS}, case when t = '' then 'Data looks clean' else t end as tips from (select array_to_string(list_filter([
         case when duplicate_rows > 0 then 'Remove ' || format('{{:,}}', duplicate_rows) || ' duplicates' end,
@@ -611,36 +612,33 @@ def enrichment(df: DataFrame) -> DataFrame:
 query("fn21_enrichment_overlay",
       lambda s, d: (lambda f: FN.enrichment_overlay(f, enrichment(f)))(FN.aggregate_findings(order_findings(s, d))).select(
           "dataset", "type", "severity", "column", "position", "enriched"),
-      "select dataset, type, severity, \"column\", position, row_number() over (partition by dataset, severity order by position) <="
-      " case severity when 'critical' then 4 when 'high' then 5 when 'medium' then 5 else 0 end as enriched from fagg", book.ORDER_FINDINGS)
+      "select dataset, type, severity, \"column\", position, true as enriched from fagg", book.ORDER_FINDINGS)
 query("fn22_digest",
       lambda s, d: A(s, d).digest.select(
           "dataset", "rows", "columns", "structure", F.size("quality_issues_summary").alias("n_issues"), F.size("column_digest").alias("n_columns"),
           F.size("top_correlations").alias("n_pairs"), F.col("target.column").alias("target"), F.col("model.primary_model").alias("model"),
           F.array_join(F.transform(F.array_sort(F.map_keys("quality_issue_counts")),
                                    lambda k: F.concat(k, F.lit("="), F.element_at("quality_issue_counts", k).cast("string"))), ", ").alias("issue_counts")),
-      f"""select {_DS}, rows, columns, type as structure, cast(least((select count(*) from quality), 30) as integer) as n_issues,
-        cast(least(columns, 50) as integer) as n_columns, cast(least((select count(*) from corr), 10) as integer) as n_pairs,
+      f"""select {_DS}, rows, columns, type as structure, cast((select count(*) from quality) as integer) as n_issues,
+        cast(columns as integer) as n_columns, cast((select count(*) from corr) as integer) as n_pairs,
         (select "column" from targets where rank=1) as target, (select primary_model from pick) as model,
         (select string_agg(t || '=' || n, ', ' order by t) from (select type as t, count(*) as n from quality group by type)) as issue_counts
       from info, structure""")
 query("fn23_severity_filter", lambda s, d: FN.keep_severities(A(s, d).findings, ("critical", "high")).select("dataset", "type", "severity", "column"),
       "select dataset, type, severity, \"column\" from frel where severity in ('critical','high')")
 query("fn23_strength_filter", lambda s, d: FN.keep_strong(A(s, d).relationships, 0.8).select("dataset", "col_a", "col_b", "correlation"),
-      f"select {_DS}, col_a, col_b, correlation from corr where abs(correlation) >= 0.8")
+      f"select {_DS}, col_a, col_b, correlation from allcorr where abs(correlation) >= 0.8")
 
 # ================================================================ CH
 
 _band = book.bands("missing_pct", CH.MISSING_BANDS, "low")
 query("ch1_missing_values", lambda s, d: CH.missing_values(A(s, d).counts),
       f"select {_DS}, cast(row_number() over (order by missing_pct desc, ordinal) as integer) as rank, name, missing_pct, {_band} as band from counts"
-      " where missing_pct > 0 qualify rank <= 25")
-_cc = "(select col_a as c from corr union select col_b from corr)"
-query("ch2_correlation", lambda s, d: CH.correlation(A(s, d).correlations),
-      f"""select {_DS}, 'matrix' as layout, a.c as "row", b.c as col, case when a.c = b.c then 1.0::double else coalesce(p.correlation, 0.0::double) end as value
-        from {_cc} a, {_cc} b left join (select col_a, col_b, correlation from corr union all select col_b, col_a, correlation from corr) p
-          on p.col_a = a.c and p.col_b = b.c where (select count(*) from {_cc}) <= 14
-      union all select {_DS}, 'ranked', col_a, col_b, correlation from corr where (select count(*) from {_cc}) > 14""")
+      " where missing_pct > 0")
+query("ch2_correlation", lambda s, d: CH.correlation(A(s, d).pairs),
+      f"""select {_DS}, col_a as "row", col_b as col, round(r,3)+0.0::double as value from pairs union all
+        select {_DS}, col_b, col_a, round(r,3)+0.0::double from pairs union all
+        select {_DS}, c, c, 1.0::double from (select col_a as c from pairs union select col_b from pairs)""")
 query("ch3_target_distribution", lambda s, d: CH.target_distribution(_status_target(s, d), A(s, d).distribution, A(s, d).profile),
       f"select {_DS}, name, value as label, cast(cnt as double) as amount, pct, flag from dist where name='status_code'")
 query("ch3_target_distribution_regression",
@@ -695,21 +693,21 @@ query("ch8_duplicates", lambda s, d: CH.duplicates(A(s, d).info, A(s, d).duplica
       f"select {_DS}, rows - duplicate_rows as unique_rows, duplicate_rows, round(duplicate_rows*100.0::double/rows,2) as duplicate_pct from info, dups where duplicate_rows > 0")
 query("ch9_cardinality", lambda s, d: CH.cardinality(A(s, d).counts),
       f"select {_DS}, cast(row_number() over (order by unique_count desc, ordinal) as integer) as rank, name, unique_count, unique_pct,"
-      " case when unique_pct >= 95 then 'nearly unique' when unique_pct >= 80 then 'high' else 'normal' end as band from counts qualify rank <= 25")
+      " case when unique_pct >= 95 then 'nearly unique' when unique_pct >= 80 then 'high' else 'normal' end as band from counts")
 
 
 def _amount_target(s, d):
     return A(s, d).targets.where("rank = 1").withColumn("column", F.lit("amount_gross"))
 
 
-query("ch10_feature_importance", lambda s, d: CH.feature_importance(_amount_target(s, d), A(s, d).correlations),
+query("ch10_feature_importance", lambda s, d: CH.feature_importance(_amount_target(s, d), ST.known_correlations(A(s, d).pairs)),
       f"""select {_DS}, cast(row_number() over (order by importance desc, rank) as integer) as rank, 'amount_gross' as target, feature, importance,
         case when importance >= 0.5 then 'strong' when importance >= 0.3 then 'moderate' else 'weak' end as band from (
-        select rank, case when col_a='amount_gross' then col_b else col_a end as feature, abs(correlation) as importance from corr
+        select rank, case when col_a='amount_gross' then col_b else col_a end as feature, abs(correlation) as importance from allcorr
         where col_a='amount_gross' or col_b='amount_gross')""")
 query("ch11_missing_pattern", lambda s, d: CH.missing_pattern(A(s, d).counts),
       f"select {_DS}, cast(row_number() over (order by missing_pct desc, ordinal) as integer) as rank, name, missing_pct, {_band} as band from counts"
-      " where missing_pct > 0 and (select count(*) from counts where missing_pct > 0) >= 2 qualify rank <= 20")
+      " where missing_pct > 0 and (select count(*) from counts where missing_pct > 0) >= 2")
 query("ch11_co_missing", lambda s, d: CH.co_missing(dirty(s, d), book.DATASET),
       f"select {_DS}, missing_together, count(*) as rows from (select array_to_string(list_filter(["
       + ", ".join(f"case when {n} is null then '{n}' end" for _, n, _ in book.COLUMNS)
@@ -717,7 +715,7 @@ query("ch11_co_missing", lambda s, d: CH.co_missing(dirty(s, d), book.DATASET),
 query("ch12_box_plots", lambda s, d: CH.box_plots(A(s, d).quartiles),
       f"select {_DS}, cast(row_number() over (order by ordinal) as integer) as rank, o.name, median, q25, q75,"
       " greatest(mn, q25-1.5*(q75-q25)) as whisker_low, least(mx, q75+1.5*(q75-q25)) as whisker_high from ostat o join"
-      " (select ordinal, mn, mx from mom) m using (ordinal) qualify rank <= 12")
+      " (select ordinal, mn, mx from mom) m using (ordinal)")
 query("ch13_pca_variance", lambda s, d: CH.pca_variance(ML.pca_summary(read_table(s, d, "lineitem"), FEATS, "lineitem")))
 query("ch14_cluster_points", lambda s, d: CH.cluster_points(ML.cluster_preview(read_table(s, d, "lineitem"), FEATS, "lineitem", max_iter=20)))
 

@@ -34,10 +34,7 @@ SENTINEL_MIN_PCT = 0.5
 # --- fixed values: thresholds of the statistical checks
 EXTREME_SKEW = 50
 SAMPLE_MAX_ROWS = 50_000
-SUMMARY_COLUMNS = 15
 TOP_PAIRS = 20
-BAR_MAX = 25
-HEATMAP_MAX = 14
 
 # --- fixed values: hex heads of non-text files
 BINARY_HEADS = ("89504E47", "FFD8FF", "504B0304", "25504446", "0000", "7F454C46", "D0CF11")

@@ -5,46 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colscope import constants as K
 from colscope.functions import numeric as N
 from colscope.operators.longform import by_position, columns_of, pos
 
 MISSING_BANDS = ((50, "critical"), (20, "high"), (5, "medium"))
 
 
-def _top(df: DataFrame, order, k: int = K.BAR_MAX) -> DataFrame:
+def _top(df: DataFrame, order, k: int | None = None) -> DataFrame:
+    """Rows with their rank; all of them, or the first k."""
     w = Window.partitionBy("dataset").orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = df.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def missing_values(counts: DataFrame, k: int = K.BAR_MAX) -> DataFrame:
+def missing_values(counts: DataFrame, k: int | None = None) -> DataFrame:
     """CH1: columns with gaps, most first, with a severity band."""
     gaps = counts.where("missing_pct > 0")
     return _top(gaps, [F.desc("missing_pct"), "ordinal"], k).select(
         "dataset", "rank", "name", "missing_pct", N.bands(F.col("missing_pct"), MISSING_BANDS, "low").alias("band"))
 
 
-def correlation(correlations: DataFrame) -> DataFrame:
-    """CH2: a full symmetric matrix (as rows) up to 14 columns, else the ranked pairs.
-
-    Absent pairs are 0 and the diagonal is 1. The grid is columns x columns, at most 14 x 14.
-    """
-    names = correlations.select("dataset", "col_a", "rank").union(correlations.select("dataset", "col_b", "rank")).toDF(
-        "dataset", "c", "rank")
-    per_set = names.groupBy("dataset").agg(F.array_sort(F.collect_set("c")).alias("cols"))
-    small = per_set.where(F.size("cols") <= K.HEATMAP_MAX)
-    grid = small.select("dataset", F.explode("cols").alias("row"), "cols").select(
-        "dataset", "row", F.explode("cols").alias("col"))
-    both = correlations.select("dataset", F.col("col_a").alias("row"), F.col("col_b").alias("col"), "correlation").unionByName(
-        correlations.select("dataset", F.col("col_b").alias("row"), F.col("col_a").alias("col"), "correlation"))
-    matrix = grid.join(both, ["dataset", "row", "col"], "left").select(
-        "dataset", F.lit("matrix").alias("layout"), "row", "col",
-        F.when(F.col("row") == F.col("col"), 1.0).otherwise(F.coalesce("correlation", F.lit(0.0))).alias("value"))
-    wide = per_set.where(F.size("cols") > K.HEATMAP_MAX).select("dataset")
-    ranked = correlations.join(wide, "dataset", "left_semi").select(
-        "dataset", F.lit("ranked").alias("layout"), F.col("col_a").alias("row"), F.col("col_b").alias("col"),
-        F.col("correlation").alias("value"))
-    return matrix.unionByName(ranked)
+def correlation(pairs: DataFrame) -> DataFrame:
+    """CH2: the symmetric matrix as rows, for all columns; null where r is undefined, 1 on the diagonal."""
+    value = N.rounded(F.col("r"), 3).alias("value")
+    above = pairs.select("dataset", F.col("col_a").alias("row"), F.col("col_b").alias("col"), value)
+    names = pairs.select("dataset", F.explode(F.array("col_a", "col_b")).alias("row")).distinct()
+    return above.unionByName(above.select("dataset", F.col("col").alias("row"), F.col("row").alias("col"), "value")).unionByName(
+        names.select("dataset", "row", F.col("row").alias("col"), F.lit(1.0).alias("value")))
 
 
 def target_distribution(targets: DataFrame, distribution: DataFrame, profile: DataFrame) -> DataFrame:
@@ -59,7 +46,7 @@ def target_distribution(targets: DataFrame, distribution: DataFrame, profile: Da
         "dataset", "name", "s.label", "s.amount", F.lit(None).cast("double").alias("pct"), F.lit("normal").alias("flag")))
 
 
-def outliers(summary: DataFrame, k: int = K.BAR_MAX) -> DataFrame:
+def outliers(summary: DataFrame, k: int | None = None) -> DataFrame:
     """CH4: columns with at least 1% outliers."""
     hit = summary.where("outlier_pct >= 1")
     return _top(hit, [F.desc("outlier_pct"), "ordinal"], k).select(
@@ -67,7 +54,7 @@ def outliers(summary: DataFrame, k: int = K.BAR_MAX) -> DataFrame:
         N.bands(F.col("outlier_pct"), ((15, "critical"), (5, "high")), "medium").alias("band"))
 
 
-def skewness(shapes: DataFrame, k: int = K.BAR_MAX) -> DataFrame:
+def skewness(shapes: DataFrame, k: int | None = None) -> DataFrame:
     """CH5: columns with |skewness| of at least 1."""
     a = F.abs("skewness")
     return _top(shapes.where(a >= 1), [F.desc(a), "ordinal"], k).select(
@@ -126,26 +113,26 @@ def duplicates(info: DataFrame, dups: DataFrame) -> DataFrame:
         N.pct(F.col("duplicate_rows"), F.col("rows")).alias("duplicate_pct"))
 
 
-def cardinality(counts: DataFrame, k: int = K.BAR_MAX) -> DataFrame:
+def cardinality(counts: DataFrame, k: int | None = None) -> DataFrame:
     """CH9: distinct values per column, most first."""
     return _top(counts, [F.desc("unique_count"), "ordinal"], k).select(
         "dataset", "rank", "name", "unique_count", "unique_pct",
         N.bands(F.col("unique_pct"), ((95, "nearly unique"), (80, "high")), "normal").alias("band"))
 
 
-def feature_importance(targets: DataFrame, correlations: DataFrame, k: int = K.BAR_MAX) -> DataFrame:
-    """CH10: |r| of the listed pairs that touch the first target."""
+def feature_importance(targets: DataFrame, correlations: DataFrame, k: int | None = None) -> DataFrame:
+    """CH10: |r| of the pairs that touch the first target."""
     first = targets.where("rank = 1").select("dataset", F.col("column").alias("target"))
     x = correlations.join(F.broadcast(first), "dataset").where(
         (F.col("col_a") == F.col("target")) | (F.col("col_b") == F.col("target")))
     other = F.when(F.col("col_a") == F.col("target"), F.col("col_b")).otherwise(F.col("col_a"))
-    x = x.select("dataset", "target", other.alias("feature"), F.abs("correlation").alias("importance"), F.col("rank").alias("at"))
-    return _top(x, [F.desc("importance"), "at"], k).select(
+    x = x.select("dataset", "target", other.alias("feature"), F.abs("correlation").alias("importance"), "i", "j")
+    return _top(x, [F.desc("importance"), "i", "j"], k).select(
         "dataset", "rank", "target", "feature", "importance",
         N.bands(F.col("importance"), ((0.5, "strong"), (0.3, "moderate")), "weak").alias("band"))
 
 
-def missing_pattern(counts: DataFrame, k: int = 20) -> DataFrame:
+def missing_pattern(counts: DataFrame, k: int | None = None) -> DataFrame:
     """CH11: columns with gaps when there are at least two, most first."""
     gaps = counts.where("missing_pct > 0").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("dataset")))
     return _top(gaps.where("n >= 2"), [F.desc("missing_pct"), "ordinal"], k).select(
@@ -162,8 +149,8 @@ def co_missing(df: DataFrame, dataset: str = "", columns=None) -> DataFrame:
         "missing_together").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(dataset).alias("dataset"), "missing_together", "rows")
 
 
-def box_plots(quartiles: DataFrame, k: int = 12) -> DataFrame:
-    """CH12: median, quartiles and whiskers of the first numeric columns."""
+def box_plots(quartiles: DataFrame, k: int | None = None) -> DataFrame:
+    """CH12: median, quartiles and whiskers of the numeric columns."""
     return _top(quartiles.where("q25 is not null and q75 is not null"), ["ordinal"], k).select(
         "dataset", "rank", "name", "median", "q25", "q75", "whisker_low", "whisker_high")
 

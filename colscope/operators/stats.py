@@ -47,17 +47,17 @@ def sentinel_scrub(df: DataFrame, known: DataFrame | None = None, dataset: str =
     return (quality.mask_values(df, flagged) if flagged else df), log
 
 
-def row_sample(df: DataFrame, k: int = K.SAMPLE_MAX_ROWS, seed: int = 42) -> DataFrame:
-    """ST2: at most k rows, chosen by a seeded random number per row.
+def row_sample(df: DataFrame, k: int = K.SAMPLE_MAX_ROWS, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """ST2: at most k rows, those with the smallest digest of seed and key (all columns by default).
 
-    A first cut keeps a little more than k rows where they lie, so the final ordering never
-    sees more than that, whatever the size of the table.
+    The choice depends on the rows alone, not on how they are partitioned. Tasks keep k rows each before
+    the final ordering.
     """
-    n = df.count()
-    if n <= k:
-        return df
-    keep = min(1.0, (k + 8 * k**0.5 + 64) / n)
-    return df.withColumn("_u", F.rand(seed)).where(F.col("_u") < keep).orderBy("_u").limit(k).drop("_u")
+    if key is None:
+        digest = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+    else:
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(f"`{c}`").cast("string") for c in key]).cast("binary"))
+    return df.withColumn("_u", digest).orderBy("_u").limit(k).drop("_u")
 
 
 def feature_columns(schema: DataFrame, ids: DataFrame) -> DataFrame:
@@ -157,12 +157,17 @@ def strength(r: Column) -> Column:
     return N.bands(F.abs(r), K.STRENGTH_LABELS, "negligible")
 
 
+def known_correlations(pairs: DataFrame) -> DataFrame:
+    """All defined pairs with rounded r and strength, which is judged before rounding."""
+    return pairs.where("r is not null").select(
+        "dataset", "i", "j", "col_a", "col_b", N.rounded(F.col("r"), 3).alias("correlation"), strength(F.col("r")).alias("strength"), "n")
+
+
 def top_correlations(pairs: DataFrame, k: int = K.TOP_PAIRS) -> DataFrame:
-    """ST5: the k strongest defined pairs per dataset; strength is judged before rounding."""
-    known = pairs.where("r is not null").withColumn("correlation", N.rounded(F.col("r"), 3))
+    """ST5: the k strongest defined pairs per dataset."""
     w = Window.partitionBy("dataset").orderBy(F.desc(F.abs("correlation")), "i", "j")
-    return known.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "dataset", "rank", "col_a", "col_b", "correlation", strength(F.col("r")).alias("strength"), "n")
+    return known_correlations(pairs).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
+        "dataset", "rank", "col_a", "col_b", "correlation", "strength", "n")
 
 
 def multicollinearity(pairs: DataFrame) -> DataFrame:
@@ -213,8 +218,8 @@ def high_outliers(outliers: DataFrame) -> DataFrame:
                       message=F.format_string('%.1f%% of "%s" are extreme outliers.', p, F.col("name")))
 
 
-def outlier_summary(outliers: DataFrame, features: DataFrame, limit_columns: int | None = K.SUMMARY_COLUMNS) -> DataFrame:
-    """ST17: share of values beyond 1.5 IQR for the first columns, largest share first."""
+def outlier_summary(outliers: DataFrame, features: DataFrame, limit_columns: int | None = None) -> DataFrame:
+    """ST17: share of values beyond 1.5 IQR of every numeric column (or of the first `limit_columns`), largest share first."""
     p = F.round(F.col("mild") / F.col("nn") * 100, 2)
     first = _first_numeric(features, limit_columns)
     return outliers.join(first, ["dataset", "ordinal"], "left_semi").where("mild > 0").select(
@@ -324,7 +329,7 @@ def patterns(info: DataFrame, schema: DataFrame, features: DataFrame, m: DataFra
         (F.size(F.coalesce("extremely_skewed_columns", none)) > 0).alias("has_extreme_skewness"))
 
 
-def distribution_summary(m: DataFrame, features: DataFrame, limit_columns: int | None = K.SUMMARY_COLUMNS) -> DataFrame:
+def distribution_summary(m: DataFrame, features: DataFrame, limit_columns: int | None = None) -> DataFrame:
     """ST18: skewness, kurtosis and the shape they suggest; undefined skewness reads as normal."""
     s = F.col("skewness")
     shape = (

@@ -82,10 +82,11 @@ def explicit_target(candidates: DataFrame, scores: DataFrame, ratios: DataFrame,
     return both.withColumn("rank", F.row_number().over(w))
 
 
-def class_distribution(tops: DataFrame) -> DataFrame:
-    """TG4: classes of the top-5 list with their share of the list; the majority is flagged at 50% and 70%."""
+def class_distribution(tops: DataFrame, counts: DataFrame) -> DataFrame:
+    """TG4: the most frequent classes with their share of the column's rows; the majority is flagged at 50% and 70%."""
     per_column = Window.partitionBy("dataset", "ordinal")
-    share = N.ratio(F.col("count"), F.sum("count").over(per_column))
+    tops = tops.join(counts.select("dataset", "ordinal", "rows"), ["dataset", "ordinal"])
+    share = N.ratio(F.col("count"), F.col("rows"))
     is_top = (F.col("count") == F.max("count").over(per_column)) & (F.count(F.lit(1)).over(per_column) >= 2)
     flag = F.when(is_top & (share > 0.7), "critical").when(is_top & (share > 0.5), "high").otherwise("normal")
     return tops.select("dataset", "ordinal", "name", "value", "count", F.round(share * 100, 2).alias("pct"),

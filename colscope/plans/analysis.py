@@ -269,7 +269,7 @@ class Analysis:
 
     @cached_property
     def relationships(self) -> DataFrame:
-        return FN.column_relationships(self.correlations, self.all_findings)
+        return FN.column_relationships(ST.known_correlations(self.pairs), self.all_findings)
 
     @cached_property
     def quartiles(self) -> DataFrame:
@@ -277,7 +277,7 @@ class Analysis:
 
     @cached_property
     def distribution(self) -> DataFrame:
-        return TG.class_distribution(self.top_values)
+        return TG.class_distribution(self.top_values, self.counts)
 
     @cached_property
     def radar(self) -> DataFrame:
