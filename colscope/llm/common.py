@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,5 +44,10 @@ def remainder(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches that have rows: columns of texts or lists can't be made of none."""
+    return (b for b in batches if len(b))
+
+
 def documents(spark, folder: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

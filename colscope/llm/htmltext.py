@@ -159,7 +159,8 @@ def learn(pages: DataFrame, html_col: str = "html", rows: int = TRAIN_PAGES) ->
                 for kind, _, _, inside, words in blocks_of(page):
                     seen[inside][kind] += words if kind[0] != "<" else 1
         kinds = sorted(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"kind": kinds, "outside": [seen[0][k] for k in kinds], "inside": [seen[1][k] for k in kinds]})
+        if kinds:
+            yield pd.DataFrame({"kind": kinds, "outside": [seen[0][k] for k in kinds], "inside": [seen[1][k] for k in kinds]})
 
     # one row for each tag name; the names that are standard are what a page's text can depend on
     table = sample.mapInPandas(count, "kind string, outside long, inside long").groupBy("kind").agg(

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colscope.llm.common import documents, free_name, settle, whole_text
+from colscope.llm.common import documents, filled, free_name, settle, whole_text
 from colscope.llm.suffixarray import repeated_windows
 
 WIDTH = 100
@@ -172,7 +172,8 @@ def covered(docs: DataFrame) -> DataFrame:
                         for i in range(start, start + size):
                             window = data[i: i + WIDTH]
                             out.append((xxhash.xxh3_64_intdigest(window) >> 1, doc, i, window))
-            yield pd.DataFrame(out, columns=["anchor", "doc", "start", "bytes"])
+            if out:
+                yield pd.DataFrame(out, columns=["anchor", "doc", "start", "bytes"])
 
     cut = slim.join(asked, "doc").mapInPandas(cut_out, "anchor long, doc long, start long, bytes binary")
     # equal windows of a spread-out anchor meet before the shards
@@ -238,7 +239,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     docs = with_runs(numbered(slim, "doc_id", "text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             rows = []
             for text, runs in zip(b["text"], b["runs"]):
                 data, gone = text.encode("utf-8", "replace"), removed_of(runs)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colscope.llm.bpe import Decoder, Encoder, decode_text
-from colscope.llm.common import documents, whole_text
+from colscope.llm.common import documents, filled, whole_text
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Ids that the decoder takes at a time.
@@ -57,7 +57,7 @@ def encode_texts(df: DataFrame, text_col: str = "text", ids_col: str = "ids", pa
     @F.pandas_udf("array<int>")
     def ids_of(texts: pd.Series) -> pd.Series:
         tool = encoder(path)
-        return pd.Series([np.frombuffer(tool.encode(t), np.uint32).astype(np.int32) for t in texts])
+        return pd.Series([np.frombuffer(tool.encode(t), np.uint32).astype(np.int32) for t in texts], dtype=object)
 
     return df.withColumn(ids_col, ids_of(whole_text(text_col)))
 
@@ -82,7 +82,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = encoder(path)
         back = Decoder(tool.v, "tokens")
-        for batch in batches:
+        for batch in filled(batches):
             counts, of_ids, of_text = [], [], []
             for text in batch["text"]:
                 packed = np.frombuffer(tool.encode(text), np.uint32)

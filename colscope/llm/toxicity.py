@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import documents, free_name, remainder, settle, whole_text
+from colscope.llm.common import documents, filled, free_name, remainder, settle, whole_text
 
 WORD = re.compile(r"\w+")
 #: Training documents, about; the labelled rows are sampled down to it by a hash of doc_id.
@@ -135,7 +135,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     texts = slim.join(F.broadcast(known), "doc_id")
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             found = [copy_keys(words_of(t)) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "keys": found})
 
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     def profile(model: Model | None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
+            for b in filled(batches):
                 words = [words_of(t) for t in b["text"]]
                 hits = [[scores[w] for w in ws if w in scores] for ws in words]
                 yield pd.DataFrame({"toxic": b["toxic"], "words": [len(w) for w in words], "hits": [len(h) for h in hits],
