@@ -22,7 +22,7 @@ HEADLINE = (
     "pr12_top_values_documents", "pr14_text_profile_conversations", "in7_formula_injection_scan", "qi4_numeric_sentinels",
     "qi11_quality_issues", "st4_pearson_matrix_lineitem", "st10_residual_spread", "st14_reversal_stats", "st19_standardize",
     "st20_pca_summary", "st21_kmeans_elbow", "fn15_executive_summary", "hx1_latest_per_session", "rl1_requests_in_window",
-    "rl2_admission", "tx3_numbered_list", "tx5_cache_stats",
+    "tx3_numbered_list",
 )
 
 

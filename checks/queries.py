@@ -24,7 +24,6 @@ from colscope.plans.catalogue import Catalogue
 from colscope.schemas import as_finding, union_all
 from colscope.sources import csvfiles, uploads as UP
 from colscope.sources.tables import REVERSAL_COLUMNS, dirty_orders, nan_to_null, read_table, reversal_orders, spread_orders
-from colscope.streaming.admission import admission_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,7 +74,19 @@ def _csv_roundtrip(s, d):
     return csvfiles.csv_load(s, path, schema=orders.schema)
 
 
+def _csv_mixed(s, d):
+    """All documents in one folder of UTF-8, UTF-16 and latin-1 files, with quotes and line breaks in cells, read without a schema."""
+    docs = read_table(s, d, "documents").select("doc_id", "text")
+    plain = F.decode(F.encode(F.regexp_replace("text", "[^\u0000-\u00ff]", "?"), "ISO-8859-1"), "ISO-8859-1") == F.col("text")
+    kind = F.when(F.col("doc_id") % 3 == 1, "UTF-16").when((F.col("doc_id") % 3 == 2) & plain, "ISO-8859-1").otherwise("UTF-8")
+    path = new_folder(s, "csv")
+    for k in ("UTF-8", "UTF-16", "ISO-8859-1"):
+        docs.where(kind == k).write.mode("append").option("header", True).option("escape", '"').option("encoding", k).csv(path)
+    return csvfiles.csv_load(s, path).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
 query("in1_csv_load", _csv_roundtrip, "select * from orders")
+query("in1_csv_mixed_encodings", _csv_mixed, "select doc_id, text from documents")
 query("in2_empty_guard",
       lambda s, d: union_all([csvfiles.empty_guard(read_table(s, d, t), t) for t in TABLES]),
       " union all ".join(f"select '{t}' as dataset, count(*) = 0 as is_empty from {t}" for t in TABLES))
@@ -437,13 +448,49 @@ query("st16_patterns", lambda s, d: A(s, d).patterns.withColumns({c: F.array_joi
       " array_to_string(extremely_skewed_columns, ', ') as extremely_skewed_columns) from patterns")
 query("st17_outlier_summary", lambda s, d: A(s, d).outlier_summary, f"select {_DS}, * from outsum")
 query("st18_distribution_summary", lambda s, d: A(s, d).shapes, f"select {_DS}, * from shapes")
-FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+FEATS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 query("st19_standardize",
       lambda s, d: ML.standardize(read_table(s, d, "lineitem"), FEATS).select(*[N.rounded(F.col(c), 5).alias(c) for c in FEATS]),
       "select " + ", ".join(f"round(({c} - avg({c}) over ())/stddev_pop({c}) over (),5)+0.0::double as {c}" for c in FEATS) + " from lineitem")
-query("st20_pca_summary", lambda s, d: ML.pca_summary(read_table(s, d, "lineitem"), FEATS, "lineitem"))
-query("st21_kmeans_elbow", lambda s, d: ML.kmeans_elbow(read_table(s, d, "lineitem"), FEATS, "lineitem", max_iter=20))
-query("st22_cluster_preview", lambda s, d: ML.cluster_preview(read_table(s, d, "lineitem"), FEATS, "lineitem", max_iter=20))
+
+
+def _power_sums(summary, *, pct=1.0):
+    """Sums of powers of the eigenvalue shares: traces of powers of the correlation matrix, whatever the order of components."""
+    r = F.col("ratio") / pct
+    return summary.agg(F.count("*").alias("n"), F.round(F.sum(r), 2).alias("s1"), F.round(F.sum(r * r), 3).alias("s2"), F.round(F.sum(r * r * r), 3).alias("s3"))
+
+
+_r = [[f"corr({a}::double, {b}::double)" for b in FEATS] for a in FEATS]
+_PCA_SQL = ("select cast(8 as bigint) as n, 1.0::double as s1,"
+            " round((" + " + ".join(f"r{i}_{j}*r{j}_{i}" for i in range(8) for j in range(8)) + ")/64,3) as s2,"
+            " round((" + " + ".join(f"r{i}_{j}*r{j}_{k}*r{k}_{i}" for i in range(8) for j in range(8) for k in range(8)) + ")/512,3) as s3 from (select "
+            + ", ".join(f"{_r[i][j]} as r{i}_{j}" for i in range(8) for j in range(8)) + " from lineitem)")
+#: Three far groups of orders: any good partition into 2 or 3 clusters is known.
+_PLANTED = """select o_orderkey, cast(case o_orderkey % 3 when 0 then 0 when 1 then 1000 else 5000 end + o_orderkey % 7 as double) as x,
+  cast(case o_orderkey % 3 when 0 then 0 when 1 then 1000 else 5000 end + o_custkey % 11 as double) as y,
+  cast(case o_orderkey % 3 when 0 then 0 when 1 then 1000 else 5000 end + (o_orderkey + o_custkey) % 5 as double) as z from orders"""
+
+
+def _planted_view(s, d):
+    read_table(s, d, "orders").createOrReplaceTempView("orders")
+    return s.sql(_PLANTED)
+
+
+def _within(groups: str) -> str:
+    return (f"(select sum((x-mx)**2 + (y-my)**2 + (z-mz)**2) from (select *, avg(x) over w as mx, avg(y) over w as my, avg(z) over w as mz"
+            f" from (select *, {groups} as g from std) window w as (partition by g)))")
+
+
+query("st20_pca_summary", lambda s, d: _power_sums(ML.pca_summary(read_table(s, d, "lineitem"), FEATS, "lineitem")), _PCA_SQL)
+query("st21_kmeans_elbow", lambda s, d: ML.kmeans_elbow(_planted_view(s, d), ["x", "y", "z"], "planted").where("k <= 3").select(
+          "dataset", "k", F.round("inertia", 3).alias("inertia"), F.round("drop", 3).alias("drop"), "chosen"),
+      f"""with planted as ({_PLANTED}), std as (select o_orderkey, (x-avg(x) over ())/stddev_pop(x) over () as x, (y-avg(y) over ())/stddev_pop(y) over () as y,
+        (z-avg(z) over ())/stddev_pop(z) over () as z from planted),
+        cost as (select {_within("case when o_orderkey % 3 = 2 then 1 else 0 end")} as two, {_within("o_orderkey % 3")} as three)
+      select 'planted' as dataset, cast(2 as integer) as k, round(two,3) as inertia, cast(null as double) as drop, false as chosen from cost
+      union all select 'planted', 3, round(three,3), round(two - three,3), true from cost""")
+query("st22_cluster_preview", lambda s, d: ML.cluster_preview(_planted_view(s, d), ["x", "y", "z"], "planted", keep=["o_orderkey"]).select("o_orderkey", "label", "n_clusters"),
+      "select o_orderkey, cast(o_orderkey % 3 as integer) as label, cast(3 as integer) as n_clusters from orders")
 
 # ================================================================ RC
 
@@ -716,8 +763,10 @@ query("ch12_box_plots", lambda s, d: CH.box_plots(A(s, d).quartiles),
       f"select {_DS}, cast(row_number() over (order by ordinal) as integer) as rank, o.name, median, q25, q75,"
       " greatest(mn, q25-1.5*(q75-q25)) as whisker_low, least(mx, q75+1.5*(q75-q25)) as whisker_high from ostat o join"
       " (select ordinal, mn, mx from mom) m using (ordinal)")
-query("ch13_pca_variance", lambda s, d: CH.pca_variance(ML.pca_summary(read_table(s, d, "lineitem"), FEATS, "lineitem")))
-query("ch14_cluster_points", lambda s, d: CH.cluster_points(ML.cluster_preview(read_table(s, d, "lineitem"), FEATS, "lineitem", max_iter=20)))
+query("ch13_pca_variance", lambda s, d: _power_sums(CH.pca_variance(ML.pca_summary(read_table(s, d, "lineitem"), FEATS, "lineitem")).withColumnRenamed("ratio_pct", "ratio"), pct=100), _PCA_SQL)
+query("ch14_cluster_points", lambda s, d: CH.cluster_points(ML.cluster_preview(_planted_view(s, d), ["x", "y", "z"], "planted")).groupBy(
+          "dataset", "label", "cluster_points").agg(F.count("*").alias("points")),
+      "select 'planted' as dataset, cast(o_orderkey % 3 as integer) as label, count(*) as cluster_points, count(*) as points from orders group by o_orderkey % 3")
 
 # ================================================================ HX
 
@@ -766,7 +815,6 @@ query("rl1_requests_in_window", lambda s, d: RL.requests_in_window(read_table(s,
         select user_id, ts, count(*) over (partition by user_id, ts) as n,
           count(*) over (partition by user_id order by ts range between interval 3600 seconds preceding and current row) as w from events)
       group by user_id, ts""")
-query("rl2_admission", lambda s, d: RL.admission(read_table(s, d, "events"), "user_id", "ts", "event_id", max_reqs=3, window_s=36000))
 query("rl3_tier_rules", lambda s, d: RL.tier_rules(V.view(s, d, "events", V.REQUESTS)),
       f"""select *, case when tier <> 'skip' then tier || ':' || client end as limit_key from (
         select *, case tier when 'strict' then 10 when 'global' then 200 end as max_reqs, case when tier <> 'skip' then 60 end as window_s from (
@@ -775,24 +823,6 @@ query("rl3_tier_rules", lambda s, d: RL.tier_rules(V.view(s, d, "events", V.REQU
             select *, regexp_replace(path, '/+$', '') as p from {V.sql_view('events', V.REQUESTS)})))""".replace("select *, case when tier <> 'skip' then tier", "select * exclude (p), case when tier <> 'skip' then tier"))
 
 
-def _stream(s, d):
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = s.conf.get(provider, None)
-    s.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        schema = read_table(s, d, "events").schema
-        stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(d)
-        out, marks = new_folder(s, "admission"), new_folder(s, "marks")
-        job = admission_stream(stream, "user_id", "ts", "event_id", max_reqs=3, window_s=36000).writeStream.format("parquet").option(
-            "checkpointLocation", marks).option("path", out).outputMode("append").trigger(availableNow=True).start()
-        job.awaitTermination()
-    finally:
-        s.conf.set(provider, before) if before else s.conf.unset(provider)
-    return s.read.parquet(out)
-
-
-query("rl4_admission_stream", _stream)
-
 # ================================================================ TX
 
 _replies, _lists = V.sql_view("conversations", V.REPLIES), V.sql_view("conversations", V.LISTS)
@@ -817,18 +847,6 @@ query("tx4_prompt_fingerprint", lambda s, d: read_table(s, d, "conversations").s
       "select conv_id, turn, substr(sha256(role || ':' || text),1,16) as fp from conversations")
 
 
-def _calls(s, d):
-    e = read_table(s, d, "events")
-    return e.select(TX.fingerprint(F.lit("m"), F.col("props")).alias("key"), F.col("event_type").alias("task"), F.col("ts").alias("at"),
-                    F.col("event_id").alias("call_id"), (F.col("value") > 5).alias("ok"), F.col("value").alias("latency"))
-
-
-query("tx5_cache_stats", lambda s, d: TX.cache_stats(_calls(s, d)),
-      """select event_type as task, count(*) as calls, count(*) filter (where value > 5) as successful, count(*) filter (where not (value > 5)) as failed,
-        count(*) filter (where rn > 1) as cache_hits, count(*) filter (where rn = 1) as cache_misses,
-        round(count(*) filter (where rn > 1)/cast(count(*) as double),3) as cache_hit_rate, round(sum(value)/count(*),3) as mean_latency
-      from (select *, row_number() over (partition by props order by ts, event_id) as rn from events) group by event_type""")
-
 # ================================================================ whole catalogue
 
 

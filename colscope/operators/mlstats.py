@@ -1,14 +1,10 @@
-"""Standardising, principal components and clusters (ST19-ST22).
-
-Tasks reduce their rows to small matrices (cross products, sums per centre); only those reach the
-driver. K-means advances all cluster counts and restarts in the same pass over the cached rows.
-"""
+"""Standardising, principal components and clusters (ST19-ST22), on the engine's own PCA and k-means."""
 
 from __future__ import annotations
 
-import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -20,12 +16,9 @@ from colscope.operators.longform import by_position, columns_of, pos
 PCA_DDL = "dataset string, component int, ratio double, cumulative double, n_components int, n_features int"
 ELBOW_DDL = "dataset string, k int, inertia double, drop double, chosen boolean"
 POINTS_DDL = "dataset string, pc1 double, pc2 double, label int, n_clusters int, pc1_var double, pc2_var double"
-MAX_POINTS = 2_000
 K_RANGE = range(2, 7)
-RESTARTS = 5
-SEED_ROWS = 10_000
-ROWS_PER_CORE = 500_000
-TOLERANCE = 1e-4
+#: Starts of each number of clusters on the way, and of the final model.
+STARTS, RESTARTS = 4, 10
 
 
 def complete_rows(df: DataFrame, columns=None) -> tuple[DataFrame, list]:
@@ -57,48 +50,13 @@ def standardize(df: DataFrame, columns=None) -> DataFrame:
     return _scaled(complete, scale).toDF(*[c.name for c in cols])
 
 
-def _cross_products(scaled: DataFrame):
-    """p x p matrix of mean cross products; each task sends one small matrix."""
-    import numpy as np
-
-    p = len(scaled.columns)
-
-    def products(batches):
-        import numpy as np
-
-        acc, n = np.zeros((p, p)), 0
-        for b in batches:
-            x = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(p)])
-            acc += x.T @ x
-            n += len(x)
-        if n:
-            i, j = np.triu_indices(p)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(acc[i, j])], names=["i", "j", "s"])
-
-    sums = scaled.mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    out = np.zeros((p, p))
-    for r in sums.collect():
-        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["s"]
-    return out
-
-
-def _components(scaled: DataFrame, rows: int):
-    """Eigenvalues (descending) and vectors of the covariance of standardised columns."""
-    import numpy as np
-
-    values, vectors = np.linalg.eigh(_cross_products(scaled) / max(rows - 1, 1))
-    order = np.argsort(values)[::-1]
-    values, vectors = np.clip(values[order], 0.0, None), vectors[:, order]
-    signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), range(vectors.shape[1])])
-    return values, vectors * np.where(signs == 0, 1, signs)
+def _vectors(scaled: DataFrame, keep: list[str]) -> DataFrame:
+    names = [c for c in scaled.columns if c not in keep]
+    return scaled.select(array_to_vector(F.array(*names)).alias("features"), *keep)
 
 
 def pca_summary(df: DataFrame, columns=None, dataset: str = "") -> DataFrame:
-    """ST20: explained-variance ratios of up to 10 components; needs 3 columns and 30 complete rows.
-
-    Rows are reduced to one p x p matrix in the tasks; only that matrix reaches the driver.
-    """
+    """ST20: explained-variance ratios of up to 10 components; needs 3 columns and 30 complete rows."""
     spark = df.sparkSession
     complete, cols = complete_rows(df, columns)
     if len(cols) < 3:
@@ -106,9 +64,8 @@ def pca_summary(df: DataFrame, columns=None, dataset: str = "") -> DataFrame:
     scale = scaling(complete)
     if scale["rows"] < 30:
         return local_table(spark, [], PCA_DDL)
-    values, _ = _components(_scaled(complete, scale), scale["rows"])
-    k = min(10, len(cols), scale["rows"])
-    ratios = (values / (values.sum() or 1.0))[:k]
+    k = min(10, len(cols))
+    ratios = PCA(k=k, inputCol="features", outputCol="scores").fit(_vectors(_scaled(complete, scale), [])).explainedVariance.toArray()
     rows, total = [], 0.0
     for i, r in enumerate(ratios):
         total += float(r)
@@ -116,160 +73,81 @@ def pca_summary(df: DataFrame, columns=None, dataset: str = "") -> DataFrame:
     return local_table(spark, rows, PCA_DDL)
 
 
-def _starts(scaled: DataFrame, ks, restarts: int, rows: int):
-    """Starting centres by k-means++ on a bounded uniform sample of the rows."""
-    import numpy as np
-
-    from colscope.operators.stats import row_sample
-
-    sample = np.array([tuple(r) for r in row_sample(scaled, SEED_ROWS).collect()], dtype="float64")
-    out = []
-    for k in ks:
-        for r in range(restarts):
-            rng = np.random.default_rng((42, k, r))
-            chosen = [sample[rng.integers(len(sample))]]
-            while len(chosen) < k:
-                far = np.min([((sample - c) ** 2).sum(axis=1) for c in chosen], axis=0)
-                total = far.sum()
-                at = rng.choice(len(sample), p=far / total) if total > 0 else rng.integers(len(sample))
-                chosen.append(sample[at])
-            out.append(np.array(chosen))
-    return out
-
-
-def _assign(scaled: DataFrame, models: dict):
-    """One pass over the rows for all models: rows, cost and coordinate sums of every centre.
-
-    A task sends one row per model and centre, whatever the number of rows it holds.
-    """
-    import numpy as np
-
-    p = len(scaled.columns)
-    stacked = np.vstack(list(models.values()))
-    first = dict(zip(models, np.cumsum([0] + [len(c) for c in models.values()]).tolist()))
-
-    def step(batches):
-        import numpy as np
-
-        acc = {m: [np.zeros(len(c)), np.zeros(len(c)), np.zeros((len(c), p))] for m, c in models.items()}
-        for b in batches:
-            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(p)])
-            own = (x * x).sum(axis=1)
-            all_d = own[:, None] - 2.0 * (x @ stacked.T) + (stacked * stacked).sum(axis=1)[None, :]
-            for m, c in models.items():
-                d = all_d[:, first[m]:first[m] + len(c)]
-                near = d.argmin(axis=1)
-                hot = np.zeros(d.shape)
-                hot[np.arange(len(x)), near] = 1.0
-                acc[m][0] += hot.sum(axis=0)
-                acc[m][1] += hot.T @ np.maximum(d[np.arange(len(x)), near], 0.0)
-                acc[m][2] += hot.T @ x
-        rows = [(m, i, a[0][i], a[1][i], a[2][i].tolist()) for m, a in acc.items() for i in range(len(a[0])) if a[0][i]]
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
-                 pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows]),
-                 pa.array([r[4] for r in rows], pa.list_(pa.float64()))], names=["m", "c", "n", "cost", "s"])
+def _prepared(df: DataFrame, columns, keep: list[str]):
+    """Standardised vectors of the complete rows, cached, or None with fewer than 3 columns or 50 rows."""
+    cols = [c for c in columns_of(df, columns) if c.numeric]
+    if len(cols) < 3:
+        return None
+    wide = by_position(df).select(*[N.finite(N.as_double(pos(c), c.dtype)).alias(f"c{c.ordinal}") for c in cols],
+                                  *[pos(c).alias(c.name) for c in columns_of(df) if c.name in keep]).dropna(subset=[f"c{c.ordinal}" for c in cols])
+    names = [f"c{c.ordinal}" for c in cols]
+    scale = scaling(wide.select(*names))
+    if scale["rows"] < 50:
+        return None
+    scaled = wide.select(*[((F.col(n) - F.lit(scale[n][0])) / F.lit(scale[n][1])).alias(n) for n in names], *keep)
+    return _vectors(scaled, keep).persist(StorageLevel.MEMORY_AND_DISK), scale["rows"]
 
-    parts = scaled.mapInArrow(step, "m int, c int, n double, cost double, s array<double>")
-    return parts.groupBy("m", "c").agg(
-        F.sum("n").alias("n"), F.sum("cost").alias("cost"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")
-    ).collect()
 
+def _fit(vectors: DataFrame, k: int, max_iter: int, seed: int):
+    model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(vectors)
+    return model, float(model.summary.trainingCost)
 
-def _lloyd(scaled: DataFrame, ks, restarts: int, rows: int, max_iter: int):
-    """Best centres and inertia per k. All models of all restarts advance in the same passes."""
-    import numpy as np
 
-    starts = _starts(scaled, ks, restarts, rows)
-    centres = dict(enumerate(starts))
-    cost = dict.fromkeys(centres, float("inf"))
-    moving = set(centres)
-    for _ in range(max_iter):
-        if not moving:
-            break
-        new = {m: centres[m].copy() for m in moving}
-        total = dict.fromkeys(moving, 0.0)
-        for r in _assign(scaled, {m: centres[m] for m in sorted(moving)}):
-            new[r["m"]][r["c"]] = np.array(r["s"]) / r["n"]
-            total[r["m"]] += r["cost"]
-        for m in list(moving):
-            cost[m] = total[m]
-            if ((new[m] - centres[m]) ** 2).sum() <= TOLERANCE:
-                moving.discard(m)
-            centres[m] = new[m]
-    best = {}
-    for m, c in centres.items():
-        k = len(c)
-        if k not in best or cost[m] < best[k][0]:
-            best[k] = (cost[m], c)
-    return best
+def _best(vectors: DataFrame, k: int, max_iter: int, starts: int):
+    """The model of least cost from several starts, and its cost."""
+    return min((_fit(vectors, k, max_iter, 42 + i) for i in range(starts)), key=lambda m: m[1])
 
 
-def _elbow(scaled: DataFrame, rows: int, max_iter: int, restarts: int):
+def _elbow(vectors: DataFrame, rows: int, max_iter: int):
     """(k, inertia, drop) for every k, and the k with the largest drop (2 when there is none)."""
-    models = _lloyd(scaled, [k for k in K_RANGE if k < rows], restarts, rows, max_iter)
     found, previous = [], None
-    for k, (cost, _) in sorted(models.items()):
-        found.append((k, cost, None if previous is None else previous - cost))
-        previous = cost
+    for k in K_RANGE:
+        if k < rows:
+            cost = _best(vectors, k, max_iter, STARTS)[1]
+            found.append((k, cost, None if previous is None else previous - cost))
+            previous = cost
     best = max((f for f in found if f[2] is not None and f[2] > 0), key=lambda f: (f[2], -f[0]), default=found[0])[0]
-    return found, best, models
-
-
-def _prepared(df: DataFrame, columns):
-    complete, cols = complete_rows(df, columns)
-    if len(cols) < 3:
-        return None
-    scale = scaling(complete)
-    if scale["rows"] < 50:
-        return None
-    scaled = _scaled(complete, scale)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if scale["rows"] < ROWS_PER_CORE * cores:
-        # few rows may sit in one or two file splits; dozens of passes over them deserve every core
-        scaled = scaled.repartition(cores)
-    return scaled.persist(StorageLevel.MEMORY_AND_DISK), scale["rows"]
+    return found, best
 
 
-def kmeans_elbow(df: DataFrame, columns=None, dataset: str = "", max_iter: int = 100, restarts: int = RESTARTS) -> DataFrame:
+def kmeans_elbow(df: DataFrame, columns=None, dataset: str = "", max_iter: int = 100) -> DataFrame:
     """ST21: inertia for 2 to 6 clusters; the largest drop against one cluster fewer is chosen."""
     spark = df.sparkSession
-    ready = _prepared(df, columns)
+    ready = _prepared(df, columns, [])
     if ready is None:
         return local_table(spark, [], ELBOW_DDL)
-    scaled, rows = ready
-    found, best, _ = _elbow(scaled, rows, max_iter, restarts)
-    scaled.unpersist()
-    return local_table(spark, [(dataset, k, float(cost), None if drop is None else float(drop), k == best) for k, cost, drop in found], ELBOW_DDL)
+    vectors, rows = ready
+    try:
+        found, best = _elbow(vectors, rows, max_iter)
+    finally:
+        vectors.unpersist()
+    return local_table(spark, [(dataset, k, cost, drop, k == best) for k, cost, drop in found], ELBOW_DDL)
 
 
-def cluster_preview(df: DataFrame, columns=None, dataset: str = "", max_points: int = MAX_POINTS,
-                    max_iter: int = 100, restarts: int = RESTARTS) -> DataFrame:
-    """ST22: cluster labels and the first two component scores of at most `max_points` rows."""
-    from colscope.operators.stats import row_sample
+def cluster_preview(df: DataFrame, columns=None, dataset: str = "", max_iter: int = 100, restarts: int = RESTARTS,
+                    keep: list[str] | None = None) -> DataFrame:
+    """ST22: cluster label and the first two component scores of every complete row, with the `keep` columns.
 
+    The chosen number of clusters is fitted again from several starts. Clusters are numbered by their centres' coordinates.
+    """
     spark = df.sparkSession
-    ready = _prepared(df, columns)
+    keep = keep or []
+    ready = _prepared(df, columns, keep)
     if ready is None:
         return local_table(spark, [], POINTS_DDL)
-    scaled, rows = ready
-    _, best, models = _elbow(scaled, rows, max_iter, restarts)
-    values, vectors = _components(scaled, rows)
-    share = values / (values.sum() or 1.0)
-
-    def score(component):
-        terms = [F.col(n) * F.lit(float(w)) for n, w in zip(scaled.columns, vectors[:, component])]
-        return F.round(sum(terms[1:], terms[0]), 4)
-
-    def distance(centre):
-        terms = [(F.col(n) - F.lit(float(v))) ** 2 for n, v in zip(scaled.columns, centre)]
-        return sum(terms[1:], terms[0])
-
-    far = F.array(*[distance(c) for c in models[best][1]])
-    points = settle(row_sample(scaled, max_points).select(
-        F.lit(dataset).alias("dataset"), score(0).alias("pc1"), score(1).alias("pc2"),
-        (F.array_position(far, F.array_min(far)) - 1).cast("int").alias("label"), F.lit(best).alias("n_clusters"),
-        F.lit(round(float(share[0]), 4)).alias("pc1_var"), F.lit(round(float(share[1]), 4)).alias("pc2_var")))
-    scaled.unpersist()
-    return points
+    vectors, rows = ready
+    try:
+        _, best = _elbow(vectors, rows, max_iter)
+        model = _best(vectors, best, max_iter, restarts)[0]
+        order = sorted(range(best), key=lambda i: tuple(model.clusterCenters()[i]))
+        names = F.create_map(*[F.lit(x) for at, i in enumerate(order) for x in (i, at)])
+        pca = PCA(k=2, inputCol="features", outputCol="scores").fit(vectors)
+        loads, share = pca.pc.toArray(), pca.explainedVariance.toArray()
+        signs = [1.0 if loads[abs(loads[:, c]).argmax(), c] >= 0 else -1.0 for c in (0, 1)]
+        labelled = pca.transform(model.transform(vectors)).withColumn("s", vector_to_array("scores"))
+        return settle(labelled.select(
+            F.lit(dataset).alias("dataset"), *keep, *[F.round(F.col("s")[c] * signs[c], 4).alias(f"pc{c + 1}") for c in (0, 1)],
+            names[F.col("prediction")].alias("label"), F.lit(best).alias("n_clusters"),
+            *[F.lit(round(float(share[c]), 4)).alias(f"pc{c + 1}_var") for c in (0, 1)]))
+    finally:
+        vectors.unpersist()

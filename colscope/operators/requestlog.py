@@ -1,21 +1,13 @@
-"""Request-log analytics (RL1-RL3). The streaming limiter (RL4) is in colscope.streaming."""
+"""Request-log analytics (RL1, RL3)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope import constants as K
 
 SLICE_S = 10
-ADMISSION_DDL = "key string, ts_us bigint, event_id bigint, accepted boolean, remaining int, retry_after double"
-ADMISSION_ARROW = pa.schema([
-    ("key", pa.string()), ("ts_us", pa.int64()), ("event_id", pa.int64()), ("accepted", pa.bool_()),
-    ("remaining", pa.int32()), ("retry_after", pa.float64()),
-])
 
 
 def micros(ts: Column) -> Column:
@@ -52,82 +44,6 @@ def requests_in_window(events: DataFrame, key: str, ts: str, window_s: int = 60,
         F.sum(F.col("sign") * (F.col("within") + F.col("before"))).alias("in_window"))
 
 
-def slice_states(rows: DataFrame, max_reqs: int) -> DataFrame:
-    """One row per (key, window-wide time slice): does it need a replay, and in which run.
-
-    A slice whose requests plus those of the slice before it stay within the limit accepts all of
-    them, whatever happened earlier. Such a slice cuts the sequence: what follows only needs its
-    requests as a starting state. Only slices that may refuse something, and the one after them
-    (whose `remaining` depends on the refusals), are replayed, run by run.
-    """
-    w = Window.partitionBy("key").orderBy("slice")
-    x = rows.groupBy("key", "slice").agg(F.count(F.lit(1)).alias("n")).withColumns({
-        "adjacent": F.coalesce(F.lag("slice").over(w) == F.col("slice") - 1, F.lit(False)),
-        "before": F.coalesce(F.lag("n").over(w), F.lit(0)),
-    })
-    x = x.withColumn("clear", F.col("n") + F.when(F.col("adjacent"), F.col("before")).otherwise(0) <= max_reqs)
-    x = x.withColumn("busy", ~F.col("clear") | (F.col("adjacent") & ~F.coalesce(F.lag("clear").over(w), F.lit(True))))
-    starts = F.col("busy") & ~(F.col("adjacent") & F.coalesce(F.lag("busy").over(w), F.lit(False)))
-    x = x.withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(w))
-    seeds = ~F.col("busy") & F.coalesce(F.lead("starts").over(w) == 1, F.lit(False)) & F.coalesce(
-        F.lead("adjacent").over(w), F.lit(False))
-    return x.withColumn("seeds", seeds).select("key", "slice", "clear", "busy", "run", "seeds")
-
-
-def admission(events: DataFrame, key: str, ts: str, id_col: str, max_reqs: int = K.GLOBAL_TIER[0],
-              window_s: int = K.GLOBAL_TIER[1]) -> DataFrame:
-    """RL2: replay of the limiter, key by key in time order; refused requests are not remembered.
-
-    Whether a request passes depends on earlier refusals, so only a stretch in which a key stays
-    over its limit is sequential. Everything else is answered by counting (RL1). An overloaded
-    stretch is streamed in time order through one task, batch by batch; what is held is the last
-    `max_reqs` accepted times, never the stretch itself.
-    """
-    w_us = window_s * 1_000_000
-    rows = events.select(F.col(key).cast("string").alias("key"), micros(F.col(ts)).alias("ts_us"),
-                         F.col(id_col).cast("bigint").alias("event_id")).withColumn("slice", slice_no(F.col("ts_us"), w_us))
-    judged = rows.join(slice_states(rows, max_reqs), ["key", "slice"])
-
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import deque
-
-        current, held = None, deque()
-        for batch in batches:
-            out = []
-            for k, key_, now, event, seed in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != current:
-                    current, held = k, deque()
-                while held and held[0] < now - w_us:
-                    held.popleft()
-                if len(held) >= max_reqs:
-                    out.append((key_, now, event, False, 0, max((held[0] + w_us - now) / 1e6, 1.0)))
-                    continue
-                held.append(now)
-                if not seed:
-                    out.append((key_, now, event, True, max_reqs - len(held), 0.0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), ADMISSION_ARROW.types)] if out
-                else [pa.array([], t) for t in ADMISSION_ARROW.types], schema=ADMISSION_ARROW)
-
-    cols = ["key", "ts_us", "event_id"]
-    run = F.when(F.col("busy"), F.col("run")).otherwise(F.col("run") + 1)
-    todo = judged.where("busy or seeds").select(
-        F.concat_ws("#", "key", run.cast("string")).alias("k"), *cols, (~F.col("busy")).alias("seed"))
-    replayed = todo.repartition("k").sortWithinPartitions("k", "ts_us", "event_id").mapInArrow(replay, ADMISSION_DDL)
-    # Outside the runs every request of the window was accepted, so `remaining` is a count; at most
-    # max_reqs requests share one time there.
-    clear = judged.where("clear").withColumn("ts", F.timestamp_micros("ts_us"))
-    counted = requests_in_window(clear, "key", "ts", window_s)
-    same_time = Window.partitionBy("key", "ts_us")
-    calm = judged.where("not busy").withColumns({
-        "tied": F.count(F.lit(1)).over(same_time), "at": F.row_number().over(same_time.orderBy("event_id"))})
-    passed = calm.join(counted.withColumnRenamed("t", "ts_us"), ["key", "ts_us"]).select(
-        *cols, F.lit(True).alias("accepted"),
-        (F.lit(max_reqs) - (F.col("in_window") - F.col("tied") + F.col("at"))).cast("int").alias("remaining"),
-        F.lit(0.0).alias("retry_after"))
-    return passed.unionByName(replayed)
-
-
 def tier_rules(requests: DataFrame) -> DataFrame:
     """RL3: which limit applies to a request: skipped, strict or global, and the key it counts against."""
     path = F.regexp_replace("path", "/+$", "")

@@ -58,23 +58,3 @@ def numbered_list(df: DataFrame, text_col: str, expected: int) -> DataFrame:
 def fingerprint(model: Column, prompt: Column) -> Column:
     """TX4: first 16 hex digits of the SHA-256 of "model:prompt"."""
     return F.substring(F.sha2(F.concat_ws(":", model, prompt), 256), 1, 16)
-
-
-def cache_stats(calls: DataFrame) -> DataFrame:
-    """TX5: replay of an unbounded cache: the first call of a key misses, later ones hit.
-
-    Needs key, task, at, call_id, ok and latency. Calls collapse per (key, task) before the first
-    one of a key is looked for, so a key that makes up a third of the log stays cheap.
-    """
-    per_key_task = calls.groupBy("key", "task").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("ok"), F.sum("latency").alias("latency"),
-        F.min(F.struct("at", "call_id")).alias("first"))
-    firsts = per_key_task.groupBy("key").agg(F.min_by("task", "first").alias("task"))
-    misses = firsts.groupBy("task").agg(F.count(F.lit(1)).alias("misses"))
-    totals = per_key_task.groupBy("task").agg(F.sum("n").alias("calls"), F.sum("ok").alias("successful"),
-                                              F.sum("latency").alias("latency"))
-    hits = F.col("calls") - F.coalesce("misses", F.lit(0))
-    return totals.join(misses, "task", "left").select(
-        "task", "calls", "successful", (F.col("calls") - F.col("successful")).alias("failed"), hits.alias("cache_hits"),
-        F.coalesce("misses", F.lit(0)).alias("cache_misses"), F.round(hits / F.col("calls"), 3).alias("cache_hit_rate"),
-        F.round(F.col("latency") / F.col("calls"), 3).alias("mean_latency"))

@@ -1,33 +1,15 @@
-"""The limiter: batch replay, window counts and the stream against a plain loop."""
+"""Window counts of a request log against a plain loop."""
 
 import datetime
 import random
-from collections import deque
 
 import pytest
-from pyspark.sql import functions as F
 
-from colscope.functions.session import new_folder
 from colscope.operators import requestlog as RL
-from colscope.streaming.admission import admission_stream
 
 START = datetime.datetime(2024, 1, 1)
 
 
-def replay(rows, max_reqs, window_s):
-    held, out = {}, {}
-    for key, t, event in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        times = held.setdefault(key, deque())
-        while times and times[0] < t - window_s * 1_000_000:
-            times.popleft()
-        if len(times) >= max_reqs:
-            out[event] = (False, 0, max((times[0] + window_s * 1_000_000 - t) / 1e6, 1.0))
-        else:
-            times.append(t)
-            out[event] = (True, max_reqs - len(times), 0.0)
-    return out
-
-
 def log(seed):
     """One key with a third of all rows, bursts, quiet times, ties and exact window distances."""
     rng, rows, event = random.Random(seed), [], 0
@@ -45,24 +27,6 @@ def frame(spark, rows):
         [(k, START + datetime.timedelta(microseconds=t), e) for k, t, e in rows], "key string, ts timestamp_ntz, id bigint")
 
 
-@pytest.mark.parametrize("seed,max_reqs", [(1, 3), (2, 1), (3, 8), (4, 1000)])
-def test_admission_equals_a_loop(spark, seed, max_reqs):
-    rows = log(seed)
-    base = int(START.replace(tzinfo=datetime.timezone.utc).timestamp() * 1_000_000)
-    got = {r["event_id"]: (r["accepted"], r["remaining"], r["retry_after"])
-           for r in RL.admission(frame(spark, rows), "key", "ts", "id", max_reqs, 60).collect()}
-    want = replay([(k, base + t, e) for k, t, e in rows], max_reqs, 60)
-    assert len(got) == len(rows)
-    assert got == want
-
-
-def test_never_more_than_max_in_a_window(spark):
-    rows = log(9)
-    accepted = RL.admission(frame(spark, rows), "key", "ts", "id", 4, 60).where("accepted")
-    worst = RL.requests_in_window(accepted.withColumn("ts", F.timestamp_micros("ts_us")), "key", "ts", 60)
-    assert worst.agg(F.max("in_window")).first()[0] <= 4
-
-
 @pytest.mark.parametrize("slice_s", [1, 7, 60])
 def test_window_counts_equal_a_loop(spark, slice_s):
     rows = log(5)
@@ -72,19 +36,3 @@ def test_window_counts_equal_a_loop(spark, slice_s):
     for key, t, _ in rows:
         mine = [x for k, x, _ in rows if k == key]
         assert got[(key, base + t)] == (mine.count(t), sum(t - 60_000_000 <= x <= t for x in mine))
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    rows = sorted(log(6), key=lambda r: r[1])
-    frame(spark, rows).repartition(1).write.parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = spark.readStream.schema("key string, ts timestamp_ntz, id bigint").parquet(str(tmp_path / "in"))
-        job = admission_stream(stream, "key", "ts", "id", 3, 60).writeStream.format("parquet").option(
-            "checkpointLocation", new_folder(spark, "marks")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
-        job.awaitTermination()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    stream_rows = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert stream_rows == {tuple(r) for r in RL.admission(frame(spark, rows), "key", "ts", "id", 3, 60).collect()}

@@ -50,6 +50,17 @@ def test_size_limit(files):
     assert got["good.csv"]["error"] == "too_large"
 
 
+def test_csv_kinds_of_one_folder(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("n,t\n1,café\n".encode())
+    (tmp_path / "b.csv").write_bytes("n,t\n2,Orléans\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_bytes("n,t\n3,x\n4.5,ÿþ\n".encode("utf-16"))
+    (tmp_path / "d.csv").write_bytes('n,t\n5,"first\nsecond, ""third"""\n6,ÿþ\n'.encode())
+    df = csvfiles.csv_load(spark, str(tmp_path))
+    assert dict(df.dtypes) == {"n": "double", "t": "string"}
+    assert sorted(tuple(r) for r in df.collect()) == [
+        (1.0, "café"), (2.0, "Orléans"), (3.0, "x"), (4.5, "ÿþ"), (5.0, 'first\nsecond, "third"'), (6.0, "ÿþ")]
+
+
 def test_csv_load(spark, files):
     folder = files[0]
     good = csvfiles.csv_load(spark, str(folder / "good.csv"))
