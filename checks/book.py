@@ -229,10 +229,10 @@ CTE["scores"] = f"""
     + case when num and {_nu}=2 then 2 else 0 end + case when num and {_nu}<>2 and {_nu}<=10 then 1 else 0 end
     + case when family='text' and {_nu}<=10 then 2 else 0 end as score,
     case when {_nu}<=10 then 'classification' else 'regression' end as task_type,
-    array_to_string(list_filter([case when named then 'name suggests it is a target variable' end,
-      case when lst then 'last column in dataset' end, case when num and {_nu}=2 then 'binary numeric' end,
-      case when num and {_nu}<>2 and {_nu}<=10 then 'low cardinality numeric' end,
-      case when family='text' and {_nu}<=10 then 'low cardinality categorical' end], lambda x: x is not null), ', ') as reasons
+    array_to_string(list_filter([case when named then 'named like a target' end,
+      case when lst then 'stands last' end, case when num and {_nu}=2 then 'two numbers' end,
+      case when num and {_nu}<>2 and {_nu}<=10 then 'few numbers' end,
+      case when family='text' and {_nu}<=10 then 'few texts' end], lambda x: x is not null), ', ') as reasons
   from (select s.ordinal, s.name, family, {_nu}, {any_of('s.name', K.TARGET_KEYWORDS)} as named,
           s.ordinal = {NCOL - 1} as lst, family in ('integer','float') as num
         from schema_ s join counts c using (ordinal))"""

@@ -373,7 +373,7 @@ query("tg3_explicit_target", _explicit,
         n_classes, imbalance_ratio, reasons from (
         select rank as r0, ordinal, "column", score, task_type, n_classes, imbalance_ratio, reasons from targets where "column" <> 'priority'
         union all select 0, ordinal, s.name, 999, case when unique_count <= 20 then 'classification' else 'regression' end, unique_count,
-          case when unique_count <= 20 and buckets >= 2 then imbalance_ratio end, 'user selected via API'
+          case when unique_count <= 20 and buckets >= 2 then imbalance_ratio end, 'chosen by the caller'
         from scores s join ratios using (ordinal) where s.name = 'priority')""")
 query("tg4_class_distribution", lambda s, d: A(s, d).distribution,
       f"select {_DS}, ordinal, name, value, cnt as count, pct, flag from dist")
@@ -595,13 +595,13 @@ query("fn14_health_points", lambda s, d: A(s, d).health, f"select {_DS}, points,
 _sum_first = "(select col_a, col_b, correlation from corr where abs(correlation) >= 0.7 order by rank limit 1)"
 _sum_imb = "(select \"column\" as ic, majority_pct as ip from frel where type='class_imbalance' limit 1)"
 query("fn15_executive_summary", lambda s, d: A(s, d).summary,
-      f"""select {_DS}, concat_ws(' ', 'Your dataset has ' || format('{{:,}}', rows) || ' rows and ' || columns || ' columns and is currently in ' || label || '.',
-        case when missing_percentage > 0 then printf('About %.1f%% of values are missing.', missing_percentage) end,
-        case when duplicate_rows > 0 then 'There are ' || format('{{:,}}', duplicate_rows) || ' duplicate rows.' end,
-        case when critical > 0 then printf('There %s %d critical issue%s.', case when critical=1 then 'is' else 'are' end, critical, case when critical=1 then '' else 's' end) end,
-        case when col_a is not null then printf('"%s" and "%s" move very closely together (%+.2f).', col_a, col_b, correlation) end,
-        case when ic is not null then printf('The "%s" column is heavily skewed (%.0f%% of values in one group).', ic, ip) end,
-        printf('%s looks like a good fit for this %s task.', primary_model, task_type)) as summary
+      f"""select {_DS}, concat_ws(' ', format('{{:,}}', rows) || ' rows by ' || columns || ' columns; overall state: ' || label || '.',
+        case when missing_percentage > 0 then printf('Empty cells: %.1f%%.', missing_percentage) end,
+        case when duplicate_rows > 0 then 'Rows with an identical twin: ' || format('{{:,}}', duplicate_rows) || '.' end,
+        case when critical > 0 then printf('Critical findings: %d.', critical) end,
+        case when col_a is not null then printf('Closest pair: "%s" with "%s" (r = %+.2f).', col_a, col_b, correlation) end,
+        case when ic is not null then printf('Target "%s" has %.0f%% of its rows in one class.', ic, ip) end,
+        printf('First model to try: %s (%s).', primary_model, task_type)) as summary
       from info, dups, split, health, pick left join {_sum_first} on true left join {_sum_imb} on true""")
 query("fn16_column_relationships", lambda s, d: A(s, d).relationships,
       f"""select {_DS}, col_a, col_b, cast(null as varchar) as split_by, correlation, strength,
@@ -610,11 +610,11 @@ query("fn16_column_relationships", lambda s, d: A(s, d).relationships,
         printf('"%s" and "%s" (r = %+.2f)', col_a, col_b, correlation) as explanation,
         cast(row_number() over (order by abs(correlation) desc, rank) as integer) as position from allcorr where abs(correlation) >= 0.3""")
 query("fn17_quick_wins", lambda s, d: FN.quick_wins(A(s, d).duplicates, A(s, d).traits, A(s, d).all_findings).withColumn("tips", joined("tips", " | ")),
-      f"""select {_DS}, case when t = '' then 'Data looks clean' else t end as tips from (select array_to_string(list_filter([
-        case when duplicate_rows > 0 then 'Remove ' || format('{{:,}}', duplicate_rows) || ' duplicates' end,
-        case when has_missing then 'Fix missing values' end, case when has_imbalance then 'Address class imbalance' end,
-        case when len(cs) > 0 then 'Drop constant columns ' || array_to_string(cs[1:3], ', ') end,
-        case when v1 is not null then printf('Remove one of "%s" or "%s"', v1, v2) end], lambda x: x is not null), ' | ') as t
+      f"""select {_DS}, case when t = '' then 'nothing to mend' else t end as tips from (select array_to_string(list_filter([
+        case when duplicate_rows > 0 then format('{{:,}}', duplicate_rows) || ' rows have a twin: keep one of each' end,
+        case when has_missing then 'fill or drop the empty cells' end, case when has_imbalance then 'weight or resample the classes' end,
+        case when len(cs) > 0 then 'leave out columns of one value: ' || array_to_string(cs, ', ') end,
+        case when v1 is not null then printf('keep "%s" or "%s", not both', v1, v2) end], lambda x: x is not null), ' | ') as t
       from dups, traits, (select list("column" order by seq) filter (where type='constant_column') as cs,
         min_by(case when type='multicollinearity' then var1 end, seq) filter (where type='multicollinearity') as v1,
         min_by(case when type='multicollinearity' then var2 end, seq) filter (where type='multicollinearity') as v2 from findings))""")

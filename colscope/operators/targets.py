@@ -23,11 +23,11 @@ def score_targets(schema: DataFrame, counts: DataFrame, whole_word_y: bool = Fal
     numeric = F.col("family").isin("integer", "float", "decimal")
     last = F.col("ordinal") == F.max("ordinal").over(Window.partitionBy("dataset"))
     rules = (
-        (named, 3, "name suggests it is a target variable"),
-        (last, 1, "last column in dataset"),
-        (numeric & (nu == 2), 2, "binary numeric"),
-        (numeric & (nu != 2) & (nu <= 10), 1, "low cardinality numeric"),
-        ((F.col("family") == "text") & (nu <= 10), 2, "low cardinality categorical"),
+        (named, 3, "named like a target"),
+        (last, 1, "stands last"),
+        (numeric & (nu == 2), 2, "two numbers"),
+        (numeric & (nu != 2) & (nu <= 10), 1, "few numbers"),
+        ((F.col("family") == "text") & (nu <= 10), 2, "few texts"),
     )
     score = sum((F.when(cond, points).otherwise(0) for cond, points, _ in rules), F.lit(0))
     reasons = F.array_compact(F.array(*[F.when(cond, F.lit(why)) for cond, _, why in rules]))
@@ -76,7 +76,7 @@ def explicit_target(candidates: DataFrame, scores: DataFrame, ratios: DataFrame,
         "task_type", "n_classes",
         F.when((F.col("task_type") == "classification") & (F.col("buckets") >= 2), F.col("imbalance_ratio"))
         .alias("imbalance_ratio"),
-        F.array(F.lit("user selected via API")).alias("reasons"))
+        F.array(F.lit("chosen by the caller")).alias("reasons"))
     both = candidates.where(F.col("column") != column).unionByName(chosen)
     w = Window.partitionBy("dataset").orderBy("rank")
     return both.withColumn("rank", F.row_number().over(w))
