@@ -108,7 +108,7 @@ def _same_delimiter() -> str:
         return f"(length({x}) - length(replace({x}, {d}, '')))"
 
     whens = " ".join(
-        f"when {n('header', d)} > 0 and len(list_filter(rows[1:10], lambda v: {n('v', d)} <> {n('header', d)})) = 0 then {d}"
+        f"when {n('header', d)} > 0 and len(list_filter(rows, lambda v: {n('v', d)} <> {n('header', d)})) = 0 then {d}"
         for d in ("','", "';'", "chr(9)", "'|'"))
     return f"case {whens} else ',' end"
 
@@ -514,10 +514,10 @@ query("rc5_preprocessing_steps", lambda s, d: RC.preprocessing_steps(A(s, d).tra
       + "], lambda x: x is not null), ' | ') as preprocessing_steps from traits")
 query("rc6_cv_strategy", lambda s, d: RC.cv_strategy(A(s, d).traits, A(s, d).structure),
       f"select {_DS}, case when type='time-series' then 'Time Series Split (Walk-Forward Validation)' when has_imbalance then"
-      " 'Stratified 5-Fold Cross-Validation' when is_small then 'Leave-One-Out Cross-Validation (LOOCV)' else '5-Fold Cross-Validation' end"
+      " 'Stratified 5-Fold Cross-Validation' when is_small then 'Leave-One-Out Cross-Validation (LOOCV) or Stratified 10-Fold' else '5-Fold Cross-Validation' end"
       " as cv_strategy from traits, structure")
 query("rc7_metrics", lambda s, d: RC.metrics(A(s, d).traits, A(s, d).tasks).withColumn("recommended_metrics", joined("recommended_metrics")),
-      f"select {_DS}, case when task_type='regression' then 'RMSE, MAE, R²' when has_imbalance then 'F1-Score, AUC-ROC, Precision-Recall AUC'"
+      f"select {_DS}, case when task_type='regression' then 'RMSE, MAE, R²' when has_imbalance then 'F1-Score, AUC-ROC, Precision-Recall AUC, not Accuracy'"
       " else 'Accuracy, F1-Score, AUC-ROC' end as recommended_metrics from traits, tasks")
 
 # ================================================================ FN
@@ -608,6 +608,8 @@ query("fn16_column_relationships", lambda s, d: A(s, d).relationships,
         case when correlation > 0 then 'positive' else 'negative' end as direction,
         case when abs(correlation) >= 0.9 then 'high' when abs(correlation) >= 0.7 then 'medium' else 'info' end as severity,
         printf('"%s" and "%s" (r = %+.2f)', col_a, col_b, correlation) as explanation,
+        case when abs(correlation) >= 0.9 then 'Keep one of them, or a combination.' when abs(correlation) >= 0.7 then 'Linear models: keep one. Trees: keep both.'
+          else 'Nothing to do.' end as action,
         cast(row_number() over (order by abs(correlation) desc, rank) as integer) as position from allcorr where abs(correlation) >= 0.3""")
 query("fn17_quick_wins", lambda s, d: FN.quick_wins(A(s, d).duplicates, A(s, d).traits, A(s, d).all_findings).withColumn("tips", joined("tips", " | ")),
       f"""select {_DS}, case when t = '' then 'nothing to mend' else t end as tips from (select array_to_string(list_filter([
@@ -619,9 +621,14 @@ query("fn17_quick_wins", lambda s, d: FN.quick_wins(A(s, d).duplicates, A(s, d).
         min_by(case when type='multicollinearity' then var1 end, seq) filter (where type='multicollinearity') as v1,
         min_by(case when type='multicollinearity' then var2 end, seq) filter (where type='multicollinearity') as v2 from findings))""")
 query("fn18_imbalance_guidance",
-      lambda s, d: FN.imbalance_guidance(A(s, d).findings, A(s, d).targets).withColumns({c: F.array_join(c, ", ") for c in ("techniques", "wrong_metrics", "right_metrics")}),
+      lambda s, d: FN.imbalance_guidance(A(s, d).findings, A(s, d).targets).withColumns(
+          {"hints": F.array_join(F.transform("techniques", lambda t: F.concat_ws("/", t["difficulty"], t["code_hint"])), ", ")} | {
+              "techniques": F.array_join(F.transform("techniques", lambda t: t["name"]), ", ")} | {c: F.array_join(c, ", ") for c in ("wrong_metrics", "right_metrics")}),
       f"""select {_DS}, f."column" as target_column, majority_pct, coalesce(n_classes, 2) as n_classes, imbalance_ratio,
-        'Class Weights, SMOTE, Random Undersampling, Threshold Tuning' as techniques, 'accuracy' as wrong_metrics,
+        'Class Weights, SMOTE, Random Undersampling, Threshold Tuning' as techniques,
+        'easy/class_weight="balanced", moderate/imblearn.over_sampling.SMOTE, easy/imblearn.under_sampling.RandomUnderSampler, moderate/sklearn.metrics.precision_recall_curve' as hints,
+        printf('Always answering the larger class of "%s" would be right in %.0f%% of the rows.', f."column", majority_pct) as why_it_matters,
+        printf('Judge "%s" by F1-score or AUC-ROC.', f."column") as metric_explanation, 'accuracy' as wrong_metrics,
         'F1-score, AUC-ROC, Precision-Recall AUC, Cohen''s Kappa' as right_metrics
       from (select "column", majority_pct from frel where type='class_imbalance') f left join targets t on t."column"=f."column" """)
 query("fn19_model_guidance",

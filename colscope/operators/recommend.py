@@ -136,7 +136,7 @@ def cv_strategy(traits: DataFrame, structure: DataFrame) -> DataFrame:
     name = (
         F.when(F.col("type") == "time-series", "Time Series Split (Walk-Forward Validation)")
         .when(F.col("has_imbalance"), "Stratified 5-Fold Cross-Validation")
-        .when(F.col("is_small"), "Leave-One-Out Cross-Validation (LOOCV)")
+        .when(F.col("is_small"), "Leave-One-Out Cross-Validation (LOOCV) or Stratified 10-Fold")
         .otherwise("5-Fold Cross-Validation")
     )
     return traits.join(structure.select("dataset", "type"), "dataset", "left").select("dataset", name.alias("cv_strategy"))
@@ -149,7 +149,7 @@ def metrics(traits: DataFrame, tasks: DataFrame) -> DataFrame:
 
     chosen = (
         F.when(F.col("task_type") == "regression", names("RMSE", "MAE", "R²"))
-        .when(F.col("has_imbalance"), names("F1-Score", "AUC-ROC", "Precision-Recall AUC"))
+        .when(F.col("has_imbalance"), names("F1-Score", "AUC-ROC", "Precision-Recall AUC", "not Accuracy"))
         .otherwise(names("Accuracy", "F1-Score", "AUC-ROC"))
     )
     return traits.join(tasks, "dataset").select("dataset", chosen.alias("recommended_metrics"))

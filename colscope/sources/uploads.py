@@ -81,11 +81,11 @@ def decoded(content: Column) -> Column:
     )
 
 
-def header_check(files: DataFrame, max_columns: int = MAX_COLUMNS, sniff_lines: int = 10) -> DataFrame:
+def header_check(files: DataFrame, max_columns: int = MAX_COLUMNS, sniff_lines: int | None = None) -> DataFrame:
     """IN6: delimiter, header width and the first problem found: no header, too wide, no data row.
 
     The delimiter is the first candidate that occurs in the header and equally often in the
-    following lines; the comma is the fallback.
+    lines below it (all of them, or the first `sniff_lines`); the comma is the fallback.
     """
     lines = F.split(F.regexp_replace(decoded(F.col("content")), "\r\n?", "\n"), "\n")
     x = files.select("path", lines.alias("lines")).select(
@@ -97,7 +97,7 @@ def header_check(files: DataFrame, max_columns: int = MAX_COLUMNS, sniff_lines:
 
     def fits(d):
         n = occurs(F.col("header"), d)
-        return (n > 0) & F.forall(F.slice("rows", 1, sniff_lines), lambda v: occurs(v, d) == n)
+        return (n > 0) & F.forall(F.col("rows") if sniff_lines is None else F.slice("rows", 1, sniff_lines), lambda v: occurs(v, d) == n)
 
     delimiter = F
     for d in DELIMITERS:
