@@ -134,8 +134,9 @@ def links_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
             found = settle(found.union(verified(likely(rest), texts, percent)), "found")
             return components(found)
         before, turn = pairs_open, turn + 1
-        centres = parts.groupBy("key").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("centre"))
-        more = parts.join(centres, "key").where("node != centre").select(*as_pairs("centre", "node")).distinct().join(tried, ["a", "b"], "left_anti")
+        centres = parts.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn), "node")).alias("centre"))
+        across = parts.join(centres, "key").where(F.col("root") != F.col("centre.root"))
+        more = across.select(*as_pairs("centre.node", "node")).distinct().join(tried, ["a", "b"], "left_anti")
         more = settle(more, "pairs")
         found = settle(found.union(verified(likely(more), texts, percent)), "found")
         tried = tried.union(more)
