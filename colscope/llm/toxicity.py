@@ -167,7 +167,7 @@ def word_scores(training: DataFrame) -> tuple[dict[str, float], int, int]:
     n0, n1 = (sizes["clean"], sizes["toxic"]) if sizes else (0, 0)
     if not n0 or not n1:
         return {}, n0, n1
-    tested = table.where((F.col("word") != "") & (F.col("toxic") >= LEAST) & (F.col("toxic") < n1))
+    tested = table.where((F.col("word") != "") & (F.col("toxic") >= LEAST) & (F.col("toxic") + F.col("clean") < n0 + n1))
     z = NormalDist().inv_cdf(1 - BY_CHANCE / max(2, tested.count()))
     prior = PRIOR * (F.col("clean") + F.col("toxic")) / (n0 + n1)
     inside = lambda c, n: F.log((F.col(c) + prior) / (n + PRIOR - F.col(c) - prior))
