@@ -1,19 +1,23 @@
 """A probabilistic suffix tree over words: contexts of variable length, kept where they say more than their suffix.
 
-Counting. Words are counted over all training documents. Contexts grow by a word a level: the next-word counts of a
-level's contexts give the contexts of the next one. A context is considered if it makes up CONTEXT_SHARE of all
-training tokens, and its next words are told apart down to NEXT_SHARE of all tokens; as shares of one whole, at most
-1 / CONTEXT_SHARE contexts and 1 / NEXT_SHARE next words can exist per level, whatever the corpus. The same holds
-for frequent words (HEAD_SHARE). These tables are what is collected and sent to all tasks.
+Counting. Words are counted over all training documents, then sequences of two words, of three and so on. A sequence
+counts from LEAST occurrences on, whatever the size of the corpus, so the tree grows with it. The sequences of a length are the
+contexts of the next one. A sequence is only counted where both the one without its last and the one without its
+first word have LEAST occurrences, which a bit map of bounded size tells (it may err to that side only).
 
 Divergence. A context is kept if its next-word distribution differs from its suffix's by more than it costs to state:
-n(s) KL(P(.|s) || P(.|suffix)) > next words * ln(n(s)) / 2. Suffixes of kept contexts are kept.
+n(s) KL(P(.|s) || P(.|suffix)) > next words * ln(n(s)) / 2. Suffixes of kept contexts are kept. Contexts grow until no
+context of a length is kept.
 
 Smoothing. P(w|s) = (n(sw) + t P(w|suffix)) / (n(s) + t) for the t next words told apart; what is left is shared
 out by the suffix's distribution over all others. The root is the add-one distribution over all
 training words and one class of unknown words. Each token is scored at the longest kept suffix of its history.
 
-Rare words always end at the root and need their count only: they go through a join on the word, frequent words never do.
+Scoring. log P(w|s) is the sum over all kept suffixes of s of what each adds to the one before: log P(w|s) - log P(w|suffix)
+where w is told apart, and the logarithm of the share of the rest where it isn't. So a sequence has one
+term, wherever it stands: its back-off as a context and, as a context and its next word, what that adds to the
+back-off. Terms are a written table that a text's sequences are joined with. Sequences that make up HOT_SHARE of all
+training tokens (at most 1 / HOT_SHARE of a length) are sent to all tasks instead, and are never shuffled.
 """
 
 from __future__ import annotations
@@ -21,37 +25,85 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from colscope.llm.common import documents, remainder, settle, whole_text
+from colscope.llm.common import documents, filled, remainder, settle, whole_text
 from colscope.llm.superminhash import WordHashes
 from colscope.llm.tokens import portions
 
-HEAD_SHARE, CONTEXT_SHARE, NEXT_SHARE = 1e-6, 1e-4, 4e-6
-#: Occurrences that any of them needs, for small tables; words in the longest context.
-LEAST, DEPTH = 3, 2
-#: Word numbers are below 2 ** SHIFT, since at most 1 / HEAD_SHARE words are frequent.
-SHIFT = 20
+#: Share of all tokens from which on a sequence's term is sent to all tasks; the result does not depend on it.
+HOT_SHARE = 2e-6
+#: Occurrences that a context and a next word need.
+LEAST = 3
+#: Bits of a bit map of sequences: 16 for each, up to 2 ** MOST_BITS; a fuller one lets more through, and loses nothing.
+MOST_BITS = 28
+#: Lengths of contexts that are counted in whole texts; longer ones are counted in what repeats of the texts.
+TEXT_PASSES = 2
+#: A bit map is made in 2 ** SLICES parts.
+SLICES = 8
 #: The token after a document's last word: the hash of no letters, which no word has.
 END = b""
 
 
+def mixed(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hashes of sequences, from those of the sequences without their last and without their first word."""
+    p, s = prefix.astype(np.int64).view(np.uint64), suffix.astype(np.int64).view(np.uint64)
+    x = (p ^ (p >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + s * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+@F.pandas_udf(LongType())
+def mixed_columns(p: pd.Series, s: pd.Series) -> pd.Series:
+    return pd.Series(mixed(p.to_numpy(), s.to_numpy()))
+
+
+@dataclass
+class BitMap:
+    """Which hashes may be in a set; bits are told by a hash's leading bits."""
+
+    bits: int
+    data: np.ndarray
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.data[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+
+def bit_map(keys: DataFrame) -> BitMap:
+    """The bit map of a column `key`."""
+    bits = min(MOST_BITS, max(SLICES + 3, math.ceil(math.log2(16 * keys.count() + 1))))
+    size = 1 << (bits - SLICES)
+
+    def mark(group: pd.DataFrame) -> pd.DataFrame:
+        places = group["key"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        flags = np.zeros(size, bool)
+        flags[places & np.uint64(size - 1)] = True
+        return pd.DataFrame({"slice": [int(places[0]) >> (bits - SLICES)], "data": [np.packbits(flags).tobytes()]})
+
+    sliced = keys.select("key", F.shiftrightunsigned("key", 64 - SLICES).alias("slice"))
+    data = np.zeros((1 << SLICES, size >> 3), np.uint8)
+    for r in sliced.groupBy("slice").applyInPandas(mark, "slice long, data binary").toLocalIterator():  # 2 ** SLICES rows
+        data[r["slice"]] = np.frombuffer(r["data"], np.uint8)
+    return BitMap(bits, data.reshape(-1))
+
+
 @dataclass
 class Level:
-    """Contexts of one length and what follows them; numbers of contexts are places in `contexts`."""
+    """A level in memory, to look at small trees; numbers of contexts are places in `contexts`."""
 
-    contexts: np.ndarray  # sorted: number of the context without its last word << SHIFT | last word
-    counts: np.ndarray
-    next: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # sorted: context << SHIFT | word
-    next_counts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    next_log: np.ndarray = field(default_factory=lambda: np.empty(0))  # log10 P(word | context)
-    back: np.ndarray = field(default_factory=lambda: np.empty(0))  # log10 share of the suffix's distribution
-    kept: np.ndarray = field(default_factory=lambda: np.empty(0, bool))
-    suffix: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # number of the suffix in the level before
+    contexts: np.ndarray  # sorted hashes
+    kept: np.ndarray
+    back: np.ndarray  # log10 share of the suffix's distribution
+    suffix: np.ndarray  # number of the suffix in the level before
+    next: np.ndarray  # sorted hashes of a context and its next word
+    next_log: np.ndarray  # log10 P(word | context)
 
 
 @dataclass
@@ -60,7 +112,12 @@ class Tree:
     head_counts: np.ndarray
     tokens: int
     words: int
-    levels: list[Level] = field(default_factory=list)
+    #: For each length of contexts (sequences: key, p, s, n, prob, less; contexts: key, held, back, kept).
+    tables: list[tuple[DataFrame, DataFrame]] = field(default_factory=list)
+    terms: DataFrame | None = None  # key, n, term
+    hot: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # sorted hashes of the frequent sequences
+    hot_terms: np.ndarray = field(default_factory=lambda: np.empty(0))
+    known: BitMap | None = None  # of the sequences that have a term
 
     @property
     def log_total(self) -> float:
@@ -70,6 +127,20 @@ class Tree:
     def root_log(self) -> np.ndarray:
         return np.log10(self.head_counts + 1.0) - self.log_total
 
+    @cached_property
+    def levels(self) -> list[Level]:
+        """The whole tree, collected."""
+        out: list[Level] = []
+        for d, (sequences, contexts) in enumerate(self.tables):
+            c, g = contexts.toPandas().sort_values("key"), sequences.toPandas().sort_values("key")
+            keys = c["key"].to_numpy(np.int64)
+            suffix = np.zeros(len(c), np.int64)
+            if d:
+                before = self.tables[d - 1][0].select("key", "s").toPandas().sort_values("key")
+                suffix = find(out[-1].contexts, before["s"].to_numpy(np.int64)[find(before["key"].to_numpy(np.int64), keys)])
+            out.append(Level(keys, c["kept"].to_numpy(bool), c["back"].to_numpy(float), suffix, g["key"].to_numpy(np.int64), np.log10(g["prob"].to_numpy(float))))
+        return out
+
 
 def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of keys in a sorted table, -1 where they aren't in it."""
@@ -87,134 +158,170 @@ def tokens_of(texts: list[str | None], known: WordHashes) -> tuple[np.ndarray, n
     return np.array([h for e in each for h in e], np.uint64).view(np.int64), np.repeat(np.arange(len(texts)), sizes)
 
 
-def states(tree: Tree, word: np.ndarray, doc: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each length up to depth the number of the context before each token, -1 where there is none."""
-    found = [np.zeros(len(word), np.int64)]
-    fresh = np.r_[True, doc[1:] != doc[:-1]] if len(word) else np.empty(0, bool)
-    for level in tree.levels[:depth]:
-        shorter = found[-1]
-        key = np.where((shorter >= 0) & (word >= 0), (shorter << SHIFT) | word, -1)
-        before = np.r_[np.int64(-1), find(level.contexts, key)[:-1]] if len(word) else key
-        before[fresh] = -1
-        found.append(before)
-    return found
+def sequences_of(word: np.ndarray, doc: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1 on the hashes of the sequences that end at each token, and whether they lie within its text."""
+    keys, whole = word, np.ones(len(word), bool)
+    yield keys, whole
+    same = np.r_[False, doc[1:] == doc[:-1]][: len(doc)]
+    for _ in range(length - 1):
+        keys, whole = mixed(np.r_[np.int64(0), keys[:-1]], keys), same & np.r_[False, whole[:-1]]
+        yield keys, whole
+
+
+def read_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens and the text (or run) each is in, of a portion at a time."""
+    known = WordHashes()
+    for b in filled(batches):
+        if "run" in b:
+            sizes = b["run"].str.len().to_numpy() >> 3
+            yield np.frombuffer(b"".join(b["run"]), np.int64), np.repeat(np.arange(len(b)), sizes)
+        else:
+            for texts in portions(b["text"]):
+                yield tokens_of(texts, known)
 
 
-def count_words(training: DataFrame) -> DataFrame:
-    """word (hash), n over all training tokens, settled."""
+def counted(training: DataFrame, found, columns: list[str]) -> DataFrame:
+    """columns, n: how often each row that found(tokens, texts) gives occurs in all training texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, some, size = WordHashes(), [], 0
-        for b in batches:
-            for texts in portions(b["text"]):
-                some.append(tokens_of(texts, known)[0])
-                size += len(some[-1])
-                if size > 1 << 22:
-                    yield counted(some)
-                    some, size = [], 0
+        some, size = [], 0
+        for word, doc in read_tokens(batches):
+            some.append(found(word, doc))
+            size += len(some[-1][0])
+            if size > 1 << 22:
+                yield summed(some)
+                some, size = [], 0
         if some:
-            yield counted(some)
+            yield summed(some)
 
-    def counted(some: list[np.ndarray]) -> pd.DataFrame:
-        words, n = np.unique(np.concatenate(some), return_counts=True)
-        return pd.DataFrame({"word": words, "n": n})
+    def summed(some: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        # the first column is a hash of the row
+        parts = [np.concatenate(x) for x in zip(*some)]
+        _, at, n = np.unique(parts[0], return_index=True, return_counts=True)
+        return pd.DataFrame({c: x[at] for c, x in zip(columns, parts[-len(columns):])} | {"n": n})
 
-    return settle(training.mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return training.mapInPandas(run, ", ".join(f"{c} long" for c in [*columns, "n"])).groupBy(*columns).agg(F.sum("n").alias("n"))
 
 
-def count_next(training: DataFrame, tree: Tree, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(context << SHIFT | next word, occurrences) of the last level's contexts, from `least` occurrences on."""
-    shared = training.sparkSession.sparkContext.broadcast(tree)
-    depth = len(tree.levels)
+def repeated_runs(training: DataFrame, told: DataFrame, length: int) -> DataFrame:
+    """run: the tokens of each stretch of a text in which all sequences of a length are told, settled. Longer ones stand in these only."""
+    shared = training.sparkSession.sparkContext.broadcast(bit_map(told))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, some, size = WordHashes(), [], 0
-        tree = shared.value
-        often = tree.head_counts >= least
-        for b in batches:
-            for texts in portions(b["text"]):
-                hashes, doc = tokens_of(texts, known)
-                word = find(tree.head, hashes)
-                context = states(tree, word, doc, depth)[depth]
-                use = (context >= 0) & (word >= 0) & often[word]
-                some.append((context[use] << SHIFT) | word[use])
-                size += len(some[-1])
-                if size > 1 << 22:
-                    yield counted(some)
-                    some, size = [], 0
-        if some:
-            yield counted(some)
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for word, doc in read_tokens(batches):
+            keys, whole = list(sequences_of(word, doc, length))[-1]
+            ends = np.flatnonzero(whole & shared.value.holds(keys))
+            if len(ends):
+                fresh = np.r_[True, (np.diff(ends) != 1) | (doc[ends[1:]] != doc[ends[:-1]])]
+                first = np.flatnonzero(fresh)
+                last = np.r_[first[1:], len(ends)] - 1
+                yield pd.DataFrame({"run": [word[a - length + 1: b + 1].tobytes() for a, b in zip(ends[first], ends[last]) if b > a]})
+
+    runs = settle(training.mapInPandas(cut, "run binary"), "runs")
+    shared.unpersist()
+    return runs
+
+
+def count_words(training: DataFrame) -> DataFrame:
+    """word (hash), n over all training tokens, settled."""
+    return settle(counted(training, lambda word, doc: (word,), ["word"]), "words")
 
-    def counted(some: list[np.ndarray]) -> pd.DataFrame:
-        keys, n = np.unique(np.concatenate(some), return_counts=True)
-        return pd.DataFrame({"key": keys, "n": n})
 
-    rows = training.mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    found = rows.toPandas().sort_values("key")  # at most 1 / NEXT_SHARE rows
+def count_next(training: DataFrame, shorter: DataFrame, depth: int) -> DataFrame:
+    """key, p, s, n of the sequences of depth + 1 words with LEAST occurrences, settled; p and s lack the last and the first word."""
+    shared = training.sparkSession.sparkContext.broadcast(bit_map(shorter))
+
+    def found(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        if not len(word):
+            return word, word, word
+        keys, whole = list(sequences_of(word, doc, depth))[-1]
+        often = whole & shared.value.holds(keys)
+        ends = np.flatnonzero(often[1:] & often[:-1] & (doc[1:] == doc[:-1])) + 1
+        p, s = keys[ends - 1], keys[ends]
+        return mixed(p, s), p, s
+
+    rows = counted(training, found, ["p", "s"]).where(F.col("n") >= LEAST)
+    told = settle(rows.select(mixed_columns("p", "s").alias("key"), "p", "s", "n"), "told")
     shared.unpersist()
-    return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    return told
 
 
 def log_next(tree: Tree, depth: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """log10 P(word | context) for contexts of one length (numbers in its level) and frequent words."""
+    return log_and_keys(tree, depth, context, word)[0]
+
+
+def log_and_keys(tree: Tree, depth: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and the hashes of the contexts with the words."""
     if depth == 0:
-        return tree.root_log[word]
-    level = tree.levels[depth - 1]
-    at = find(level.next, (context << SHIFT) | word)
-    out = np.empty(len(word))
-    told = at >= 0
-    out[told] = level.next_log[at[told]]
-    rest = ~told
-    if rest.any():
-        out[rest] = level.back[context[rest]] + log_next(tree, depth - 1, level.suffix[context[rest]], word[rest])
-    return out
-
-
-def smooth(tree: Tree, depth: int) -> None:
-    """Fill in the distributions of a level and which of its contexts are kept."""
+        return tree.root_log[word], tree.head[word]
     level = tree.levels[depth - 1]
-    n = len(level.contexts)
-    level.suffix = np.zeros(n, np.int64)
-    if depth > 1:
-        before, last = level.contexts >> SHIFT, level.contexts & ((1 << SHIFT) - 1)
-        level.suffix = find(tree.levels[depth - 2].contexts, (tree.levels[depth - 2].suffix[before] << SHIFT) | last)
-    context, word = level.next >> SHIFT, level.next & ((1 << SHIFT) - 1)
-    below = 10 ** log_next(tree, depth - 1, level.suffix[context], word) if len(context) else np.empty(0)
-    told = np.bincount(context, minlength=n).astype(float)
-    p = (level.next_counts + told[context] * below) / (level.counts[context] + told[context])
-    level.next_log = np.log10(p)
-    left = np.maximum(1e-12, 1 - np.bincount(context, weights=p, minlength=n))
-    left_below = np.maximum(1e-12, 1 - np.bincount(context, weights=below, minlength=n))
-    level.back = np.log10(left / left_below)
-    gain = np.bincount(context, weights=level.next_counts * np.log(p / below), minlength=n)
-    rest = np.maximum(0, level.counts - np.bincount(context, weights=level.next_counts, minlength=n))
-    level.kept = gain + rest * level.back * math.log(10) > told * np.log(np.maximum(2, level.counts)) / 2
-
-
-def fit(df: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """(tree, counts of all words) of a table of training texts. An empty table gives a tree that knows only unknown words."""
+    below, shorter = log_and_keys(tree, depth - 1, level.suffix[context], word)
+    keys = mixed(level.contexts[context], shorter)
+    at = find(level.next, keys)
+    return np.where(at >= 0, level.next_log[at], level.back[context] + below), keys
+
+
+def smooth(told: DataFrame, shorter: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(told with prob and less, contexts). shorter: key, n, prob of the sequences that are a word shorter.
+
+    prob is a next word's probability behind its context, less behind the context's suffix, where it is told apart too.
+    Contexts: key, held (occurrences), back (log10 share of the suffix's distribution), kept.
+    """
+    sizes = told.groupBy("p").agg(F.count("*").alias("told"), F.sum("n").alias("seen")).join(shorter.select(F.col("key").alias("p"), F.col("n").alias("held")), "p")
+    both = told.join(sizes, "p").join(shorter.select(F.col("key").alias("s"), F.col("prob").alias("less")), "s")
+    both = settle(both.withColumn("prob", (F.col("n") + F.col("told") * F.col("less")) / (F.col("held") + F.col("told"))), "next")
+    sums = both.groupBy("p").agg(
+        F.max("held").alias("held"), F.max("told").alias("told"), F.max("seen").alias("seen"), F.sum("prob").alias("prob"), F.sum("less").alias("less"),
+        F.sum(F.col("n") * F.ln(F.col("prob") / F.col("less"))).alias("gain"))
+    left, left_below = (F.greatest(F.lit(1e-12), 1 - F.col(c)) for c in ("prob", "less"))
+    contexts = sums.withColumn("back", F.log10(left / left_below))
+    rest = F.greatest(F.lit(0), F.col("held") - F.col("seen"))
+    kept = F.col("gain") + rest * F.col("back") * math.log(10) > F.col("told") * F.ln(F.greatest(F.lit(2), F.col("held"))) / 2
+    return both.select("key", "p", "s", "n", "prob", "less"), settle(contexts.select(F.col("p").alias("key"), "held", "back", kept.alias("kept")), "contexts")
+
+
+def fit(df: DataFrame, text_col: str = "text", depth: int | None = None) -> tuple[Tree, DataFrame]:
+    """(tree, counts of all words) of a table of training texts. An empty table gives a tree that knows only unknown words.
+
+    depth: words in the longest context, for those who want a bound.
+    """
     training = df.select(whole_text(text_col).alias("text"))
     counts = count_words(training)
     tokens, words = counts.agg(F.sum("n"), F.count("*")).first()
     tokens = tokens or 0
-    # at most 1 / HEAD_SHARE rows
-    head = counts.where(F.col("n") >= max(LEAST, HEAD_SHARE * tokens)).toPandas().sort_values("word")
+    often = F.col("n") >= max(LEAST, HOT_SHARE * tokens)
+    head = counts.where(often).toPandas().sort_values("word")  # at most 1 / HOT_SHARE rows
     tree = Tree(head["word"].to_numpy(np.int64), head["n"].to_numpy(np.int64), tokens, words)
-    end = np.array([WordHashes()[END]], np.uint64).view(np.int64)
-    keys = np.arange(len(head), dtype=np.int64)
-    use = (tree.head != end[0]) & (tree.head_counts >= max(LEAST, CONTEXT_SHARE * tokens))
-    contexts, seen = keys[use], tree.head_counts[use]
-    for d in range(1, depth + 1):
-        if not len(contexts):
+    shorter = counts.where(F.col("n") >= LEAST).select(F.col("word").alias("key"), "n", ((F.col("n") + 1) / F.lit(float(tokens + words + 1))).alias("prob"))
+    while depth is None or len(tree.tables) < depth:
+        sequences, contexts = smooth(count_next(training, shorter, len(tree.tables) + 1), shorter)
+        if contexts.where("kept").isEmpty():
             break
-        level = Level(contexts, seen)
-        tree.levels.append(level)
-        level.next, level.next_counts = count_next(training, tree, max(LEAST, NEXT_SHARE * tokens))
-        smooth(tree, d)
-        often = (level.next_counts >= max(LEAST, CONTEXT_SHARE * tokens)) & (tree.head[level.next & ((1 << SHIFT) - 1)] != end[0])
-        contexts, seen = level.next[often], level.next_counts[often]
-    for d in range(len(tree.levels) - 1, 0, -1):  # suffixes of kept contexts are kept
-        tree.levels[d - 1].kept[tree.levels[d].suffix[tree.levels[d].kept]] = True
+        tree.tables.append((sequences, contexts))
+        shorter = sequences
+        if len(tree.tables) == TEXT_PASSES:
+            training = repeated_runs(training, shorter, TEXT_PASSES + 1)
+    parts = []
+    for d in range(len(tree.tables) - 1, -1, -1):
+        sequences, contexts = tree.tables[d]
+        if d + 1 < len(tree.tables):  # suffixes of kept contexts are kept
+            longer = tree.tables[d + 1][1].where("kept").select(F.col("key"))
+            needed = sequences.join(longer, "key").select(F.col("s").alias("key")).distinct().withColumn("needed", F.lit(True))
+            contexts = settle(contexts.join(needed, "key", "left").select("key", "held", "back", (F.col("kept") | F.coalesce("needed", F.lit(False))).alias("kept")), "contexts")
+            tree.tables[d] = sequences, contexts
+        kept = contexts.where("kept")
+        parts.append(kept.select("key", F.col("held").alias("n"), F.col("back").alias("term")))
+        added = sequences.join(kept.select(F.col("key").alias("p"), "back"), "p")
+        parts.append(added.select("key", "n", (F.log10(F.col("prob") / F.col("less")) - F.col("back")).alias("term")))
+    if parts:
+        terms = parts[0]
+        for p in parts[1:]:
+            terms = terms.union(p)
+        tree.terms = settle(terms.groupBy("key").agg(F.max("n").alias("n"), F.sum("term").alias("term")), "terms")
+        hot = tree.terms.where(often).toPandas().sort_values("key")  # at most 1 / HOT_SHARE rows of a length
+        tree.hot, tree.hot_terms = hot["key"].to_numpy(np.int64), hot["term"].to_numpy(float)
+        tree.known = bit_map(tree.terms)
     return tree, counts
 
 
@@ -223,60 +330,59 @@ def score(df: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id",
 
     Null and empty texts are an end token alone. Repeated rows are scored one by one; an empty table gives no rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(tree)
+    length, log_total = len(tree.tables) + 1, tree.log_total
+    shared = df.sparkSession.sparkContext.broadcast((tree.head, np.log10(tree.head_counts + 1.0), tree.hot, tree.hot_terms, tree.known))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, tree = WordHashes(), shared.value
-        log_count = np.log10(tree.head_counts + 1.0)
+        known = WordHashes()
+        words, log_count, hot, hot_terms, some_term = shared.value
         for b in batches:
             at = 0
             for texts in portions(b["text"]):
                 part = b.iloc[at: at + len(texts)]
                 at += len(texts)
                 hashes, doc = tokens_of(texts, known)
-                word = find(tree.head, hashes)
+                word = find(words, hashes)
                 head = word >= 0
                 base, model = np.zeros(len(word)), np.zeros(len(word))
                 base[head] = log_count[word[head]]
-                found = states(tree, word, doc, len(tree.levels))
-                where = np.zeros(len(word), np.int64)  # length of the longest kept context
-                for d, level in enumerate(tree.levels, 1):
-                    where[(found[d] >= 0) & level.kept[found[d]]] = d
-                for d, level in reversed(list(enumerate(tree.levels, 1))):
-                    here = np.flatnonzero(where == d)
-                    told = find(level.next, np.where(head[here], (found[d][here] << SHIFT) | word[here], -1))
-                    model[here[told >= 0]] += level.next_log[told[told >= 0]]
-                    where[here[told >= 0]] = -1
-                    rest = here[told < 0]
-                    model[rest] += level.back[found[d][rest]]
-                    where[rest] = d - 1
-                at_root = where == 0
-                model[at_root & head] += tree.root_log[word[at_root & head]]
-                model[at_root & ~head] -= tree.log_total
+                asked = [(hashes[~head], doc[~head])]
+                for d, (keys, whole) in enumerate(sequences_of(hashes, doc, length) if some_term is not None else ()):
+                    ends = np.flatnonzero(whole & some_term.holds(keys))
+                    place = find(hot, keys[ends])
+                    model[ends[place >= 0]] += hot_terms[place[place >= 0]]
+                    if d:  # words that aren't frequent are asked for anyway
+                        ends = ends[place < 0]
+                        asked.append((keys[ends], doc[ends]))
                 n = len(texts)
                 size = np.bincount(doc, minlength=n)
+                low = np.bincount(doc, weights=base, minlength=n) - size * log_total
                 yield pd.DataFrame({
-                    "pos": part["pos"].to_numpy(), "doc_id": part["doc_id"].astype("Int64").array, "word": part["mark"].to_numpy(), "times": 0,
-                    "n_tokens": size, "n_known": np.bincount(doc[head], minlength=n),
-                    "base": np.bincount(doc, weights=base, minlength=n) - size * tree.log_total, "model": np.bincount(doc, weights=model, minlength=n)})
-                rare = np.flatnonzero(~head)
-                if len(rare):
-                    order = rare[np.lexsort((hashes[rare], doc[rare]))]
-                    fresh = np.flatnonzero(np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
+                    "pos": part["pos"].to_numpy(), "doc_id": part["doc_id"].astype("Int64").array, "key": part["mark"].to_numpy(), "times": 0,
+                    "n_tokens": size, "n_known": np.bincount(doc[head], minlength=n), "base": low, "model": low + np.bincount(doc, weights=model, minlength=n)})
+                key, of = (np.concatenate(x) for x in zip(*asked))
+                if len(key):
+                    order = np.lexsort((key, of))
+                    key, of = key[order], of[order]
+                    fresh = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
                     yield pd.DataFrame({
-                        "pos": part["pos"].to_numpy()[doc[order[fresh]]], "doc_id": pd.array([pd.NA] * len(fresh), "Int64"), "word": hashes[order[fresh]],
-                        "times": np.diff(np.r_[fresh, len(order)]), "n_tokens": 0, "n_known": 0, "base": 0.0, "model": 0.0})
+                        "pos": part["pos"].to_numpy()[of[fresh]], "doc_id": pd.array([pd.NA] * len(fresh), "Int64"), "key": key[fresh],
+                        "times": np.diff(np.r_[fresh, len(key)]), "n_tokens": 0, "n_known": 0, "base": 0.0, "model": 0.0})
 
     pos = F.monotonically_increasing_id()
     slim = df.select(pos.alias("pos"), F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("mark", F.xxhash64("pos"))
-    rows = slim.mapInPandas(run, "pos long, doc_id long, word long, times int, n_tokens int, n_known int, base double, model double")
-    # a document's own row has no rare word: its key only spreads it, and times = 0 makes what it may find count for nothing
-    joined = rows.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rare = F.col("times") * F.log10(F.col("n") + 1)
+    rows = slim.mapInPandas(run, "pos long, doc_id long, key long, times int, n_tokens int, n_known int, base double, model double")
+    log_n = F.log10(F.col("n") + 1)
+    told = counts.select(F.col("word").alias("key"), F.lit(1).alias("word"), log_n.alias("low"), log_n.alias("term"))
+    if tree.terms is not None:
+        told = told.union(tree.terms.select("key", F.lit(0), F.lit(0.0), "term")).groupBy("key").agg(
+            F.max("word").alias("word"), F.sum("low").alias("low"), F.sum("term").alias("term"))
+    # a document's own row asks for nothing: its key only spreads it, and times = 0 makes what it may find count for nothing
+    joined = rows.join(told, "key", "left")
+    found = {c: F.col("times") * F.coalesce(c, F.lit(0)) for c in ("word", "low", "term")}
     return joined.groupBy("pos").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + rare).alias("base_score"), F.sum(F.col("model") + rare).alias("score")).drop("pos")
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + found["word"]).alias("n_known"),
+        F.sum(F.col("base") + found["low"]).alias("base_score"), F.sum(F.col("model") + found["term"]).alias("score")).drop("pos")
 
 
 def op8_score(spark, folder: str) -> DataFrame:

@@ -103,6 +103,53 @@ def test_tree_is_a_distribution(spark, words):
     assert suffixtree.score(odd, empty, none).count() == 4 and suffixtree.score(odd.where("false"), empty, none).count() == 0
 
 
+def test_tree_grows_with_the_input(spark, words):
+    """Contexts and next words count from a fixed number of occurrences on, and as far back as they tell something."""
+    rows = [(i, words(30, i)) for i in range(2500)] + [(3000 + i, "rareone raretwo") for i in range(4)]
+    tree, counts = suffixtree.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert tree.tokens * 1e-4 > 4  # too few for a share of all tokens
+    asked = spark.createDataFrame([(1, "rareone raretwo"), (2, "raretwo rareone")], "doc_id long, text string")
+    got = {r.doc_id: r.score - r.base_score for r in suffixtree.score(asked, tree, counts).collect()}
+    assert got[1] > 3 > 1 > got[2]
+    # the word after "x y z" is decided three words before
+    far = [(i, ("a x y z b " if i % 2 else "c x y z d ") + words(5, i)) for i in range(400)]
+    tree, counts = suffixtree.fit(spark.createDataFrame(far, "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, "a x y z b"), (2, "a x y z d")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffixtree.score(asked, tree, counts).collect()}
+    assert len(tree.levels) >= 4 and got[1] > got[2] + 1
+
+
+def test_scores_against_the_tree(spark, words, monkeypatch):
+    """Scores by joined terms are those of a walk through the tree, whichever sequences are sent to all tasks."""
+    rows = [(i, ("new york " if i % 2 else "big apple ") + words(20, i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = None
+    for share in (2e-6, 1.0):
+        monkeypatch.setattr(suffixtree, "HOT_SHARE", share)
+        tree, counts = suffixtree.fit(df)
+        got = {r.doc_id: (r.n_known, r.base_score, r.score) for r in suffixtree.score(df, tree, counts).collect()}
+        if want is None:
+            known = suffixtree.WordHashes()
+            want = {}
+            for i, t in rows[:40]:
+                word, doc = suffixtree.tokens_of([t], known)
+                total = 0.0
+                for k in range(len(word)):
+                    context, depth = 0, 0
+                    for d, level in enumerate(tree.levels, 1):
+                        if k < d:
+                            break
+                        key = list(suffixtree.sequences_of(word[:k], doc[:k], d))[-1][0][-1:]
+                        at = int(suffixtree.find(level.contexts, key)[0])
+                        if at >= 0 and level.kept[at]:
+                            context, depth = at, d
+                    total += float(suffixtree.log_next(tree, depth, np.array([context]), suffixtree.find(tree.head, word[k: k + 1]))[0])
+                want[i] = total
+            first = got
+        assert got == {i: (n, pytest.approx(b), pytest.approx(s)) for i, (n, b, s) in first.items()}
+        assert {i: got[i][2] for i in want} == pytest.approx(want)
+
+
 PAGES = [
     ("<html><head><title>t</title><script>var a='<p>x</p>';</script></head><body><nav><a href=/>home</a> <a href=/b>b</a></nav><div class=\"ad\">Buy now please.</div>"
      "<article><h1>A &amp; B</h1><p><b>First  part<br>of it.<p>Second\npart here, with &eacute;.</article><footer>&copy; us</footer></body></html>",
