@@ -9,9 +9,9 @@ equal bytes need no search: all but the earliest are covered. What is left, anch
 cut out of the texts and dealt to shards by anchor.
 
 Shards. The regions of a shard are one string. Its suffix array is made by induced sorting, neighbours with a common
-prefix of WIDTH bytes are equal windows, and each window but the earliest of its group is covered. An anchor with
-very many differing regions is dealt window by window instead, so that a passage that a third of all documents
-share is spread over all shards.
+prefix of WIDTH bytes are equal windows, and each window but the earliest of its group is covered. The windows of an
+anchor with very many differing regions are not sent to shards: their digests are aggregated, each window's earliest place
+is found, and all later ones are covered, so that no task gets all copies of a passage that a third of all documents share.
 
 Covered windows are gathered by document and cut out of the text. Order is by document and start; judgement is on the input only.
 """
@@ -34,6 +34,8 @@ WIDTH = 100
 GRAM = 32
 #: Bytes of a shard, about, and differing regions of an anchor up to which they stay together.
 SHARD_BYTES, TOGETHER = 2_000_000, 20_000
+#: Groups of documents that a window of such an anchor is looked for in.
+SALTS = 64
 #: Bytes of text that are worked on at once; places in it have PLACE bits.
 PORTION, PLACE = 4_000_000, 24
 
@@ -155,28 +157,23 @@ def covered(docs: DataFrame) -> DataFrame:
     marks = settle(marked.where("new = 0 or contents > 1").select("anchor", "doc", "start", F.col("content").bitwiseAND(127).alias("windows"), "new", "contents"), "marks")
     copies = marks.where("new = 0").select("doc", "start", "windows")
     open_regions = marks.where("new = 1")
-    total = open_regions.agg(F.sum(F.col("windows") + WIDTH - 1)).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-    asked = open_regions.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows", "contents")).alias("asked"))
+    spread = F.col("contents") > TOGETHER
+    total, spread_out = open_regions.agg(F.sum(F.when(~spread, F.col("windows") + WIDTH - 1)), F.count_if(spread)).first()
+    shards = max(1, -(-(total or 0) // SHARD_BYTES))
+
+    def asked(regions: DataFrame) -> DataFrame:
+        return slim.join(regions.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("asked")), "doc")
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for doc, text, asked in zip(b["doc"], b["text"], b["asked"]):
                 data = text.encode("utf-8", "replace")
-                for r in asked:
-                    anchor, start, size, contents = r["anchor"], r["start"], r["windows"], r["contents"]
-                    if contents <= TOGETHER:
-                        out.append((anchor, doc, start, data[start: start + size + WIDTH - 1]))
-                    else:
-                        for i in range(start, start + size):
-                            window = data[i: i + WIDTH]
-                            out.append((xxhash.xxh3_64_intdigest(window) >> 1, doc, i, window))
+                out += [(r["anchor"], doc, r["start"], data[r["start"]: r["start"] + r["windows"] + WIDTH - 1]) for r in asked]
             if out:
                 yield pd.DataFrame(out, columns=["anchor", "doc", "start", "bytes"])
 
-    cut = slim.join(asked, "doc").mapInPandas(cut_out, "anchor long, doc long, start long, bytes binary")
-    # equal windows of a spread-out anchor meet before the shards
+    cut = asked(open_regions.where(~spread)).mapInPandas(cut_out, "anchor long, doc long, start long, bytes binary")
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
@@ -196,7 +193,49 @@ def covered(docs: DataFrame) -> DataFrame:
 
     shape = "doc long, start long, windows long"
     searched = cut.groupBy("shard").applyInPandas(search, shape)
-    return copies.union(searched).union(slim.mapInPandas(later, shape))
+    found = copies.union(searched).union(slim.mapInPandas(later, shape))
+    return found.union(equal_windows(asked(open_regions.where(spread)))) if spread_out else found
+
+
+def equal_windows(docs: DataFrame) -> DataFrame:
+    """doc, start, windows: the windows of the regions `asked` of docs that stand earlier in these too.
+
+    Equal windows of a batch meet before they are shuffled, as 16 bytes each. The earliest of all is found by a partial aggregation,
+    and told to the others by document groups, so that no task has all copies of a window.
+    """
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            digests, docs, starts, size = [], [], [], 0
+            for doc, text, asked in zip(b["doc"], b["text"], b["asked"]):
+                data = text.encode("utf-8", "replace")
+                at = [i for r in asked for i in range(r["start"], r["start"] + r["windows"])]
+                digests += [xxhash.xxh3_128_digest(data[i: i + WIDTH]) for i in at]
+                docs.append(np.full(len(at), doc, np.int64))
+                starts.append(np.array(at, np.int64))
+                size += len(at)
+                if size > PORTION >> 2:
+                    yield met(digests, docs, starts)
+                    digests, docs, starts, size = [], [], [], 0
+            if size:
+                yield met(digests, docs, starts)
+
+    def met(digests: list[bytes], docs: list[np.ndarray], starts: list[np.ndarray]) -> pd.DataFrame:
+        high, low = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+        doc, start = np.concatenate(docs), np.concatenate(starts)
+        order = np.lexsort((start, doc, low, high))
+        high, low, doc, start = high[order], low[order], doc[order], start[order]
+        first = np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])]
+        return pd.DataFrame({"high": high, "low": low, "doc": doc, "start": start, "first": first})
+
+    rows = settle(docs.mapInPandas(windows, "high long, low long, doc long, start long, first boolean"), "windows")
+    place = F.struct("doc", "start")
+    some = rows.where("first").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+    parts = some.groupBy("high", "low", "salt").agg(F.min(place).alias("least"), F.count("*").alias("rows"))
+    earliest = parts.groupBy("high", "low").agg(F.min("least").alias("earliest"), F.sum("rows").alias("rows")).where("rows > 1").drop("rows")
+    told = parts.select("high", "low", "salt").join(earliest, ["high", "low"])
+    late = some.join(told, ["high", "low", "salt"]).where(place != F.col("earliest"))
+    return late.select("doc", "start").union(rows.where("not first").select("doc", "start")).withColumn("windows", F.lit(1).cast("long"))
 
 
 def joined_runs(starts: np.ndarray, windows: np.ndarray) -> list[tuple[int, int]]:

@@ -132,6 +132,19 @@ def test_passages_unique_ids(spark, words):
     assert sorted(tuple(r) for r in passages.removals(df).collect()) == plain_removals(rows)
 
 
+def test_passages_hot_windows(spark, words, monkeypatch):
+    """Windows of anchors with many differing regions, equal or not, never come to the shards' search."""
+    def refuse(*_):
+        raise AssertionError("a spread-out window was sent to a shard")
+
+    monkeypatch.setattr(passages, "TOGETHER", 0)
+    monkeypatch.setattr(passages, "repeated_windows", refuse)
+    shared = words(40, 20)
+    rows = [(i, words(30 + i % 7, 30 + i) + " " + (shared if i % 3 else "") + " " + words(20, 90 + i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in passages.removals(df).collect()) == plain_removals(rows)
+
+
 def test_fingerprints(spark, odd, odd_rows, nothing):
     first, piece = fingerprints.FIRST, fingerprints.PIECE
     pieces = lambda t: set(re.findall(rf"(?m)^[^\n]{{1,{first}}}|[^\n]{{1,{piece}}}", t))
