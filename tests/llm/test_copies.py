@@ -1,6 +1,7 @@
 """Exact copies, near copies, passages, fingerprints and shards against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -71,6 +72,15 @@ def test_near_chains(spark, words, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_filters_miss_less_than_the_banding():
+    def tail(p, ks):
+        return sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in ks)
+
+    banding = (1 - 0.75**4) ** 32
+    assert tail(0.75, range(neardedup.AGREE)) < banding  # places that agree
+    assert tail(0.125, range(neardedup.BITS_APART + 1, 129)) < banding  # of those that don't agree, half differ in a given bit
+
+
 def test_signature_estimates(words):
     known = WordHashes()
     a, b = shingles(words(400, 8), known), shingles(" ".join(words(400, 8).split()[:360] + words(40, 9).split()), known)
