@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colscope.llm import exactdedup, fingerprints, htmltext, neardedup, packing, passages, sharding, suffixtree, tokens, toxicity
+from colscope.llm import codes, exactdedup, fingerprints, htmltext, neardedup, negatives, outliers, packing, passages, sharding, suffixtree, tokens, toxicity
 
 QUERIES = {
     "op1_bpe": tokens.op1_bpe,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_score": suffixtree.op8_score,
     "op9_html": htmltext.op9_html,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_quality": outliers.op11_quality,
+    "op12_negatives": negatives.op12_negatives,
+    "op13_codes": codes.op13_codes,
 }
 
 ORACLES = {
     "op4_near": neardedup.ORACLE,
     "op6_exact": exactdedup.ORACLE,
+    "op12_negatives": negatives.ORACLE,
+    "op13_codes": codes.ORACLE,
 }
