@@ -168,7 +168,7 @@ def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k, (i, j) in enumerate(CROSS):
                 # whole numbers: the difference of products is exact before it is divided
                 cov[i, j] = cov[j, i] = (int(r[f"t{k}"]) * n - int(r[f"s{i}"]) * int(r[f"s{j}"])) / (n * n)
-            cov = float(r["scale"]) * cov + np.diag([(s * UNIT) ** 2 for s in SPREAD])
+            cov += np.diag([(s * UNIT) ** 2 for s in SPREAD])
             inverse = np.linalg.inv(cov)
             out.append([r["group_lang"], r["group_source"], r["start"], float(np.linalg.slogdet(cov)[1]), *mean, *(inverse[i, j] for i, j in CROSS)])
         yield pd.DataFrame(out, columns=["group_lang", "group_source", "start", "det", *CENTER, *PRECISION])
@@ -187,9 +187,9 @@ def binned(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
     return table.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("rows", F.sum("n").over(w))
 
 
-def added(bins: DataFrame, scale: Column | None = None) -> DataFrame:
+def added(bins: DataFrame) -> DataFrame:
     names = ["n", *[f"s{i}" for i in range(P)], *[f"t{k}" for k in range(len(CROSS))]]
-    return bins.groupBy(*KEYS, "start").agg(*[F.sum(c).alias(c) for c in names], (F.lit(1.0) if scale is None else scale).alias("scale"))
+    return bins.groupBy(*KEYS, "start").agg(*[F.sum(c).alias(c) for c in names])
 
 
 # ---------------------------------------------------------------- starts and steps
@@ -197,7 +197,7 @@ def added(bins: DataFrame, scale: Column | None = None) -> DataFrame:
 
 def starts(vectors: DataFrame) -> DataFrame:
     """Two estimates per group: plain moments (0), and medians with quartile ranges as deviations (1)."""
-    plain = vectors.groupBy(*KEYS).agg(*sums()).withColumns({"start": F.lit(0), "scale": F.lit(1.0)})
+    plain = vectors.groupBy(*KEYS).agg(*sums()).withColumn("start", F.lit(0))
     # counts per value: at most a few thousand different values of each statistic, whatever the size of the group
     values = vectors.select(*KEYS, F.posexplode(F.array(*DIMS)).alias("dim", "value")).groupBy(*KEYS, "dim", "value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*KEYS, "dim")
