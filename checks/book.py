@@ -271,6 +271,35 @@ CTE["pairs"] = """
     from clong a join clong b on a.rid=b.rid and a.ordinal < b.ordinal
       join cmom ma on ma.ordinal=a.ordinal join cmom mb on mb.ordinal=b.ordinal
     where a.v is not null and b.v is not null group by a.ordinal, b.ordinal)"""
+# every ordered pair of features: the line over all rows, then its residuals on each side of the median of x
+CTE["cmed"] = "select ordinal, quantile_cont(v, 0.5) as med from clong where v is not null group by ordinal"
+CTE["xyrows"] = """
+  select a.ordinal as i, b.ordinal as j, a.name as x, b.name as y, a.v - coalesce(ma.mean,0) as vx, b.v - coalesce(mb.mean,0) as vy,
+    isinf(a.v) or isinf(b.v) as infs, a.v >= m.med as hi
+  from clong a join clong b on a.rid=b.rid and a.ordinal <> b.ordinal join cmom ma on ma.ordinal=a.ordinal
+    join cmom mb on mb.ordinal=b.ordinal join cmed m on m.ordinal=a.ordinal where a.v is not null and b.v is not null"""
+CTE["xyfit"] = """
+  select i, j, count(*) as n, bool_or(infs) as infs, max(vx) - min(vx) as sx,
+    regr_slope(vy, vx) filter (where not infs) as slope, var_pop(vy) filter (where not infs) as total from xyrows group by i, j"""
+CTE["spreads"] = """
+  select i, j, x, y, n, n_low, n_high,
+    case when n >= 30 and not infs and sx > 0 and n_low > 0 and n_high > 0 and greatest(vh, vl) > 1e-10 * total then vh/(vl+1e-10) end as ratio
+  from (select r.i, r.j, any_value(x) as x, any_value(y) as y, any_value(f.n) as n, any_value(f.infs) as infs, any_value(sx) as sx,
+      any_value(total) as total, count(*) filter (where not hi) as n_low, count(*) filter (where hi) as n_high,
+      var_pop(vy - slope*vx) filter (where hi and not r.infs) as vh, var_pop(vy - slope*vx) filter (where not hi and not r.infs) as vl
+    from xyrows r join xyfit f on f.i=r.i and f.j=r.j group by r.i, r.j)"""
+# every pair inside every group of the text columns of 2 to 10 values
+CTE["groupings"] = ("select c.ordinal, s.name, unique_count as ng from counts c join schema_ s on s.ordinal=c.ordinal"
+                    " where family='text' and unique_count between 2 and 10")
+CTE["reversals"] = """
+  select i, j, k, a, b, g."by", grp, n, r as group_r, (select any_value(p.r) from pairs p where p.i=g.i and p.j=g.j) as overall_r, ng from (
+    select x.ordinal as i, y.ordinal as j, t.ordinal as k, any_value(x.name) as a, any_value(y.name) as b, any_value(t.name) as "by",
+      t.v as grp, any_value(ng) as ng, count(*) as n,
+      case when count(*) >= 3 and not bool_or(isinf(x.v) or isinf(y.v)) and max(x.v) > min(x.v) and max(y.v) > min(y.v) then
+        corr(case when isfinite(x.v) then x.v - coalesce(mx.mean,0) end, case when isfinite(y.v) then y.v - coalesce(my.mean,0) end) end as r
+    from clong x join clong y on x.rid=y.rid and x.ordinal < y.ordinal join tlong t on t.rid=x.rid join groupings u on u.ordinal=t.ordinal
+      join cmom mx on mx.ordinal=x.ordinal join cmom my on my.ordinal=y.ordinal
+    where x.v is not null and y.v is not null and t.v is not null group by x.ordinal, y.ordinal, t.ordinal, t.v) g"""
 CTE["corr"] = f"""
   select cast(row_number() over (order by abs(round(r,3)) desc, i, j) as integer) as rank, col_a, col_b,
     round(r,3)+0.0::double as correlation, {bands('abs(r)', K.STRENGTH_LABELS, 'negligible')} as strength, n
@@ -302,6 +331,10 @@ RED = {
                     "top_share >= 0.85", seq=seq(6), type="'class_imbalance'", severity="'critical'", column="col",
                     majority_pct="round(top_share*100,1)",
                     message="printf('%.1f%% of the rows of target \"%s\" belong to one class.', top_share*100, col)"),
+    "st14": finding("(select i, j, k, a, b, \"by\" as g, count(*) filter (where n >= 10 and sign(group_r) <> sign(overall_r) and abs(group_r) > 0.2) as rev"
+                    " from reversals group by all)", "rev >= 2", seq=f"cast({7 * 10**12} + (k*10000 + i)*10000 + j as bigint)",
+                    type="'simpsons_paradox'", severity="'critical'", columns="[a, b, g]", count="rev",
+                    message="printf('\"%s\" against \"%s\" reverses inside %d groups of \"%s\".', a, b, rev, g)"),
     "st15": finding("schema_ s, (select \"column\" as target from targets where rank=1)",
                     f"s.name <> target and {any_of('s.name', K.LEAKAGE_KEYWORDS)}", seq=seq(8, "ordinal"),
                     type="'data_leakage_risk'", severity="'critical'", column="s.name",
@@ -319,6 +352,9 @@ WARN = {
                    message="printf('\"%s\" and \"%s\" move together (|r| = %.2f).', col_a, col_b, abs(r))"),
     "st8": finding("outl", f"{_o} >= 5", seq=seq(10, "ordinal"), type="'high_outliers'", severity="'medium'", column="name",
                    percentage=f"round({_o},1)", message=f"printf('%.1f%% of \"%s\" are extreme outliers.', {_o}, name)"),
+    "st10": finding("spreads", "n_low >= 5 and n_high >= 5 and (ratio > 4 or ratio < 0.25)", seq=seq(11, "i", "j"), type="'heteroscedasticity'",
+                    severity="'high'", columns="[x, y]",
+                    message="printf('The spread of \"%s\" around its trend changes along \"%s\".', y, x)"),
     "st11": finding("cmom m join (select ordinal, unique_count as nu from counts) u using (ordinal)",
                     "nn >= 10 and std/(abs(mean)+1e-10) < 0.01 and nu > 1", seq=seq(12, "ordinal"),
                     type="'near_zero_variance'", severity="'medium'", column="name",

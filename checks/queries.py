@@ -425,6 +425,10 @@ finding_query("st10_heteroscedasticity",
               "(" + book.finding(_het, "n >= 30 and n_low >= 5 and n_high >= 5 and (ratio > 4 or ratio < 0.25)", dataset="'spread'",
                                  seq=book.seq(11), type="'heteroscedasticity'", severity="'high'", columns="['x','hetero']",
                                  message="'The spread of \"hetero\" around its trend changes along \"x\".'") + ")")
+query("st10_every_pair",
+      lambda s, d: A(s, d).spreads.select("dataset", "x", "y", "n", "n_low", "n_high", N.rounded(F.log10("ratio"), 4).alias("log_ratio")),
+      f"select {_DS}, x, y, n, n_low, n_high, round(log10(ratio),4)+0.0::double as log_ratio from spreads")
+finding_query("st10_every_finding", lambda s, d: A(s, d).spread, "st10")
 finding_query("st11_near_zero_variance", lambda s, d: ST.near_zero_variance(A(s, d).clean_moments, A(s, d).counts), "st11")
 finding_query("st12_extreme_skewness", lambda s, d: ST.extreme_skewness(A(s, d).clean_moments, A(s, d).clean_order_stats), "st12")
 finding_query("st13_class_imbalance", lambda s, d: ST.class_imbalance(A(s, d).targets, A(s, d).class_counts), "st13")
@@ -442,6 +446,30 @@ finding_query("st14_simpsons_paradox",
                   f" from {_groups}, (select corr(x, y) as o from {_REV}))", "ng between 2 and 10 and rev >= 2", dataset="'reversal'",
                   seq=book.seq(7), type="'simpsons_paradox'", severity="'critical'", columns="['x','y','grp']", count="rev",
                   message="printf('\"x\" against \"y\" reverses inside %d groups of \"grp\".', rev)") + ")")
+query("st14_every_pair_and_group",
+      lambda s, d: A(s, d).reversals.select("dataset", "a", "b", "by", "group", "n", N.rounded(F.col("group_r"), 4).alias("group_r"),
+                                            N.rounded(F.col("overall_r"), 4).alias("overall_r"), "n_groups"),
+      f"select {_DS}, a, b, \"by\", grp as \"group\", n, round(group_r,4)+0.0::double as group_r, round(overall_r,4)+0.0::double as overall_r,"
+      " ng as n_groups from reversals")
+
+
+def reversal_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The reversing view beside the columns it comes from: three numeric columns, two groupings."""
+    orders = read_table(spark, folder, "orders").withColumns({"c": F.col("o_custkey"), "k": F.col("o_orderkey")})
+    return orders.selectExpr(*[f"{e} as {n}" for n, e in REVERSAL_COLUMNS], "o_totalprice", "o_orderpriority")
+
+
+_REV_ALL = "(select " + ", ".join(f"{e} as {n}" for n, e in REVERSAL_COLUMNS) + ", o_totalprice, o_orderpriority from (select *, o_custkey as c, o_orderkey as k from orders))"
+_triples = " union all ".join(
+    f"select '{a}' as a, '{b}' as b, '{g}' as g, {p} as place, count(*) filter (where n >= 10 and sign(r) <> sign(o) and abs(r) > 0.2) as rev, count(*) as ng"
+    f" from (select {g} as grp, count(*) as n, corr({a}, {b}) as r from {_REV_ALL} group by {g}), (select corr({a}, {b}) as o from {_REV_ALL}) where grp is not null"
+    for g, k in (("grp", 2), ("o_orderpriority", 4)) for a, b, p in (("x", "y", (k * 10000 + 0) * 10000 + 1), ("x", "o_totalprice", (k * 10000 + 0) * 10000 + 3),
+                                                                      ("y", "o_totalprice", (k * 10000 + 1) * 10000 + 3)))
+finding_query("st14_every_triple",
+              lambda s, d: ST.all_triples(reversal_table(s, d), ["x", "y", "o_totalprice"], ["grp", "o_orderpriority"], "triples"),
+              "(" + book.finding(f"({_triples})", "ng between 2 and 10 and rev >= 2", dataset="'triples'", seq=f"{7 * 10**12} + place",
+                                 type="'simpsons_paradox'", severity="'critical'", columns="[a, b, g]", count="rev",
+                                 message="printf('\"%s\" against \"%s\" reverses inside %d groups of \"%s\".', a, b, rev, g)") + ")")
 finding_query("st15_leakage_by_name", lambda s, d: ST.leakage_by_name(A(s, d).schema, A(s, d).targets), "st15")
 query("st16_patterns", lambda s, d: A(s, d).patterns.withColumns({c: F.array_join(c, ", ") for c in ("skewed_columns", "extremely_skewed_columns")}),
       f"select {_DS}, * replace (array_to_string(skewed_columns, ', ') as skewed_columns,"

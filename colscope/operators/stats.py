@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +10,12 @@ from colscope import constants as K
 from colscope.functions import numeric as N
 from colscope.functions import text as X
 from colscope.operators import quality
-from colscope.operators.longform import by_position, columns_of, long_numeric, pos
+from colscope.operators.gram import gram_sums, group_correlations, pearson, residual_spreads
+from colscope.operators.longform import by_position, columns_of, compare_key, long_numeric, long_text, ordinal_of, pos
 from colscope.operators.quantiles import order_statistics
-from colscope.schemas import as_finding, empty_findings, seq
+from colscope.schemas import as_finding, empty_findings, seq, seq_of_three
 
 PAIR_DDL = "dataset string, i int, j int, col_a string, col_b string, n bigint, r double"
-# Partial sums leave each task as one row per pair; very wide tables use fewer, longer tasks.
-MANY_PAIRS = 20_000
-MAX_PARTIAL_ROWS = 200_000_000
 
 
 # ---------------------------------------------------------------- ST1-ST3
@@ -71,67 +66,11 @@ def feature_columns(schema: DataFrame, ids: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- ST4-ST7
 
 
-def _gram_schema() -> str:
-    return ("i int, j int, n double, inf double, sx double, sy double, sxx double, syy double, sxy double")
-
-
-def pair_sums(df: DataFrame, cols, centers: dict[int, float] | None = None) -> DataFrame:
-    """Sums of every column pair over the rows where both are present.
-
-    Each task turns its Arrow batches into matrices and adds up four matrix products - presence,
-    sums, squares and cross products - so pairwise deletion costs the same as complete data, and
-    one row per pair leaves the task. Values are shifted by `centers` to keep the sums accurate;
-    medians serve best, because a mean can lie far from the rows that a pair has in common.
-    """
-    p = len(cols)
-    shift = [float((centers or {}).get(c.ordinal) or 0.0) for c in cols]
-    wide = by_position(df).select(*[N.as_double(pos(c), c.dtype).alias(f"c{c.ordinal}") for c in cols])
-    pairs = p * (p - 1) // 2
-    if pairs > MANY_PAIRS:
-        wide = wide.coalesce(max(1, MAX_PARTIAL_ROWS // pairs))
-
-    def products(batches):
-        import numpy as np
-
-        acc = {k: np.zeros((p, p)) for k in ("n", "inf", "s", "q", "x")}
-        seen = False
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            seen = True
-            x = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype("float64") for k in range(p)])
-            infinite = np.isinf(x)
-            here = ~np.isnan(x)
-            m = here.astype("float64")
-            z = np.where(here & ~infinite, x - np.array(shift), 0.0)
-            acc["n"] += m.T @ m
-            acc["s"] += z.T @ m
-            acc["q"] += (z * z).T @ m
-            acc["x"] += z.T @ z
-            if infinite.any():
-                w = infinite.astype("float64")
-                acc["inf"] += w.T @ m + m.T @ w
-        if seen:
-            i, j = np.triu_indices(p, 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(acc["n"][i, j]),
-                 pa.array(acc["inf"][i, j]), pa.array(acc["s"][i, j]), pa.array(acc["s"][j, i]),
-                 pa.array(acc["q"][i, j]), pa.array(acc["q"][j, i]), pa.array(acc["x"][i, j])],
-                names=["i", "j", "n", "inf", "sx", "sy", "sxx", "syy", "sxy"])
-
-    sums = ("n", "inf", "sx", "sy", "sxx", "syy", "sxy")
-    return wide.mapInArrow(products, _gram_schema()).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
-
-
-def _r_from_sums() -> Column:
-    """Pearson r; null when undefined. A spread below rounding noise counts as none."""
-    n = F.nullif(F.col("n"), F.lit(0.0))
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    spread = (vx > F.col("sxx") * 1e-13) & (vy > F.col("syy") * 1e-13)
-    r = cov / F.nullif(F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0))), F.lit(0.0))
-    return F.when((F.col("n") >= 3) & (F.col("inf") == 0) & spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+def _typical(df: DataFrame, cols) -> dict[int, float]:
+    """A value near each column's median, to shift by; one aggregation over the long form."""
+    rows = long_numeric(df, cols).groupBy("o").agg(F.percentile_approx(N.finite(F.col("v")), F.lit(0.5), F.lit(1000)).alias("c")).select(
+        ordinal_of(F.col("o")).alias("ordinal"), "c").collect()
+    return {r["ordinal"]: r["c"] for r in rows}
 
 
 def pearson_pairs(df: DataFrame, columns=None, dataset: str = "", centers: dict[int, float] | None = None) -> DataFrame:
@@ -139,18 +78,22 @@ def pearson_pairs(df: DataFrame, columns=None, dataset: str = "", centers: dict[
     cols = [c for c in columns_of(df, columns) if c.numeric]
     if len(cols) < 2:
         return local_table(df.sparkSession, [], PAIR_DDL)
-    if centers is None:
-        row = by_position(df).agg(*[
-            F.percentile_approx(N.finite(N.as_double(pos(c), c.dtype)), F.lit(0.5), F.lit(1000)).alias(f"c{c.ordinal}")
-            for c in cols]).first()
-        centers = {c.ordinal: row[f"c{c.ordinal}"] for c in cols}
-    ordinals = F.array(*[F.lit(c.ordinal) for c in cols])
-    names = F.array(*[F.lit(c.name) for c in cols])
-    return pair_sums(df, cols, centers).select(
-        F.lit(dataset).alias("dataset"),
-        ordinals[F.col("i")].alias("i"), ordinals[F.col("j")].alias("j"),
-        names[F.col("i")].alias("col_a"), names[F.col("j")].alias("col_b"),
-        F.col("n").cast("bigint").alias("n"), _r_from_sums().alias("r"))
+    return pair_correlations(gram_sums(df, cols, _typical(df, cols) if centers is None else centers), names_of(df), dataset)
+
+
+def names_of(df: DataFrame) -> list[str]:
+    return list(df.columns)
+
+
+def named(names: list[str], ordinal: str) -> Column:
+    return F.array(*[F.lit(n) for n in names])[F.col(ordinal)]
+
+
+def pair_correlations(sums: DataFrame, names: list[str], dataset: str = "") -> DataFrame:
+    """ST4 from pair sums; `names` are all columns of the table."""
+    return sums.where("kind = 'pair'").select(
+        F.lit(dataset).alias("dataset"), "i", "j", named(names, "i").alias("col_a"), named(names, "j").alias("col_b"),
+        F.col("n").cast("bigint").alias("n"), pearson().alias("r"))
 
 
 def strength(r: Column) -> Column:
@@ -273,10 +216,17 @@ def residual_spread(df: DataFrame, x: str, y: str, dataset: str = "") -> DataFra
              (F.col("vh") / (F.col("vl") + 1e-10)).alias("ratio"))
 
 
+def pair_spreads(sums: DataFrame, names: list[str], dataset: str = "") -> DataFrame:
+    """ST10 of every ordered pair from its sums. The median is that of all values of x; `residual_spread` takes those beside a y."""
+    return residual_spreads(sums).select(F.lit(dataset).alias("dataset"), named(names, "i").alias("x"), named(names, "j").alias("y"),
+                                         "n", "n_low", "n_high", "ratio", "i", "j")
+
+
 def heteroscedasticity(spread: DataFrame) -> DataFrame:
     """ST10: residual spread that changes by more than a factor of four across the median of x."""
     uneven = (F.col("n_low") >= 5) & (F.col("n_high") >= 5) & ((F.col("ratio") > 4) | (F.col("ratio") < 0.25))
-    return as_finding(spread.where(uneven), seq=seq(11), type="heteroscedasticity", severity="high",
+    place = seq(11, F.col("i"), F.col("j")) if "i" in spread.columns else seq(11)
+    return as_finding(spread.where(uneven), seq=place, type="heteroscedasticity", severity="high",
                       columns=F.array("x", "y"),
                       message=F.format_string('The spread of "%s" around its trend changes along "%s".', "y", "x"))
 
@@ -391,15 +341,25 @@ def reversal_stats(df: DataFrame, a: str, b: str, by: str, dataset: str = "") ->
              F.col("g").alias("group"), "n", "group_r", "overall_r", "n_groups")
 
 
+def pair_reversals(sums: DataFrame, names: list[str], n_groups: dict[int, int], dataset: str = "") -> DataFrame:
+    """ST14 of every pair inside the groups of every column of `n_groups` (ordinal: number of values), from their sums."""
+    groups = local_table(sums.sparkSession, list(n_groups.items()), "by int, n_groups bigint")
+    # a row per text column
+    return group_correlations(sums).join(F.broadcast(groups), "by").select(
+        F.lit(dataset).alias("dataset"), named(names, "i").alias("a"), named(names, "j").alias("b"), named(names, "by").alias("by"),
+        F.col("value").alias("group"), "n", "group_r", "overall_r", "n_groups", "i", "j", F.col("by").alias("k"))
+
+
 def simpsons_paradox(stats: DataFrame) -> DataFrame:
     """ST14: at least two of 2-10 groups run against the overall trend with |r| above 0.2."""
     against = (
         (F.col("n") >= 10) & (F.signum("group_r") != F.signum("overall_r")) & (F.abs("group_r") > 0.2)
     )
-    judged = stats.groupBy("dataset", "a", "b", "by").agg(
+    order = [c for c in ("i", "j", "k") if c in stats.columns]
+    judged = stats.groupBy("dataset", "a", "b", "by", *order).agg(
         F.count_if(against).alias("reversed"), F.max("n_groups").alias("n_groups"), F.max("overall_r").alias("overall_r"))
     hit = judged.where("n_groups between 2 and 10 and reversed >= 2")
-    return as_finding(hit, seq=seq(7), type="simpsons_paradox", severity="critical", columns=F.array("a", "b", "by"),
+    return as_finding(hit, seq=seq_of_three(7, "k", "i", "j") if order else seq(7), type="simpsons_paradox", severity="critical", columns=F.array("a", "b", "by"),
                       count=F.col("reversed"),
                       message=F.format_string('"%s" against "%s" reverses inside %d groups of "%s".', "a", "b", "reversed", "by"))
 
@@ -415,9 +375,13 @@ def leakage_by_name(schema: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def all_triples(df: DataFrame, numeric: list[str], text: list[str], dataset: str = "") -> DataFrame:
-    """ST14 over every pair of the given numeric columns and every text column."""
-    parts = [
-        simpsons_paradox(reversal_stats(df, a, b, g, dataset))
-        for i, a in enumerate(numeric) for b in numeric[i + 1:] for g in text
-    ]
-    return reduce(DataFrame.unionByName, parts) if parts else empty_findings(df)
+    """ST14 over every pair of the given numeric columns and every text column of 2 to 10 values, in two reads of the table."""
+    texts = columns_of(df, text)
+    cols = [c for c in columns_of(df, numeric) if c.numeric]
+    if len(cols) < 2 or not texts:
+        return empty_findings(df)
+    counts = long_text(df, texts).where("v is not null").groupBy("o").agg(F.count_distinct(compare_key(F.col("v"))).alias("n")).select(
+        ordinal_of(F.col("o")).alias("ordinal"), "n").where("n between 2 and 10").collect()
+    few = {r["ordinal"]: r["n"] for r in counts}
+    sums = gram_sums(df, cols, _typical(df, cols), by=[(c, few[c.ordinal]) for c in texts if c.ordinal in few])
+    return simpsons_paradox(pair_reversals(sums, names_of(df), few, dataset))

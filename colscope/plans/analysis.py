@@ -16,9 +16,10 @@ from colscope.functions.session import settle
 from colscope.operators import charts, findings as FN, mlstats, profile as P, quality as QI, recommend as RC
 from colscope.operators import stats as ST
 from colscope.operators import targets as TG
-from colscope.operators.longform import schema_table
+from colscope.operators.gram import gram_sums
+from colscope.operators.longform import columns_of, schema_table
 from colscope.operators.quantiles import order_statistics
-from colscope.schemas import empty_findings, union_all
+from colscope.schemas import union_all
 
 CLASS_LIMIT = 20
 
@@ -166,11 +167,24 @@ class Analysis:
         again = order_statistics(self.clean, (0.01, 0.25, 0.75, 0.99), columns=columns, dataset=self.dataset, sizes=sizes)
         return keep.where(~F.col("name").isin(*self.scrubbed_columns)).unionByName(again)
 
+    @cached_property
+    def groupings(self) -> dict[int, int]:
+        """Text columns of 2 to 10 values, as ordinal and number of values."""
+        few = self.counts.where(F.col("name").isin(*self.text_columns) & F.col("unique_count").between(2, 10))
+        return {r["ordinal"]: r["unique_count"] for r in few.select("ordinal", "unique_count").collect()}
+
+    @cached_property
+    def gram(self) -> DataFrame:
+        """Sums of all pairs of numeric features: overall, inside the groups of every grouping, and above each median; one read."""
+        middle = self.clean_moments.select("ordinal", "mean").join(self.clean_order_stats.select("ordinal", "median"), "ordinal", "left").collect()
+        cols = [c for c in columns_of(self.clean, self.numeric_features) if c.numeric]
+        by = [(c, self.groupings[c.ordinal]) for c in columns_of(self.clean) if c.ordinal in self.groupings]
+        return settle(gram_sums(self.clean, cols, {r["ordinal"]: r["mean"] if r["median"] is None else r["median"] for r in middle}, by,
+                                {r["ordinal"]: r["median"] for r in middle}))
+
     @cached_property
     def pairs(self) -> DataFrame:
-        middle = self.clean_moments.select("ordinal", "mean").join(self.clean_order_stats.select("ordinal", "median"), "ordinal", "left")
-        centers = {r["ordinal"]: r["c"] for r in middle.select("ordinal", F.coalesce("median", "mean").alias("c")).collect()}
-        return settle(ST.pearson_pairs(self.clean, self.numeric_features, self.dataset, centers))
+        return settle(ST.pair_correlations(self.gram, self.clean.columns, self.dataset))
 
     @cached_property
     def correlations(self) -> DataFrame:
@@ -192,22 +206,23 @@ class Analysis:
     def patterns(self) -> DataFrame:
         return settle(ST.patterns(self.info, self.schema, self.features, self.clean_moments))
 
+    @cached_property
+    def reversals(self) -> DataFrame:
+        """Every pair inside every group of every grouping, beside its overall correlation."""
+        return ST.pair_reversals(self.gram, self.clean.columns, self.groupings, self.dataset)
+
     @cached_property
     def reversal(self) -> DataFrame:
-        n, t = self.numeric_features, self.text_columns
-        if len(n) < 2 or not t:
-            return empty_findings(self.df)
-        few = self.counts.where((F.col("name") == t[0]) & F.col("unique_count").between(2, 10)).count()
-        if not few:
-            return empty_findings(self.df)
-        return ST.simpsons_paradox(ST.reversal_stats(self.clean, n[0], n[1], t[0], self.dataset))
+        return ST.simpsons_paradox(self.reversals)
+
+    @cached_property
+    def spreads(self) -> DataFrame:
+        """Residual spread of every ordered pair."""
+        return ST.pair_spreads(self.gram, self.clean.columns, self.dataset)
 
     @cached_property
     def spread(self) -> DataFrame:
-        n = self.numeric_features
-        if len(n) < 2:
-            return empty_findings(self.df)
-        return ST.heteroscedasticity(ST.residual_spread(self.clean, n[0], n[-1], self.dataset))
+        return ST.heteroscedasticity(self.spreads)
 
     @cached_property
     def red_flags(self) -> DataFrame:

@@ -71,6 +71,14 @@ def seq(block: int, major=0, minor=0) -> Column:
     return F.lit(block * 10**12).cast("bigint") + num(major) * 100_000 + num(minor)
 
 
+def seq_of_three(block: int, a: str, b: str, c: str) -> Column:
+    """The same for three column positions, each below 10,000."""
+    at = F.lit(0).cast("bigint")
+    for name in (a, b, c):
+        at = at * 10_000 + F.col(name).cast("bigint")
+    return F.lit(block * 10**12).cast("bigint") + at
+
+
 def advice(type_: Column, index: int) -> Column:
     """Fixed text by finding type, as one map lookup."""
     return F.create_map(*[F.lit(x) for t, pair in ADVICE.items() for x in (t, pair[index])])[type_]

@@ -104,3 +104,72 @@ def test_pair_without_the_outlier_keeps_its_digits(spark):
     keep = [i for i in range(2000) if i % 5 != 2]
     want = np.corrcoef(x[keep], y[keep])[0, 1]
     assert ST.pearson_pairs(df).first()["r"] == pytest.approx(want, abs=1e-10)
+
+
+def gram_of(df, by=(), medians=True):
+    from colscope.operators.gram import gram_sums
+    from colscope.operators.longform import columns_of
+
+    cols = [c for c in columns_of(df) if c.numeric]
+    middle = {c.ordinal: df.approxQuantile(c.name, [0.5], 0.0)[0] for c in cols} if medians else None
+    return gram_sums(df, cols, {}, [(c, 9) for c in columns_of(df) if c.name in by], middle)
+
+
+def test_pairs_groups_and_sides_from_one_scan(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (900, 5))
+    x[:, 1] = 3 * x[:, 0] + rng.normal(0, 1, 900) * np.where(x[:, 0] > 0, 4, 1)
+    x[rng.random((900, 5)) < 0.1] = np.nan
+    g = [[None, "a", "b", ""][i % 4] for i in range(900)]
+    rows = [(*[None if np.isnan(v) else float(v) for v in r], k) for r, k in zip(x, g)]
+    spark.createDataFrame(rows, "a double, b double, c double, d double, e double, g string").repartition(5).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    sums = gram_of(df, by=("g",))
+    assert sums._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    sums = sums.cache()
+    got = {(r["i"], r["j"], r["value"]): r for r in ST.group_correlations(sums).collect()}
+    assert len(got) == 10 * 3
+    values = np.array([v if v is not None else "-" for v in g])
+    for (i, j, value), r in got.items():
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        inside = both & (values == value)
+        assert r["n"] == inside.sum()
+        assert r["group_r"] == pytest.approx(np.corrcoef(x[inside, i], x[inside, j])[0, 1], abs=1e-9)
+        assert r["overall_r"] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    spreads = {(r["i"], r["j"]): r for r in ST.residual_spreads(sums).collect()}
+    assert len(spreads) == 20
+    for (i, j), r in spreads.items():
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        slope, base = np.polyfit(x[both, i], x[both, j], 1)
+        res = x[:, j] - slope * x[:, i] - base
+        high = both & (x[:, i] >= df.approxQuantile("abcde"[i], [0.5], 0.0)[0])
+        low = both & ~high
+        assert (r["n"], r["n_low"], r["n_high"]) == (both.sum(), low.sum(), high.sum())
+        assert r["ratio"] == pytest.approx(res[high].var() / (res[low].var() + 1e-10), rel=1e-8)
+    assert spreads[(0, 1)]["ratio"] > 4
+
+
+def test_bands_of_tiles_give_the_same_sums(spark, monkeypatch):
+    from colscope.operators import gram
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (200, 23))
+    df = spark.createDataFrame([(*map(float, r), "uv"[i % 2]) for i, r in enumerate(x)], ", ".join(f"c{i} double" for i in range(23)) + ", g string").repartition(3)
+    key = lambda r: (r["kind"], r["by"], r["value"], r["i"], r["j"])
+    whole = {key(r): r for r in gram_of(df, by=("g",)).collect()}
+    monkeypatch.setattr(gram, "TILE", 4)
+    monkeypatch.setattr(gram, "PASS_BYTES", 30_000)
+    monkeypatch.setattr(gram, "CELLS", 700)
+    parts = gram_of(df, by=("g",)).collect()
+    assert len(parts) == len(whole) == 253 * 3 + 2 * 23 * 22
+    for r in parts:
+        assert [r[s] for s in gram.SUMS] == pytest.approx([whole[key(r)][s] for s in gram.SUMS], abs=1e-9)
+
+
+def test_wide_tables_keep_their_tasks(spark):
+    """300 columns: some tiles leave each task, and no task is merged away before the scan."""
+    wide = spark.range(0, 400, numPartitions=7).selectExpr("id", *[f"cast(sin(id * {k + 1}) as double) as c{k}" for k in range(300)]).drop("id")
+    sums = gram_of(wide, medians=False)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan
+    assert sums.count() == 300 * 299 // 2
