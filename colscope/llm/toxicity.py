@@ -1,9 +1,11 @@
 """Toxic passages as maximum-scoring segments over token log-odds, judged by extreme-value statistics.
 
-Weights. For each word the log-odds of standing in a toxic rather than a clean document, with a Dirichlet prior
-that follows the word's overall frequency; documents, not occurrences, are counted, and of a group of near copies
-one counts, so that neither long nor copied documents make a word look toxic. A word is listed when its
-log-odds less some standard errors are clearly positive, and that lower bound is its score. Any other word scores the (negative)
+Weights. For each word, and each word-initial piece of 3 to 8 letters, the log-odds of standing in a toxic rather than a clean
+document, with a Dirichlet prior that follows its overall frequency; documents, not occurrences, are counted, and of a group of near
+copies one counts, so that neither long nor copied documents make a word look toxic. A word or piece is listed when its
+log-odds less some standard errors are clearly positive, and that lower bound is its score. A word of many documents
+scores for itself; a rarer one as the strongest of itself and its pieces, which are counted over rare words only: inflected forms that
+are each too rare back off to what they share. Any other word scores the (negative)
 log ratio of not being listed.
 
 Passages. A linear scan finds every maximal scoring segment (all that can't be extended, shortened or joined for
@@ -11,8 +13,8 @@ a higher sum); words between two listed ones are one run of equal negative score
 
 Calibration. The best of many segments in clean text follows an extreme-value law: at least s with the
 probability 1 - exp(-K n exp(-lambda s)) in n words. lambda solves E[exp(lambda score)] = 1 over clean
-training words, K fits their best segments. Each passage's evidence is lambda s - ln(K n); a document's is the sum
-of its significant passages' (or the best passage's, where none is significant), and a logistic curve, fitted
+training words, K fits their best segments. Each passage's evidence is lambda s - ln(K n); a document's is that of its passages' sum
+(several weak passages together are as telling as a strong one), and a logistic curve, fitted
 on training documents that gave no weights, makes it a score from 0 to 1.
 """
 
@@ -43,6 +45,12 @@ CALIBRATE = 4
 PRIOR, LEAST, BY_CHANCE = 20.0, 4, 0.5
 #: Lower bound of the log-odds from which on a word is listed: weaker words say what a text is about, not that it is toxic.
 LEAST_ODDS = 0.7
+#: Documents from which on a word has its own odds, listed or not, instead of its pieces'.
+KNOWN = 30
+#: Lengths of the word-initial pieces; PIECE marks one, as no word holds that sign.
+PIECES, PIECE = range(3, 9), "*"
+#: Words whose scores a worker remembers.
+REMEMBERED = 200_000
 #: Odd multipliers of the orders in which near copies are looked for.
 ORDERS = [0x9E3779B97F4A7C15 * k % (1 << 63) for k in range(1, 9)]
 #: A passage is significant from this evidence on: by chance one in e**3 documents has such a passage.
@@ -51,15 +59,29 @@ SIGNIFICANT = 3.0
 
 @dataclass
 class Model:
-    """Scores of listed words, the score of any other, the extreme-value law and the logistic curve."""
+    """Scores of listed words and pieces, that of any other word, the words judged by themselves alone, the extreme-value law and the logistic curve."""
 
     scores: dict[str, float]
     other: float
+    own: frozenset = frozenset()
     lam: float = 1.0
     k: float = 1.0
     slope: float = 1.0
     shift: float = 0.0
 
+    def score(self, word: str) -> float:
+        """The strongest of the word and, unless it has its own odds, its pieces; 0 where none is listed."""
+        known = self.__dict__.setdefault("_known", {})
+        if word not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[word] = self.scores.get(word, 0.0) if word in self.own else max((self.scores.get(f, 0.0) for f in features_of(word)), default=0.0)
+        return known[word]
+
+    def hits(self, words: list[str]) -> list[tuple[int, float]]:
+        """Place and score of the listed words."""
+        return [(i, s) for i, s in enumerate(map(self.score, words)) if s > 0]
+
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * evidence + self.shift))))
 
@@ -90,14 +112,17 @@ def maximal_segments(hits: list[tuple[int, float]], other: float) -> list[tuple[
     return [(a, b, after - before) for a, b, before, after in stack]
 
 
+def features_of(word: str) -> list[str]:
+    return [word, *(word[:k] + PIECE for k in PIECES if len(word) >= k)]
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
 def found(words: list[str], model: Model) -> list[tuple[int, int, float]]:
     """Maximal segments of a document's words."""
-    scores = model.scores
-    return maximal_segments([(i, scores[w]) for i, w in enumerate(words) if w in scores], model.other)
+    return maximal_segments(model.hits(words), model.other)
 
 
 def chance_of(words: list[str], model: Model) -> float:
@@ -106,11 +131,21 @@ def chance_of(words: list[str], model: Model) -> float:
 
 
 def evidence(words: list[str], model: Model) -> float:
-    """Sum of the significant passages' evidence, or the best passage's; without any, that of a segment of score 0."""
+    """Evidence of all passages together; without any, that of a segment of score 0.
+
+    The r best segments of clean text add up to x with the probability exp(-x) x^(r-1) / (r! (r-1)!); the least likely of all r counts.
+    """
     chance = chance_of(words, model)
-    each = [model.lam * s - chance for *_, s in found(words, model)]
-    strong = [x for x in each if x >= SIGNIFICANT]
-    return sum(strong) if strong else max(each, default=-chance)
+    each = sorted((model.lam * s - chance for *_, s in found(words, model)), reverse=True)
+    best, x = each[0] if each else -chance, 0.0
+    for r, own in enumerate(each, 1):
+        if own <= 0:
+            break
+        x += own
+        # for sums below r - 1 the law does not hold
+        if x >= r - 1:
+            best = max(best, x - (r - 1) * math.log(x) + math.lgamma(r + 1) + math.lgamma(r))
+    return best
 
 
 def copy_keys(words: list[str]) -> list[int]:
@@ -147,34 +182,49 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return settle(texts.join(F.broadcast(copies), "doc_id", "left_anti"), "training")
 
 
-def word_scores(training: DataFrame) -> tuple[dict[str, float], int, int]:
-    """(scores of the listed words, clean and toxic documents)."""
+def word_scores(training: DataFrame) -> tuple[dict[str, float], frozenset, int, int]:
+    """(scores of the listed words and pieces, words judged by themselves alone, clean and toxic documents).
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        sizes = [0, 0]
-        for b in batches:
-            for text, toxic in zip(b["text"], b["toxic"]):
-                seen[toxic].update(set(words_of(text)))
-                sizes[toxic] += 1
-        words = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"word": [*words, ""], "clean": [*(seen[0][w] for w in words), sizes[0]],
-                            "toxic": [*(seen[1][w] for w in words), sizes[1]]})
-
-    table = settle(training.mapInPandas(counts, "word string, clean long, toxic long").groupBy("word").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "weights")
-    sizes = table.where("word = ''").first()
-    n0, n1 = (sizes["clean"], sizes["toxic"]) if sizes else (0, 0)
+    A word that stands in KNOWN documents has its own odds and takes no part in any piece's: pieces speak for rare words only. Of the
+    rest only what stands in LEAST toxic documents is tested, so clean documents are counted for those alone. All lists are
+    bounded by TRAIN_ROWS.
+    """
+    def counts(own: frozenset | None, wanted: frozenset | None = None):
+        """Documents per word (own is None), or per feature of the words outside own, as far as wanted."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: Counter = Counter()
+            for b in batches:
+                for text in b["text"]:
+                    words = set(words_of(text))
+                    found = words if own is None else {f for w in words - own for f in features_of(w)}
+                    seen.update(found if wanted is None else found & wanted)
+            yield pd.DataFrame({"feature": list(seen), "n": list(seen.values())}, columns=["feature", "n"]).astype({"feature": object, "n": "int64"})
+        return run
+
+    def table(toxic: int, *args) -> DataFrame:
+        return training.where(F.col("toxic") == toxic).mapInPandas(counts(*args), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+    sizes = {r["toxic"]: r["count"] for r in training.groupBy("toxic").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
-        return {}, n0, n1
-    tested = table.where((F.col("word") != "") & (F.col("toxic") >= LEAST) & (F.col("toxic") + F.col("clean") < n0 + n1))
-    z = NormalDist().inv_cdf(1 - BY_CHANCE / max(2, tested.count()))
-    prior = PRIOR * (F.col("clean") + F.col("toxic")) / (n0 + n1)
-    inside = lambda c, n: F.log((F.col(c) + prior) / (n + PRIOR - F.col(c) - prior))
-    bound = inside("toxic", n1) - inside("clean", n0) - z * F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    # at most (words of the bounded training documents) / LEAST rows
-    listed = tested.withColumn("score", bound).where(F.col("score") > LEAST_ODDS)
-    return {r["word"]: float(r["score"]) for r in listed.select("word", "score").collect()}, n0, n1
+        return {}, frozenset(), n0, n1
+    both = table(0, None).withColumnRenamed("n", "clean").join(table(1, None).withColumnRenamed("n", "toxic"), "feature", "full").fillna(0)
+    tested = {r["feature"]: (r["clean"], r["toxic"]) for r in both.where(F.col("clean") + F.col("toxic") >= KNOWN).collect()}
+    own = frozenset(tested)
+    toxic = {r["feature"]: r["n"] for r in table(1, own).where(F.col("n") >= LEAST).collect()}
+    clean = {r["feature"]: r["n"] for r in table(0, own, frozenset(toxic)).collect()}
+    tested |= {f: (clean.get(f, 0), c1) for f, c1 in toxic.items()}
+    z = NormalDist().inv_cdf(1 - BY_CHANCE / max(2, len(tested)))
+    scores = {}
+    for f, (c0, c1) in tested.items():
+        if c0 + c1 == n0 + n1 or c1 < LEAST:
+            continue
+        prior = PRIOR * (c0 + c1) / (n0 + n1)
+        odds = math.log((c1 + prior) / (n1 + PRIOR - c1 - prior)) - math.log((c0 + prior) / (n0 + PRIOR - c0 - prior))
+        bound = odds - z * math.sqrt(1 / (c1 + prior) + 1 / (c0 + prior))
+        if bound > LEAST_ODDS:
+            scores[f] = bound
+    return scores, own, n0, n1
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -184,8 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """
     training = training_rows(docs, labels, rows)
     calibrates = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(CALIBRATE)) == 0
-    everything, n0, n1 = word_scores(training)
-    scores = word_scores(training.where(~calibrates))[0]
+    everything, all_own, n0, n1 = word_scores(training)
+    scores, own = word_scores(training.where(~calibrates))[:2]
     if not n0 or not n1:
         share = (n1 + 0.5) / (n0 + n1 + 1.0) if n0 + n1 else 0.0
         return Model({}, -1.0, slope=0.0, shift=math.log(share / (1 - share)) if share else -30.0)
@@ -194,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in filled(batches):
                 words = [words_of(t) for t in b["text"]]
-                hits = [[scores[w] for w in ws if w in scores] for ws in words]
+                hits = [[s for _, s in (model or Model(scores, -1.0, own)).hits(ws)] for ws in words]
                 yield pd.DataFrame({"toxic": b["toxic"], "words": [len(w) for w in words], "hits": [len(h) for h in hits],
                                     "best": [0.0 if model is None else max((s for *_, s in found(w, model)), default=0.0) for w in words],
                                     "listed": hits, "evidence": [0.0 if model is None else evidence(w, model) for w in words]})
@@ -205,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     seen = held.mapInPandas(profile(None), shape).toPandas()
     rate = [(seen.loc[seen.toxic == y, "hits"].sum() + 0.5) / (seen.loc[seen.toxic == y, "words"].sum() + 1.0) for y in (0, 1)]
     rate[1] = max(rate[1], 2 * rate[0])
-    model = Model(scores, min(-1e-4, math.log(max(1e-9, 1 - rate[1]) / (1 - min(rate[0], 0.5)))))
+    model = Model(scores, min(-1e-4, math.log(max(1e-9, 1 - rate[1]) / (1 - min(rate[0], 0.5)))), own)
     clean = seen[seen.toxic == 0]
     model.lam = positive_root(Counter(x for row in clean["listed"] for x in row), int(clean["words"].sum()), model.other)
     # K from the clean documents' best segments: the mean of n exp(-lambda s) is about 1 / K
@@ -215,7 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         model.k = min(1.0, max(1e-6, float(1 / (clean.words * np.exp(-model.lam * clean.best)).mean())))
     seen = held.mapInPandas(profile(model), shape).toPandas()
     model.slope, model.shift = logistic(seen["evidence"].to_numpy(float), seen["toxic"].to_numpy(float))
-    model.scores = everything
+    model.scores, model.own = everything, all_own
+    model.__dict__.pop("_known", None)
     return model
 
 

@@ -66,6 +66,48 @@ def test_toxicity_labels_are_held_out(spark, toxic):
     assert toxicity.fit(docs, labels) == toxicity.fit(docs, flipped)
 
 
+def test_inflected_insults_back_off_to_their_stem(spark, words):
+    """Each form stands in at most three documents; a common word that begins like a listed one stays clean."""
+    import itertools
+    import random
+
+    rng = random.Random(11)
+    forms = ["".join(p) for p in itertools.product("aeiou", "lmnrst", "aeiou")]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 6 == 0
+        text = words(120, 1000 + i).split()
+        if toxic:
+            for k in range(4):
+                text.insert(20 + 3 * k, "grumbo" + forms[(i // 6 * 4 + k) % len(forms)] + forms[(i + 7 * k) % len(forms)])
+        elif i % 3 == 1:
+            text.insert(50, "grum")
+            text.insert(60, "grum")
+        elif rng.random() < 0.05:
+            text.insert(30, "grumbo" + forms[i % len(forms)])
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.p for r in toxicity.with_score(docs, model, score_col="p").collect()}
+    assert min(sum(w.startswith("grumbo") for w in t.split()) for i, t in rows if i % 6 == 0) == 4
+    held = [i for i, _ in rows if __import__("zlib").crc32(str(i).encode()) % 5 == 0]
+    caught = [got[i] >= 0.5 for i in held if i % 6 == 0]
+    false = [got[i] >= 0.5 for i in held if i % 6]
+    assert sum(caught) >= 0.95 * len(caught) and sum(false) <= 0.02 * len(false)
+    assert "grum" not in model.scores and model.score("grum") == 0 < model.score("grumbozzz")
+
+
+def test_toxicity_of_a_very_long_and_of_repeated_texts(spark, toxic):
+    docs, labels = toxic
+    model = toxicity.fit(docs, labels)
+    long = "so it goes on and on " * 100_000
+    rows = [(1, long), (2, long + " you idiot moron scum idiot moron"), (3, "you idiot moron scum"), (3, "you idiot moron scum"), (4, None)]
+    got = toxicity.with_score(spark.createDataFrame(rows, "doc_id long, text string"), model, score_col="p").collect()
+    p = [r.p for r in sorted(got, key=lambda r: r.doc_id)]
+    assert p[0] < 0.5 and p[2] == p[3] and all(0 <= x <= 1 for x in p) and p[1] > p[0]
+
+
 def test_scores(spark, folder):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
