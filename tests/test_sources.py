@@ -100,3 +100,49 @@ def test_extract_json(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id int, t string")
     got = [r["json_text"] for r in TX.extract_json(df, "t").orderBy("id").collect()]
     assert got == ['{"a": 1}', "[1, 2]", None, None, None, None, None]
+
+
+def quoted_rows(n):
+    cells = ["plain", 'with "quotes"', "two\nlines", 'three\n"lines"\n\nhere', "", None, "a,b", "\n", "ünï"]
+    return [(i, cells[i % len(cells)], i / 4) for i in range(n)]
+
+
+def test_quoted_breaks_are_cut_inside_one_file(spark, tmp_path):
+    """One file, many splits: records cross borders, one cell spans several splits, and all equals the source."""
+    import csv
+
+    rows = quoted_rows(900)
+    rows[400] = (400, "long\n" * 3000, 100.0)
+    path = tmp_path / "q.csv"
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f, quoting=csv.QUOTE_MINIMAL)
+        w.writerow(["n", "t", "x"])
+        w.writerows([(a, "" if b is None else b, c) for a, b, c in rows])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        df = csvfiles.csv_load(spark, str(path))
+        assert dict(df.dtypes) == {"n": "int", "t": "string", "x": "double"}
+        from colscope.sources.records import records_of
+
+        pieces = records_of(spark, str(path))
+        assert pieces.rdd.getNumPartitions() > 5
+        assert pieces.count() == len(rows) + 1
+        got = sorted((r["n"], r["t"], r["x"]) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(a, b or None, c) for a, b, c in rows]
+
+
+def test_quoted_breaks_match_the_whole_file_reader(spark, tmp_path):
+    import csv
+
+    for name, end in (("u.csv", "\n"), ("w.csv", "\r\n")):
+        with open(tmp_path / name, "w", newline="") as f:
+            w = csv.writer(f, lineterminator=end)
+            w.writerow(["n", "t", "x"])
+            w.writerows([(a, "" if b is None else b.replace("\n", end), c) for a, b, c in quoted_rows(60)])
+    files = [str(tmp_path / n) for n in ("u.csv", "w.csv")]
+    want = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("inferSchema", True).csv(files)
+    got = csvfiles.csv_load(spark, files)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
