@@ -18,7 +18,7 @@ from colscope.functions import text as X
 from colscope.functions.session import new_folder
 from colscope.operators import charts as CH, findings as FN, history as HX, mlstats as ML, profile as P, quality as QI
 from colscope.operators import quantiles as Q, recommend as RC, requestlog as RL, stats as ST, targets as TG, textjobs as TX
-from colscope.operators.longform import schema_table
+from colscope.operators.longform import columns_of, schema_table
 from colscope.plans.analysis import Analysis
 from colscope.plans.catalogue import Catalogue
 from colscope.schemas import as_finding, union_all
@@ -245,8 +245,7 @@ query("pr12_top_values", lambda s, d: P.top_values(dirty(s, d), book.DATASET),
 query("pr12_top_values_documents", lambda s, d: P.top_values(read_table(s, d, "documents"), "documents"),
       " union all ".join(
           f"select 'documents' as dataset, {o} as ordinal, '{c}' as name, cast(rank as integer) as rank, coalesce(v,'None') as value, n as count from"
-          f" (select {c} as v, count(*) as n, row_number() over (order by count(*) desc,"
-          f" case when length({c}) > 64 then sha256({c}) else {c} end nulls first) as rank from documents group by {c}) where rank <= 5"
+          f" (select {c} as v, count(*) as n, row_number() over (order by count(*) desc, {c} nulls first) as rank from documents group by {c}) where rank <= 5"
           for o, c in ((1, "text"), (2, "lang"), (3, "source"))))
 _text_cols = {
     "pr13_avg_length": "avg_length", "pr14_whitespace_count": "whitespace_issues", "pr15_disguised_count": "disguised_missing",
@@ -265,22 +264,46 @@ query("pr14_text_profile_conversations",
           f" count(*) filter (where {book.is_day('v', X.YMD_PATTERN, '%Y-%m-%d')}) as ymd,"
           f" count(*) filter (where {book.is_day('v', X.DMY_PATTERN, '%d-%m-%Y')}) as dmy"
           f" from (select {c} as v from conversations)" for o, c in ((2, "role"), (3, "text"))))
-SAMPLED = [n for _, n, t in book.COLUMNS if t in ("bigint", "int", "string")]
-query("pr16_sample_values", lambda s, d: P.sample_values(dirty(s, d), book.DATASET, SAMPLED),
+query("pr2_value_histogram_documents", lambda s, d: P.value_histogram(read_table(s, d, "documents"), "documents"),
+      " union all ".join(
+          f"select 'documents' as dataset, {o} as ordinal, '{c}' as name, {f'cast({c} as bigint)' if o in (0, 4) else 'null::bigint'} as value_int,"
+          f" null::double as value_dbl, {'null::varchar' if o in (0, 4) else c} as value_str, count(*) as cnt from documents group by {c}"
+          for o, c in enumerate(("doc_id", "text", "lang", "source", "n_chars"))))
+
+
+def _sampled(s, d):
+    """All columns; fractions, whose texts differ between engines, with ten digits."""
+    df = dirty(s, d)
+    doubles = [c.ordinal for c in columns_of(df) if c.family == "float"]
+    value = F.when(F.col("ordinal").isin(*doubles), F.format_string("%.9e", F.col("value").try_cast("double"))).otherwise(F.col("value"))
+    return P.sample_values(df, book.DATASET).withColumn("value", value)
+
+
+_drawn = ("coalesce(cast(value_int as varchar), case when isinf(value_dbl) then case when value_dbl > 0 then 'Infinity' else '-Infinity' end"
+          " else printf('%.9e', value_dbl) end, value_str)")
+query("pr16_sample_values", _sampled,
       f"""select {_DS}, ordinal, name, cast(rank as integer) as rank, value from (
         select ordinal, name, value, row_number() over (partition by ordinal order by md5(value || '#0'), value) as rank from (
-          select ordinal, name, coalesce(cast(value_int as varchar), value_str) as value from hist
-          where name in ({', '.join(book.lit(n) for n in SAMPLED)}) and (value_int is not null or value_str is not null)))
-        where rank <= 5""")
+          select ordinal, name, {_drawn} as value from hist
+          where value_int is not null or value_dbl is not null or value_str is not null)) where rank <= 5""")
 query("pr20_id_column", lambda s, d: A(s, d).ids, f"select {_DS}, ordinal, name, is_id from ids")
 query("pr21_column_kind", lambda s, d: A(s, d).kinds, f"select {_DS}, ordinal, name, dtype, kind from kinds")
 query("pr22_structure_type", lambda s, d: A(s, d).structure.select("dataset", "type", joined("datetime_columns"), joined("id_columns")),
       f"select {_DS}, type, array_to_string(dt, ', ') as datetime_columns, array_to_string(idc, ', ') as id_columns from structure")
-query("pr23_kind_counts", lambda s, d: union_all([P.kind_counts(schema_table(read_table(s, d, t), t).join(
-          csvfiles.dataset_info(read_table(s, d, t), t).where("rows > 0").select("dataset"), "dataset")) for t in ("orders", "lineitem")]),
-      "select 'orders' as dataset, 3::bigint as numeric_count, 2::bigint as categorical_count, 0::bigint as boolean_count from"
-      " (select count(*) as n from orders) where n > 0 union all select 'lineitem', 8::bigint, 2::bigint, 0::bigint from"
-      " (select count(*) as n from lineitem) where n > 0")
+_KIND_OF = {"bigint": "numeric_count", "int": "numeric_count", "double": "numeric_count", "string": "categorical_count", "boolean": "boolean_count"}
+
+
+def _kinds(s, d):
+    """Every table, as long as it has rows."""
+    return union_all([P.kind_counts(schema_table(read_table(s, d, t), t).join(
+        csvfiles.dataset_info(read_table(s, d, t), t).where("rows > 0").select("dataset"), "dataset")) for t in TABLES])
+
+
+# the types as DuckDB itself describes a row of each table
+query("pr23_kind_counts", _kinds, " union all ".join(
+    f"select '{t}' as dataset, count(*) filter (where k in ('BIGINT','INTEGER','DOUBLE','FLOAT')) as numeric_count,"
+    f" count(*) filter (where k = 'VARCHAR') as categorical_count, count(*) filter (where k = 'BOOLEAN') as boolean_count from ("
+    f"select unnest([{', '.join(f'typeof({c})' for c in COLS[t].split(", "))}]) as k from (select * from {t} limit 1))" for t in TABLES))
 query("pr24_column_notes", lambda s, d: P.column_notes(A(s, d).profile),
       f"""select {_DS}, c.ordinal, c.name, array_to_string(list_filter([
         case when missing_pct >= 50 then 'high missingness' end,
@@ -357,10 +380,8 @@ query("cn3_name_whitespace", lambda s, d: QI.name_whitespace(V.view(s, d, "part"
 
 _TCOLS = 'rank, ordinal, "column", cast(score as integer) as score, task_type, n_classes, imbalance_ratio, reasons'
 query("tg1_suggest_targets", lambda s, d: A(s, d).targets.withColumn("reasons", joined("reasons")), f"select {_DS}, {_TCOLS} from targets")
-LOW = [n for _, n, t in book.COLUMNS if n in ("churn", "status_code", "priority", "bonus", "heavy_tail", "const_flag")]
-query("tg2_imbalance_ratio", lambda s, d: TG.imbalance_ratio(TG.class_counts(dirty(s, d), LOW, book.DATASET)),
-      f"select {_DS}, ordinal, name, imbalance_ratio, buckets from ratios join schema_ using (ordinal) where name in ("
-      + ", ".join(book.lit(n) for n in LOW) + ")")
+query("tg2_imbalance_ratio", lambda s, d: TG.imbalance_ratio(TG.class_counts(dirty(s, d), None, book.DATASET)),
+      f"select {_DS}, ordinal, name, imbalance_ratio, buckets from ratios join schema_ using (ordinal)")
 
 
 def _explicit(s, d):

@@ -112,39 +112,28 @@ def _as_text(c: ColumnInfo) -> Column:
     return pos(c).cast("string")
 
 
-def histogram(df: DataFrame, columns=None) -> DataFrame:
-    """(ordinal, value_int, value_dbl, value_str, cnt): value counts of every column, nulls included.
+def typed_cell(c: ColumnInfo, whole: bool = False) -> Column:
+    """A cell as (value_int, value_dbl, value_str), of which at most one is set, so no type loses precision."""
+    text = F.lit(None).cast("string")
+    if c.family not in ("integer", "float"):
+        text = _as_text(c) if whole else compare_key(_as_text(c))
+    return F.struct(
+        (pos(c).cast("bigint") if c.family == "integer" else F.lit(None).cast("bigint")).alias("value_int"),
+        (as_double(pos(c), c.dtype) if c.family == "float" else F.lit(None).cast("double")).alias("value_dbl"), text.alias("value_str"))
 
-    One branch per value type, so no type loses precision. Hot values collapse in the map-side
-    partial aggregation; what is shuffled is at most the distinct values of each task.
+
+def histogram(df: DataFrame, columns=None, whole: bool = False) -> DataFrame:
+    """(ordinal, value_int, value_dbl, value_str, cnt): value counts of every column, nulls included, from one scan.
+
+    One Expand of tagged cells serves all types. Hot values collapse in the map-side partial aggregation; what is shuffled is
+    at most the distinct values of each task, long texts as digests unless the `whole` text is asked for.
     """
     cols = columns_of(df, columns)
-    groups = [
-        ("bigint", [c for c in cols if c.family == "integer"], lambda c: pos(c).cast("bigint")),
-        ("double", [c for c in cols if c.family == "float"], lambda c: as_double(pos(c), c.dtype)),
-        ("string", [c for c in cols if c.family not in ("integer", "float")],
-         lambda c: compare_key(_as_text(c))),
-    ]
-    parts = []
-    for kind, members, expr in groups:
-        if not members:
-            continue
-        counts = unpivot(df, [(c.ordinal, expr(c)) for c in members]).groupBy("o", "v").agg(
-            F.count(F.lit(1)).alias("cnt")
-        )
-        parts.append(counts.select(
-            ordinal_of(F.col("o")).alias("ordinal"),
-            *[(F.col("v") if kind == k else F.lit(None).cast(k)).alias(name)
-              for k, name in (("bigint", "value_int"), ("double", "value_dbl"), ("string", "value_str"))],
-            "cnt",
-        ))
-    if not parts:
-        return local_table(df.sparkSession, [], "ordinal int, value_int bigint, value_dbl double, value_str string, cnt bigint"
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if not cols:
+        return local_table(df.sparkSession, [], "ordinal int, value_int bigint, value_dbl double, value_str string, cnt bigint")
+    return unpivot(df, [(c.ordinal, typed_cell(c, whole)) for c in cols]).select("o", "v.value_int", "v.value_dbl", "v.value_str").groupBy(
+        "o", "value_int", "value_dbl", "value_str").agg(F.count(F.lit(1)).alias("cnt")).select(
+        ordinal_of(F.col("o")).alias("ordinal"), "value_int", "value_dbl", "value_str", "cnt")
 
 
 def is_null_bucket() -> Column:

@@ -15,7 +15,7 @@ from colscope.functions import text as X
 from colscope.operators import quantiles as Q
 from colscope.functions.session import local_table, settle
 from colscope.operators.longform import (
-    DIGEST_LENGTH, DIGEST_OVER, by_position, columns_of, histogram, is_null_bucket, long_numeric, long_text, ordinal_of, pos,
+    DIGEST_LENGTH, DIGEST_OVER, by_position, columns_of, compare_key, histogram, is_null_bucket, long_numeric, long_text, ordinal_of, pos,
     schema_table, unpivot,
 )
 
@@ -37,9 +37,9 @@ def _named(df: DataFrame, stats: DataFrame, dataset: str, columns=None, families
 
 
 def value_histogram(df: DataFrame, dataset: str = "", columns=None) -> DataFrame:
-    """PR2: value counts of every column with the null bucket; long text appears as its digest."""
+    """PR2: value counts of every column with the null bucket; texts are whole, whatever their length."""
     names = F.broadcast(schema_table(df, dataset, columns).select("dataset", "ordinal", "name"))
-    return histogram(df, columns).join(names, "ordinal").select(
+    return histogram(df, columns, whole=True).join(names, "ordinal").select(
         "dataset", "ordinal", "name", "value_int", "value_dbl", "value_str", "cnt"
     )
 
@@ -233,28 +233,28 @@ def text_profile(df: DataFrame, dataset: str = "", columns=None) -> DataFrame:
     })
 
 
-def _top(h: DataFrame, order, k: int) -> DataFrame:
-    """First k histogram rows per column; Spark keeps only k rows per column and task before the shuffle."""
+def _top(h: DataFrame, order, k: int, ties: bool = False) -> DataFrame:
+    """First k histogram rows per column, with `ties` all that are no worse; Spark keeps only those per column and task before the shuffle."""
     w = Window.partitionBy("ordinal").orderBy(*order)
-    return h.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return h.withColumn("rank", (F.rank() if ties else F.row_number()).over(w)).where(F.col("rank") <= k)
 
 
 def _restore_text(df: DataFrame, top: DataFrame, columns) -> DataFrame:
     """Replace digests of long text by the text.
 
-    `top` is k rows per column, so it is settled first; the table is only read again when one of
-    those rows is a digest, and the lookup side is as small as `top`.
+    `top` is settled first; the table is only read again when one of its rows is a digest, and then only rows that match one
+    keep their text. How large those are is left to the engine, so nothing is broadcast unless it is small.
     """
     top = settle(top)
     digests = top.where(F.char_length("value_str") == DIGEST_LENGTH)
     if digests.isEmpty():
         return top
     cols = [c for c in columns_of(df, columns) if c.family == "text"]
-    wanted = F.broadcast(digests.select(
-        F.concat(F.lit("c"), F.col("ordinal").cast("string")).alias("o"), F.col("value_str").alias("digest")))
+    # digests alone, at most k rows per column and their ties: the wide side is not shuffled while they are small
+    wanted = digests.select(F.concat(F.lit("c"), F.col("ordinal").cast("string")).alias("o"), F.col("value_str").alias("digest")).distinct()
     long = long_text(df, cols).where(F.char_length("v") > DIGEST_OVER).withColumn("digest", F.sha2("v", 256))
     texts = long.join(wanted, ["o", "digest"]).groupBy("o", "digest").agg(F.any_value("v").alias("text"))
-    texts = F.broadcast(texts.select(ordinal_of(F.col("o")).alias("ordinal"), F.col("digest").alias("value_str"), "text"))
+    texts = texts.select(ordinal_of(F.col("o")).alias("ordinal"), F.col("digest").alias("value_str"), "text")
     return top.join(texts, ["ordinal", "value_str"], "left").withColumn(
         "value_str", F.coalesce("text", "value_str")).drop("text")
 
@@ -262,23 +262,34 @@ def _restore_text(df: DataFrame, top: DataFrame, columns) -> DataFrame:
 def top_values(df: DataFrame, dataset: str = "", columns=None, k: int = 5) -> DataFrame:
     """PR12: the k most frequent values of every text column; the null bucket is labelled None.
 
-    Ties go to the smaller value (to the smaller digest for long text).
+    Ties go to the smaller value. Long texts are counted by digest, each with its first characters: those order all but
+    values that begin alike, and only values still tied with the k-th are restored before the last ranking.
     """
-    cols = [c.name for c in columns_of(df, columns) if c.family == "text"]
-    h = histogram(df, cols).select("ordinal", "value_str", "cnt")
-    top = _top(h, [F.desc("cnt"), F.asc_nulls_first("value_str")], k)
-    top = _restore_text(df, top, cols)
-    return _named(df, top, dataset, cols).where("rank is not null").select(
+    cols = columns_of(df, columns)
+    names = [c.name for c in cols if c.family == "text"]
+    texts = [c for c in cols if c.family == "text"]
+    if not texts:
+        return local_table(df.sparkSession, [], "dataset string, ordinal int, name string, rank int, value string, count bigint")
+    cells = unpivot(df, [(c.ordinal, F.struct(compare_key(pos(c)).alias("value_str"), F.substring(pos(c), 1, DIGEST_OVER).alias("begin"))) for c in texts])
+    h = cells.select("o", "v.*").groupBy("o", "value_str").agg(F.count(F.lit(1)).alias("cnt"), F.min("begin").alias("begin")).select(
+        ordinal_of(F.col("o")).alias("ordinal"), "value_str", "begin", "cnt")
+    top = _top(h, [F.desc("cnt"), F.asc_nulls_first("begin")], k, ties=True).drop("rank", "begin")
+    top = _top(_restore_text(df, top, names), [F.desc("cnt"), F.asc_nulls_first("value_str")], k)
+    return _named(df, top, dataset, names).where("rank is not null").select(
         "dataset", "ordinal", "name", "rank", F.coalesce("value_str", F.lit("None")).alias("value"),
         F.col("cnt").alias("count"),
     )
 
 
 def sample_values(df: DataFrame, dataset: str = "", columns=None, k: int = 5, seed: int = 0) -> DataFrame:
-    """PR16: up to k pseudo-random distinct non-null values per column, the same on every run."""
+    """PR16: up to k pseudo-random distinct non-null values per column, the same on every run.
+
+    Values are drawn by the order of a digest of their text; numbers with a fraction are written with ten digits for it.
+    """
     h = histogram(df, columns).where(~is_null_bucket())
     value = F.coalesce(F.col("value_int").cast("string"), F.col("value_dbl").cast("string"), F.col("value_str"))
-    top = _top(h.withColumn("value", value), [F.md5(F.concat(value, F.lit(f"#{seed}"))), value], k)
+    drawn = F.when(F.col("value_dbl").isNotNull(), F.format_string("%.9e", "value_dbl")).otherwise(value)
+    top = _top(h.withColumn("value", value), [F.md5(F.concat(drawn, F.lit(f"#{seed}"))), drawn, value], k)
     top = _restore_text(df, top, columns)
     return _named(df, top, dataset, columns).where("rank is not null").select(
         "dataset", "ordinal", "name", "rank", F.coalesce("value_str", "value").alias("value")

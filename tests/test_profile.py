@@ -121,3 +121,19 @@ def test_approximate_counts_are_close(spark, folder):
     for n, r in exact.items():
         assert approx[n]["unique_count"] == pytest.approx(r["unique_count"], rel=0.1)
         assert approx[n]["missing_count"] == r["missing_count"]
+
+
+def test_counts_and_histogram_read_the_table_once(spark, tmp_path):
+    spark.range(50).selectExpr("id", "cast(id % 3 as double) as x", "repeat(concat('t', id % 2), 80) as t", "id % 2 = 0 as b").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for got in (P.column_counts(df), P.value_histogram(df), P.sample_values(df, columns=["id", "x", "b"])):
+        assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 1
+    assert {(r["name"], r["unique_count"]) for r in P.column_counts(df).collect()} == {("id", 50), ("x", 3), ("t", 2), ("b", 2)}
+    assert {r["value_str"] for r in P.value_histogram(df).where("name = 't'").collect()} == {"t0" * 80, "t1" * 80}
+
+
+def test_ties_of_long_texts_go_by_value(spark):
+    begin = "same begin " * 10
+    rows = [(begin + c,) for c in "zyxwvutsrq" for _ in range(2)] + [("short",)] * 2 + [(begin + "a",)]
+    got = P.top_values(spark.createDataFrame(rows, "t string").repartition(4), k=4).orderBy("rank").collect()
+    assert [(r["value"], r["count"]) for r in got] == [(begin + c, 2) for c in "qrst"]
