@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,26 @@ def new_folder(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+#: Jobs that one call submits side by side at most.
+SIDE_BY_SIDE = 8
+
+
+def side_by_side(tasks: Iterable[Callable], at_once: int = SIDE_BY_SIDE) -> list:
+    """Results of independent Spark actions submitted from threads of their own, in order.
+
+    Small jobs leave most of a cluster idle; together they share it. Where the session schedules fairly, each keeps its pool.
+    """
+    tasks = list(tasks)
+    with ThreadPoolExecutor(max(1, min(at_once, len(tasks)))) as pool:
+        return [f.result() for f in [pool.submit(inheriting(t)) for t in tasks]]
+
+
+def inheriting(task: Callable) -> Callable:
+    """The task with the calling thread's job group, pool and tags."""
+    session = SparkSession.getActiveSession()
+    return (inheritable_thread_target(session) if session else inheritable_thread_target)(task)
+
+
 ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from colscope.functions import numeric as N
-from colscope.functions.session import local_table, settle
+from colscope.functions.session import local_table, settle, side_by_side
 from colscope.operators.longform import by_position, columns_of, pos
 
 PCA_DDL = "dataset string, component int, ratio double, cumulative double, n_components int, n_features int"
@@ -94,18 +94,17 @@ def _fit(vectors: DataFrame, k: int, max_iter: int, seed: int):
 
 
 def _best(vectors: DataFrame, k: int, max_iter: int, starts: int):
-    """The model of least cost from several starts, and its cost."""
-    return min((_fit(vectors, k, max_iter, 42 + i) for i in range(starts)), key=lambda m: m[1])
+    """The model of least cost from several starts, and its cost; the starts run side by side."""
+    return min(side_by_side([lambda i=i: _fit(vectors, k, max_iter, 42 + i) for i in range(starts)]), key=lambda m: m[1])
 
 
 def _elbow(vectors: DataFrame, rows: int, max_iter: int):
     """(k, inertia, drop) for every k, and the k with the largest drop (2 when there is none)."""
-    found, previous = [], None
-    for k in K_RANGE:
-        if k < rows:
-            cost = _best(vectors, k, max_iter, STARTS)[1]
-            found.append((k, cost, None if previous is None else previous - cost))
-            previous = cost
+    ks = [k for k in K_RANGE if k < rows]
+    vectors.count()  # cached once, before the fits read it side by side
+    costs = side_by_side([lambda k=k, i=i: _fit(vectors, k, max_iter, 42 + i)[1] for k in ks for i in range(STARTS)])
+    best_cost = {k: min(costs[n * STARTS: (n + 1) * STARTS]) for n, k in enumerate(ks)}
+    found = [(k, best_cost[k], None if k == ks[0] else best_cost[k - 1] - best_cost[k]) for k in ks]
     best = max((f for f in found if f[2] is not None and f[2] > 0), key=lambda f: (f[2], -f[0]), default=found[0])[0]
     return found, best
 

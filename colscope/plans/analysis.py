@@ -7,12 +7,13 @@ to the checkpoint folder, so the rules after them never touch the data again.
 
 from __future__ import annotations
 
+from concurrent.futures import Future, ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.functions.session import settle
+from colscope.functions.session import inheriting, settle
 from colscope.operators import charts, findings as FN, mlstats, profile as P, quality as QI, recommend as RC
 from colscope.operators import stats as ST
 from colscope.operators import targets as TG
@@ -22,6 +23,15 @@ from colscope.operators.quantiles import order_statistics
 from colscope.schemas import union_all
 
 CLASS_LIMIT = 20
+#: Steps that run jobs on the data, and the steps that each waits for.
+NEEDS = {
+    "counts": (), "moments": (), "text": (), "sentinels": (), "duplicates": (), "top_values": (), "samples": (),
+    "order_stats": ("moments",), "info": ("counts",), "target_scores": ("counts",), "features": ("counts",), "structure": ("counts", "text"),
+    "class_counts": ("target_scores",), "targets": ("class_counts",), "scrub_log": ("sentinels",),
+    "clean_moments": ("moments", "features", "scrub_log"), "clean_order_stats": ("order_stats", "clean_moments"),
+    "gram": ("counts", "clean_order_stats"), "pairs": ("gram",), "outliers": ("clean_order_stats",),
+    "patterns": ("info", "features", "clean_moments"), "quality": ("counts", "text", "moments", "sentinels", "duplicates", "info"),
+}
 
 
 class Analysis:
@@ -30,6 +40,34 @@ class Analysis:
     def __init__(self, df: DataFrame, dataset: str = "", target: str | None = None):
         self.df, self.dataset, self.target = df, dataset, target
 
+    def gather(self, *wanted: str) -> None:
+        """Compute steps and all that they need, independent ones side by side: the wait is that of the longest chain."""
+        order: list[str] = []
+
+        def visit(step: str) -> None:
+            if step not in order and step not in self.__dict__:
+                for before in NEEDS[step]:
+                    visit(before)
+                order.append(step)
+
+        for step in wanted:
+            visit(step)
+        if not order:
+            return
+        running: dict[str, Future] = {}
+
+        def run(step: str):
+            for before in NEEDS[step]:
+                if before in running:
+                    running[before].result()
+            return getattr(self, step)
+
+        with ThreadPoolExecutor(len(order)) as pool:
+            for step in order:
+                running[step] = pool.submit(inheriting(run), step)
+            for future in running.values():
+                future.result()
+
     # ---- profile
 
     @cached_property
@@ -83,6 +121,7 @@ class Analysis:
 
     @cached_property
     def profile(self) -> DataFrame:
+        self.gather("counts", "moments", "order_stats", "text", "top_values", "samples")
         return settle(P.column_profile(self.schema, self.counts, self.kinds, self.moments, self.order_stats, self.text,
                                        self.top_values, self.samples))
 
@@ -94,6 +133,7 @@ class Analysis:
 
     @cached_property
     def quality(self) -> DataFrame:
+        self.gather(*NEEDS["quality"])
         return settle(QI.quality_issues(self.schema, self.counts, self.text, self.moments, self.sentinels,
                                         self.duplicates, self.info))
 
@@ -241,6 +281,7 @@ class Analysis:
 
     @cached_property
     def all_findings(self) -> DataFrame:
+        self.gather("quality", "targets", "pairs", "outliers", "patterns")
         return settle(FN.all_findings(self.quality, self.red_flags, self.warnings))
 
     @cached_property

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from colscope.functions.session import side_by_side
 from colscope.operators import findings as FN
 from colscope.operators import profile as P
 from colscope.operators import recommend as RC
@@ -17,7 +18,7 @@ class Catalogue:
 
     def stack(self, step: str) -> DataFrame:
         """One step of every analysis in one relation."""
-        return union_all([getattr(a, step) for a in self.analyses.values()])
+        return union_all(side_by_side([lambda a=a: getattr(a, step) for a in self.analyses.values()], at_once=4))
 
     def overview(self) -> DataFrame:
         """Rows, columns and gaps per table."""

@@ -24,3 +24,19 @@ def test_digest_document(spark, folder):
 
     doc = json.loads(Analysis(read_table(spark, folder, "part"), "part").digest.first()["document"])
     assert doc["rows"] == 200 and len(doc["column_digest"]) == 6
+
+
+def test_steps_side_by_side_equal_steps_in_turn(spark, folder):
+    """Every step is computed once, whatever the order in which the threads finish."""
+    from checks.queries import dirty
+    from colscope.plans.analysis import NEEDS, Analysis
+
+    df = dirty(spark, folder)
+    together, in_turn = Analysis(df, "dirty"), Analysis(df, "dirty")
+    together.gather("quality", "outliers")
+    assert {"quality", "outliers", "clean_order_stats", "duplicates"} <= set(together.__dict__) & set(NEEDS)
+    for step in ("outliers", "quality"):
+        assert sorted(map(str, getattr(together, step).collect())) == sorted(map(str, getattr(in_turn, step).collect())), step
+    before = dict(together.__dict__)
+    together.gather("quality", "outliers")
+    assert together.__dict__ == before
