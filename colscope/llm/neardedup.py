@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import documents, free_name, settle, whole_text
+from colscope.llm.common import documents, filled, free_name, settle, whole_text
 from colscope.llm.components import components
 from colscope.llm.superminhash import PLACES, WordHashes, shingles, signatures, similar
 from colscope.llm.tokens import portions
@@ -76,23 +77,32 @@ def band_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInPandas(run, "key long, node long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """node and its sorted shingle hashes as bytes, settled: made once, however many pairs a node is in."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
-        last: tuple = (None, None)
+        for b in filled(batches):
+            at = 0
+            for some in portions(b["text"]):
+                yield pd.DataFrame({"node": b["node"].to_numpy()[at: at + len(some)], "grams": [shingles(t, known).tobytes() for t in some]})
+                at += len(some)
+
+    return settle(texts.mapInPandas(run, "node long, grams binary"), "grams")
+
+
+def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough. Sets are read where they lie in the batch, without copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b, one, two in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-                if last[0] != a:
-                    last = (a, shingles(one, known))
-                keep.append(similar(last[1], shingles(two, known), percent))
-            yield batch.loc[keep, ["a", "b"]]
+            one, two = batch.column("grams_a"), batch.column("grams_b")
+            keep = [similar(np.frombuffer(one[k].as_buffer(), np.uint64), np.frombuffer(two[k].as_buffer(), np.uint64), percent) for k in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return settle(both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"), "verified")
+    left = pairs.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
+    both = left.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
+    return settle(both.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long"), "verified")
 
 
 def links_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -108,8 +118,8 @@ def links_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "thash")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("thash", F.xxhash64("text"))
     # of rows that repeat identifier and text, any is as good
-    texts = settle(slim.alias("d").join(wanted.alias("w"), (F.col("d.thash") == F.col("w.thash")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-                   .select("node", "text").dropDuplicates(["node"]), "texts")
+    grams = shingle_sets(slim.alias("d").join(wanted.alias("w"), (F.col("d.thash") == F.col("w.thash")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
+                   .select("node", "text").dropDuplicates(["node"]))
     sizes = nodes.select("node", "n", "signature")
 
     @F.pandas_udf("boolean")
@@ -128,7 +138,7 @@ def links_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
         return F.least(one, two).alias("a"), F.greatest(one, two).alias("b")
 
     tried = settle(members.where("node != centre").select(*as_pairs("centre", "node")).distinct(), "pairs")
-    found = verified(likely(tried), texts, percent)
+    found = verified(likely(tried), grams, percent)
     turn, before = 0, None
     while True:
         roots = components(found)
@@ -147,14 +157,14 @@ def links_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
             size = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
             pairs = one.join(two, (one["key"] == two["key"]) & (F.col("root_x") < F.col("root_y")) & size & (apart <= BITS_APART))
             rest = pairs.select(*as_pairs("node_x", "node_y")).distinct().join(tried, ["a", "b"], "left_anti")
-            found = settle(found.union(verified(likely(rest), texts, percent)), "found")
+            found = settle(found.union(verified(likely(rest), grams, percent)), "found")
             return components(found)
         before, turn = pairs_open, turn + 1
         centres = parts.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn), "node")).alias("centre"))
         across = parts.join(centres, "key").where(F.col("root") != F.col("centre.root"))
         more = across.select(*as_pairs("centre.node", "node")).distinct().join(tried, ["a", "b"], "left_anti")
         more = settle(more, "pairs")
-        found = settle(found.union(verified(likely(more), texts, percent)), "found")
+        found = settle(found.union(verified(likely(more), grams, percent)), "found")
         tried = tried.union(more)
 
 

@@ -17,7 +17,7 @@ WORDS = 5
 #: Elements whose permutations are held at once.
 BLOCK = 60_000
 #: Word hashes that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 

@@ -50,7 +50,7 @@ KNOWN = 30
 #: Lengths of the word-initial pieces; PIECE marks one, as no word holds that sign.
 PIECES, PIECE = range(3, 9), "*"
 #: Words whose scores a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Odd multipliers of the orders in which near copies are looked for.
 ORDERS = [0x9E3779B97F4A7C15 * k % (1 << 63) for k in range(1, 9)]
 #: A passage is significant from this evidence on: by chance one in e**3 documents has such a passage.
