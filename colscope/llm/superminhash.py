@@ -14,7 +14,7 @@ import xxhash
 
 PLACES = 128
 WORDS = 5
-#: Elements whose permutations are held at once.
+#: Elements whose permutations are held at once, for PLACES places.
 BLOCK = 60_000
 #: Word hashes that a worker remembers.
 CACHE_WORDS = 100_000
@@ -57,12 +57,13 @@ def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     """A row of `places` 16-bit values for each set; an empty set's row has no meaning."""
     least = np.full((len(sets), places), float(places))
     begin, size, some = 0, 0, []
+    block = BLOCK * PLACES // places
     for i, s in enumerate(sets):
-        for at in range(0, len(s), BLOCK):
-            part = s[at: at + BLOCK]
+        for at in range(0, len(s), block):
+            part = s[at: at + block]
             some.append((i, part))
             size += len(part)
-            if size >= BLOCK:
+            if size >= block:
                 offer(some, least, begin, i + 1)
                 begin, size, some = i, 0, []
     if some:
@@ -78,7 +79,7 @@ def offer(parts: list[tuple[int, np.ndarray]], least: np.ndarray, begin: int, en
     flat = rows.reshape(-1)
     elements = np.concatenate([p for _, p in parts])
     owner = np.repeat(np.array([i - begin for i, _ in parts]), [len(p) for _, p in parts])
-    order = np.tile(np.arange(places, dtype=np.uint8), (len(elements), 1))
+    order = np.tile(np.arange(places, dtype=np.uint8 if places <= 256 else np.uint16), (len(elements), 1))
     here = np.arange(len(elements))
     for j in range(places):
         drawn = mix(elements + np.uint64((j + 1) * int(MULTIPLIER) % 2**64))

@@ -73,12 +73,13 @@ def test_near_chains(spark, words, monkeypatch):
 
 
 def test_filters_miss_less_than_the_banding():
-    def tail(p, ks):
-        return sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in ks)
+    def tail(p, ks, n=128):
+        return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in ks)
 
     banding = (1 - 0.75**4) ** 32
     assert tail(0.75, range(neardedup.AGREE)) < banding  # places that agree
-    assert tail(0.125, range(neardedup.BITS_APART + 1, 129)) < banding  # of those that don't agree, half differ in a given bit
+    # of those that don't agree, half differ in a given bit
+    assert tail(0.125, range(neardedup.WIDE_APART + 1, neardedup.WIDE + 1), neardedup.WIDE) < banding
 
 
 def test_signature_estimates(words):
