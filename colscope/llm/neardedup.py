@@ -6,7 +6,7 @@ Documents with the same shingle set are one node, so exact copies cost nothing b
 company in all its buckets), not with each other; links make components, and only buckets that still hold more than one component are looked at again: with other centres
 while that would leave many open pairs, and then pair by pair across components, so that no link is lost and the pairs
 of a large group are never all made. Pairs whose signatures agree in fewer than 72 of 128 places, or (pair by pair) in fewer than
-836 of 1,024 places of one bit, are not verified: a pair of similarity 0.75 fails either less often than the banding. The bits are
+1,712 of 2,048 places of one bit, are not verified: a pair of similarity 0.75 fails either less often than the banding. The bits are
 compared inside the join, so a bucket's pairs that are far apart never leave it.
 """
 
@@ -33,9 +33,9 @@ PERCENT = 75
 OPEN_PAIRS = 20
 #: Places of two signatures that must agree for a pair to be verified.
 AGREE = 72
-#: Places of the one-bit signatures of nodes in open buckets, and how many may differ: at a similarity of 0.75 128 do on average, with a
-#: deviation of 10.6, at 0.6 205 and at 0.5 256.
-WIDE, WIDE_APART = 1024, 188
+#: Places of the one-bit signatures of nodes in open buckets, and how many may differ: at a similarity of 0.75 256 do on average, with a
+#: deviation of 15, at 0.65 358 and at 0.5 512.
+WIDE, WIDE_APART = 2048, 336
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
