@@ -49,8 +49,8 @@ ADVICE = {
                          "Analyse each group on its own, or keep the grouping column as a feature."),
     "data_leakage_risk": ("The name suggests something that is known only after the event.",
                           "Check when the column is recorded; remove it if that is after the event."),
-    "metadata_leakage": ("The column describes how the data was collected, not what was measured.",
-                         "Store it with the records, but train without it."),
+    "metadata_leakage": ("Its values stem from the bookkeeping around each record; the thing under study plays no part in them.",
+                         "Leave it out of the training features; joins and audits may still need it."),
     "multicollinearity": ("The two columns say the same thing twice.", "Keep the one that is easier to explain."),
     "high_correlation": ("The two columns largely move together.", "Combine them, or keep one for linear models."),
     "high_outliers": ("Extreme values pull averages and fitted lines towards them.",
