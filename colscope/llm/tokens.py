@@ -43,11 +43,6 @@ def portions(texts: Iterable[str | None], chars: int = 1 << 20) -> Iterator[list
         yield some
 
 
-@lru_cache(maxsize=2)
-def library(path: str) -> Library:
-    return Library(path)
-
-
 def encode_texts(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str = WORD_BPE) -> DataFrame:
     """df with a column of token ids (array of int); null and empty texts have an empty array."""
     kept = [c for c in df.columns]
