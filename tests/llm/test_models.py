@@ -1,6 +1,7 @@
 """Toxicity, language-model scoring and HTML extraction against plain versions and held-out rows; the pipeline."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -214,6 +215,47 @@ def test_html(spark):
         htmltext.extract(df, weights, text_col="url")
 
 
+def test_html_layouts_adverts_and_captions(spark):
+    lead, advert, rest = " ".join(f"lead{i}" for i in range(20)), "buy now " * 40, "the rest of it all"
+    pages = {
+        f"<div class='layout with-sidebar'><article><p>{lead}</p></article></div>": lead,
+        f"<div class='layout page_sidebar'><article><p>{lead}</p></article><div class=site-footer>imprint</div></div>": lead,
+        f"<nav>x y</nav><article><p>{lead}</p><div class=ad-slot><p>{advert}</p></div><p>{rest}</p><section class=comments><article>No!</article></section></article>": f"{lead} {rest}",
+        f"<article><p>{lead}</p><figure><img src=a><figcaption>A caption.</figcaption></figure><svg><text>in a drawing</text></svg></article>": f"{lead} A caption. in a drawing",
+        f"<article><p title=\"a > b\" class='x'>{lead}</p><p title=\"cut\"\">{rest}</p></article>": f"{lead} {rest}",
+        f"<div class='page_sidebar'><div><p>{lead}</p></div></div><div class='sidebar'>menu of it</div>": lead,
+    }
+    df = spark.createDataFrame([(i, h) for i, h in enumerate([*pages, *pages])], "page_id long, html string")
+    weights = htmltext.learn(df)
+    got = {r.page_id: r.text for r in htmltext.extract(df, weights).collect()}
+    assert got == dict(enumerate([*pages.values()] * 2))
+    assert {"page_sidebar", "with-sidebar"} <= htmltext.layout_of(weights)
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 20_000 + "</p></i>" * 20_000 + "text", "<b>" * 20_000 + "<div></div>" * 20_000 + "text", "<b><div>" * 20_000 + "text",
+    "<p><object>" + "<b>" * 20_000 + "<div></div>" * 20_000 + "text", "<a " * 40_000 + "'", "<a ='x\" " * 20_000 + "<b =\"", "<!-" * 40_000 + "text",
+    "<article><div class=ad>" + "<b>word " * 20_000])
+def test_html_time_is_linear(page):
+    import time
+
+    begin = time.process_time()
+    htmltext.main_text(page, {"word": 1.0, "link": 0.5, "aside": -1.0, "<": -0.05})
+    assert time.process_time() - begin < 3
+
+
+def test_html_run_against_all_runs():
+    rng = random.Random(4)
+    for _ in range(300):
+        x = [rng.randint(-4, 4) for _ in range(rng.randrange(12))]
+        runs = [(sum(x[a:b]), -b, a) for a in range(len(x)) for b in range(a + 1, len(x) + 1)]
+        most = max(runs, default=(0, 0, 0))[0]
+        first, last = htmltext.best_run(x)
+        assert sum(x[first:last]) == max(0, most)
+        if most > 0:
+            assert last == min(-b for total, b, _ in runs if total == most)
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline
 
