@@ -616,8 +616,14 @@ query("fn3_aggregate_findings", lambda s, d: FN.aggregate_findings(A(s, d).all_f
 query("fn3_aggregate_findings_by_status", lambda s, d: FN.aggregate_findings(order_findings(s, d)).select(
           *MERGED, joined("columns"), "position"),
       f"select {_MERGED_SQL}, position from fagg", book.ORDER_FINDINGS)
-query("fn4_merge_pairs", lambda s, d: merged(FN.merge_pairs(FN.finding_groups(FN.rank_findings(A(s, d).all_findings)))),
-      f"select {_MERGED_SQL}, pairtext from fgen_pairs")
+def fn4(s: SparkSession, d: str) -> DataFrame:
+    ranked = FN.rank_findings(A(s, d).all_findings)
+    return merged(FN.merge_pairs(FN.finding_groups(ranked, examples=ranked.count())))
+
+
+query("fn4_merge_pairs", fn4, f"select {_MERGED_SQL}, pairtext from fgen_pairs")
+query("fn4_pair_members", lambda s, d: FN.pair_members(FN.rank_findings(A(s, d).all_findings)).withColumn("correlation", F.round("correlation", 6)),
+      "select dataset, type, cast(pos as integer) as pos, var1, var2, round(correlation, 6) as correlation from frank where type in ('high_correlation','multicollinearity')")
 for _k, _fn, _src in (("fn5_merge_ranked", FN.merge_ranked, "fgen_ranked"), ("fn6_merge_listed", FN.merge_listed, "fgen_listed")):
     query(_k, lambda s, d, f=_fn: merged(f(FN.finding_groups(FN.rank_findings(order_findings(s, d))))).drop("pairtext"),
           f"select {_MERGED_SQL} from {_src}", book.ORDER_FINDINGS)
