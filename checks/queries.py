@@ -6,6 +6,7 @@ query does not profile the table again. `fresh()` forgets it (the benchmark does
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -853,6 +854,14 @@ query("hx2_retention_split", lambda s, d: HX.retention_split(jobs(s, d), F.expr(
       f"select count(*) filter (where created_at < {NOW} - interval 48 hours) as removed, count(*) filter (where not (created_at < {NOW} - interval 48 hours)) as kept from {_jobs}")
 query("hx2_retained", lambda s, d: HX.retained(jobs(s, d), F.expr(NOW.replace("timestamp", "timestamp_ntz"))).select("job_id", "created_at"),
       f"select job_id, created_at from {_jobs} where not (created_at < {NOW} - interval 48 hours)")
+def _history(s: SparkSession, d: str) -> DataFrame:
+    path = new_folder(s, "history")
+    HX.write_history(jobs(s, d), path)
+    HX.apply_retention(s, path, F.expr(NOW.replace("timestamp", "timestamp_ntz")))
+    return s.read.schema(jobs(s, d).schema).parquet(path).select("job_id", "created_at")
+
+
+query("hx2_retention_applied", _history, f"select job_id, created_at from {_jobs} where not (created_at < {NOW} - interval 48 hours)")
 query("hx3_active_sessions",
       lambda s, d: HX.active_sessions(read_table(s, d, "events").select(F.col("event_id").alias("session_id"), F.col("ts").alias("created_at")),
                                       F.expr(NOW.replace("timestamp", "timestamp_ntz"))),
@@ -879,11 +888,31 @@ query("hx6_job_state_rules", lambda s, d: HX.job_state_rules(HX.latest_state(V.v
 
 # ================================================================ RL
 
-query("rl1_requests_in_window", lambda s, d: RL.requests_in_window(read_table(s, d, "events"), "user_id", "ts", 3600),
-      """select user_id as key, epoch_us(ts) as t, any_value(n) as requests, any_value(w) as in_window from (
+def _replayed(s: SparkSession, d: str, slices: int = 4) -> DataFrame:
+    """The log as files that arrive in order of time, read as a stream; a last row without a user ends it."""
+    events = read_table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return RL.requests_in_window(events, "user_id", "ts", 3600)
+    width = (last - first) / slices + datetime.timedelta(seconds=1)
+    log, out = new_folder(s, "log"), new_folder(s, "counts")
+    for i in range(slices):
+        part = events.where((F.col("ts") >= F.lit(first + i * width)) & (F.col("ts") < F.lit(first + (i + 1) * width)))
+        part.write.mode("append").parquet(log)
+    s.createDataFrame([(None, last + slices * width + datetime.timedelta(days=2))], events.schema).write.mode("append").parquet(log)
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(log)
+    counts = RL.streamed_requests_in_window(stream, "user_id", "ts", 3600, 6 * 3600, f"{int(width.total_seconds()) + 1} seconds")
+    counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(s, "marks")).trigger(
+        availableNow=True).start().awaitTermination()
+    return s.read.schema(counts.schema).parquet(out)
+
+
+_rl1 = ("""select user_id as key, epoch_us(ts) as t, any_value(n) as requests, any_value(w) as in_window from (
         select user_id, ts, count(*) over (partition by user_id, ts) as n,
           count(*) over (partition by user_id order by ts range between interval 3600 seconds preceding and current row) as w from events)
       group by user_id, ts""")
+query("rl1_requests_in_window", lambda s, d: RL.requests_in_window(read_table(s, d, "events"), "user_id", "ts", 3600), _rl1)
+query("rl1_streamed_requests", _replayed, _rl1)
 query("rl3_tier_rules", lambda s, d: RL.tier_rules(V.view(s, d, "events", V.REQUESTS)),
       f"""select *, case when tier <> 'skip' then tier || ':' || client end as limit_key from (
         select *, case tier when 'strict' then 10 when 'global' then 200 end as max_reqs, case when tier <> 'skip' then 60 end as window_s from (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colscope import constants as K
@@ -33,6 +33,34 @@ def retained(jobs: DataFrame, now: Column, hours: int = 48) -> DataFrame:
     return jobs.where(~(F.col("created_at") < now - F.expr(f"interval {int(hours)} hours")))
 
 
+def write_history(jobs: DataFrame, folder: str) -> None:
+    """HX2: add or replace whole days of history, partitioned by `day`; days that jobs does not hold stay as they are."""
+    jobs.withColumn("day", F.to_date("created_at")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(folder)
+
+
+def apply_retention(spark: SparkSession, folder: str, now: Column, hours: int = 48) -> None:
+    """HX2: drop expired rows from a history that write_history wrote.
+
+    The day of the cutoff is rewritten, if rows of it expire; days before it are dropped as folders; later days and rows
+    without a time are not touched. Every step may be repeated, so a run that was cut off is finished by the next.
+    """
+    schema = spark.read.parquet(folder).drop("day").schema
+    history = spark.read.schema(schema.add("day", "date")).parquet(folder)
+    cutoff = now - F.expr(f"interval {int(hours)} hours")
+    edge = history.where(F.col("day") == F.to_date(cutoff))
+    removed, kept = retention_split(edge, now, hours).first()
+    if removed and kept:
+        retained(edge, now, hours).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(folder)
+    last = spark.range(1).select(F.date_format(cutoff, "yyyy-MM-dd")).first()[0]
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in files.listStatus(root):
+        name = entry.getPath().getName()
+        if name[:4] == "day=" and name[4:5].isdigit() and (name[4:] < last or name[4:] == last and removed and not kept):
+            files.delete(entry.getPath(), True)
+
+
 def active_sessions(sessions: DataFrame, now: Column, hours: int = 168) -> DataFrame:
     """HX3: sessions with their expiry and whether they are still valid."""
     expires = F.col("created_at") + F.expr(f"interval {int(hours)} hours")

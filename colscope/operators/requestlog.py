@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from colscope import constants as K
 
@@ -44,6 +49,49 @@ def requests_in_window(events: DataFrame, key: str, ts: str, window_s: int = 60,
         F.sum(F.col("sign") * (F.col("within") + F.col("before"))).alias("in_window"))
 
 
+def streamed_requests_in_window(events: DataFrame, key: str, ts: str, window_s: int = 60, bucket_s: int | None = None,
+                                delay: str = "10 seconds") -> DataFrame:
+    """RL1 over a stream: the same rows as requests_in_window, in append mode, once the watermark has passed them.
+
+    Time is cut into buckets of at least the window's length. A request goes to its own bucket and, where its window
+    reaches over the bucket's end, also to the next, so a bucket of a key is counted from its own rows alone: a key that owns a third of
+    the stream is split over time, and its state never holds more than the distinct times of one bucket and one
+    window. Requests later than `delay` behind the newest, and those without a time, do not count.
+    """
+    w_us, b_us = window_s * 1_000_000, max(bucket_s or 0, window_s) * 1_000_000
+    timed = events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts")).where(F.col("ts").isNotNull())
+    kind = timed.schema["key"].dataType.simpleString()
+    parts = timed.withWatermark("ts", delay).withColumn("t", micros(F.col("ts"))).withColumn("own", slice_no(F.col("t"), b_us))
+    ahead = (F.col("own") + 1) * b_us - F.col("t") <= w_us
+    parts = parts.withColumn("bucket", F.explode(F.when(ahead, F.array("own", F.col("own") + 1)).otherwise(F.array("own")))).select(
+        "key", "bucket", "t", "ts")
+
+    def count(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        bucket = int(group[1])
+        times, counts = (np.array(x, np.int64) for x in (state.get if state.exists else ([], [])))
+        if not state.hasTimedOut:
+            for frame in frames:
+                joined = np.concatenate([times, frame["t"].to_numpy(np.int64)])
+                weights = np.concatenate([counts, np.ones(len(frame), np.int64)])
+                times, at = np.unique(joined, return_inverse=True)
+                counts = np.zeros(len(times), np.int64)
+                np.add.at(counts, at, weights)
+            state.update((times.tolist(), counts.tolist()))
+            # rows that came in just behind the mark wait for its next step
+            state.setTimeoutTimestamp(max((bucket + 1) * b_us // 1000, state.getCurrentWatermarkMs() + 1))
+            return
+        state.remove()
+        total = np.concatenate([[0], np.cumsum(counts)])
+        inside = total[1:] - total[np.searchsorted(times, times - w_us)]
+        own = times >= bucket * b_us
+        if own.any():
+            yield pd.DataFrame({"key": [group[0]] * int(own.sum()), "t": times[own], "requests": counts[own], "in_window": inside[own]})
+
+    return parts.groupBy("key", "bucket").applyInPandasWithState(
+        count, f"key {kind}, t bigint, requests bigint, in_window bigint", "times array<bigint>, counts array<bigint>", "append",
+        GroupStateTimeout.EventTimeTimeout)
+
+
 def tier_rules(requests: DataFrame) -> DataFrame:
     """RL3: which limit applies to a request: skipped, strict or global, and the key it counts against."""
     path = F.regexp_replace("path", "/+$", "")

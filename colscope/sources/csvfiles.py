@@ -122,11 +122,14 @@ def as_json(df: DataFrame, name: str = "document") -> DataFrame:
 
 
 def result_sink(documents: dict[str, DataFrame], folder: str, fmt: str = "parquet", mode: str = "overwrite") -> dict[str, str]:
-    """IN11: write the result documents, partitioned by dataset; returns the folder of each."""
+    """IN11: write the result documents, partitioned by dataset; returns the folder of each.
+
+    Overwriting replaces the datasets that a document holds and leaves the files of all others as they are.
+    """
     paths = {}
     for name, df in documents.items():
         paths[name] = f"{folder.rstrip('/')}/{name}"
-        json_sanitize(df).write.mode(mode).partitionBy("dataset").format(fmt).save(paths[name])
+        json_sanitize(df).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("dataset").format(fmt).save(paths[name])
     return paths
 
 

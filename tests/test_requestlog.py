@@ -36,3 +36,24 @@ def test_window_counts_equal_a_loop(spark, slice_s):
     for key, t, _ in rows:
         mine = [x for k, x, _ in rows if k == key]
         assert got[(key, base + t)] == (mine.count(t), sum(t - 60_000_000 <= x <= t for x in mine))
+
+
+@pytest.mark.parametrize("bucket_s", [None, 150])
+def test_stream_equals_the_batch(spark, tmp_path, bucket_s):
+    rows = sorted(log(6), key=lambda r: r[1])
+    rng = random.Random(7)
+    moved = sorted(rows, key=lambda r: r[1] + rng.randrange(25_000_000))  # out of order by less than the delay
+    end = rows[-1][1] + 10**12
+    step = len(moved) // 5 + 1
+    for i in range(0, len(moved), step):
+        frame(spark, moved[i: i + step]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    frame(spark, [("end", end, 0), (None, end, 0)]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    stream = spark.readStream.schema("key string, ts timestamp_ntz, id bigint").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+    out = RL.streamed_requests_in_window(stream, "key", "ts", 60, bucket_s, "30 seconds")
+    run = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/marks").trigger(
+        availableNow=True).start()
+    assert run.awaitTermination(240)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    want = RL.requests_in_window(frame(spark, rows), "key", "ts", 60).collect()
+    assert sorted(tuple(r) for r in got) == sorted((r["key"], r["t"], r["requests"], r["in_window"]) for r in want)
+    assert len([p for p in run.recentProgress if p.numInputRows]) > 3
