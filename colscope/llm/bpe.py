@@ -12,7 +12,8 @@ before the end of what has been read is final, whatever follows. The transducer
 that many symbols, emits what is final and goes on behind it, so its memory does not depend on the text.
 Splitting there changes nothing, because no merge ever crossed a final boundary.
 
-Letters and digits are those of Unicode 15.1; signs that are newer count as other signs.
+Signs that Python's tables (Unicode 15.1) don't know are put into lower case and told to be letters, digits or others by
+the library's own tables, sign by sign, so that both know the same letters.
 
 The argument needs a proper merge list (every part of a rule is a byte or made by an earlier rule); this is checked on loading.
 """
@@ -25,8 +26,10 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import regex
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 END = "</w>"
 #: The file's pattern for words, and white space as its pattern knows it.
@@ -35,8 +38,8 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 LATIN_END = "\u0250"
 BLANK = regex.compile(r"\s+")
-#: Stands for a sign that Python's tables don't know either.
-UNKNOWN = "\uffff"
+#: Stand for a letter, a digit and another sign that Python's tables don't know; the letter is in no contraction.
+NEW_LETTER, NEW_DIGIT, UNKNOWN = "\u0250", "\u0660", "\uffff"
 #: Control signs that Python's split() takes for white space and the pattern doesn't.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: What a pair without a rule has: a rank behind all others.
@@ -45,6 +48,24 @@ NO_RULE = (1 << 40, -1)
 CACHE_WORDS, CACHE_CHARS = 250_000, 64
 
 
+def is_new(sign: str) -> bool:
+    return not sign.isascii() and unicodedata.category(sign) == "Cn"
+
+
+@lru_cache(maxsize=1 << 16)
+def kind_of_new(sign: str) -> str:
+    """The stand-in for a sign that is new to Python, by the library's tables."""
+    for kind, stand_in in ((r"\p{L}", NEW_LETTER), (r"\p{N}", NEW_DIGIT)):
+        if not pre_tokenizers.Split(Regex(kind), "removed").pre_tokenize_str(sign):
+            return stand_in
+    return UNKNOWN
+
+
+@lru_cache(maxsize=1)
+def library_form() -> normalizers.Normalizer:
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
 def byte_alphabet() -> dict[int, str]:
     """Printable stand-ins for the 256 bytes: Latin-1 letters and signs for themselves, the others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -199,8 +220,9 @@ class Encoder:
             return b"".join([words[w] for w in ASCII_WORD.findall(chunk)])
         if max(chunk) < LATIN_END:
             return b"".join([words[w] for w in WORD.findall(chunk)])
-        # signs that are newer than the library's tables are neither letters nor digits
-        known = "".join(c if c.isascii() or unicodedata.category(c) != "Cn" else UNKNOWN for c in chunk)
+        if any(map(is_new, chunk)):
+            chunk = library_form().normalize_str(chunk)
+        known = "".join(kind_of_new(c) if is_new(c) else c for c in chunk)
         return b"".join([words[chunk[m.start(): m.end()]] for m in WORD.finditer(known)])
 
     def normal(self, text: str) -> str:

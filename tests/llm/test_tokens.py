@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -29,6 +30,16 @@ def test_like_the_library(library, letters):
         assert same(library, "".join(rng.choice(letters) for _ in range(n)))
 
 
+def test_letters_newer_than_python(library):
+    new = [c for c in map(chr, range(0x40000)) if unicodedata.category(c) == "Cn"]
+    texts = [f"a{c}b1{c}'s" for c in new] + ["".join(new[i: i + 7]) + "\u0301 x" for i in range(0, len(new), 7)]
+    tool = tokens.encoder(tokens.WORD_BPE)
+    want = library.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, w in zip(texts, want) if np.frombuffer(tool.encode(t), np.uint32).tolist() != w.ids]
+    assert not wrong
+    assert {"\u1c89", "\U00010d50", "\ua7cb", "\U0001e5d0"} <= set(new)
+
+
 def test_transducer_in_portions():
     v = tokens.encoder(tokens.WORD_BPE).v
     rng = random.Random(2)
