@@ -829,6 +829,12 @@ query("ch11_co_missing", lambda s, d: CH.co_missing(dirty(s, d), book.DATASET),
       f"select {_DS}, missing_together, count(*) as rows from (select array_to_string(list_filter(["
       + ", ".join(f"case when {n} is null then '{n}' end" for _, n, _ in book.COLUMNS)
       + "], lambda x: x is not null), '+') as missing_together from d) group by missing_together")
+_gap = {n: f"sum(case when {n} is null then 1 else 0 end)" for _, n, _ in book.COLUMNS}
+query("ch11_co_missing_pairs", lambda s, d: CH.co_missing_pairs(dirty(s, d), book.DATASET),
+      f"select {_DS}, *, round(\"both\"*100.0::double/(missing_a+missing_b-\"both\"), 2) as together_pct from (" + " union all ".join(
+          f"select {i} as i, {j} as j, '{a}' as col_a, '{b}' as col_b, cast(sum(case when {a} is null and {b} is null then 1 else 0 end) as bigint) as \"both\","
+          f" cast({_gap[a]} as bigint) as missing_a, cast({_gap[b]} as bigint) as missing_b from d"
+          for i, a, _ in book.COLUMNS for j, b, _ in book.COLUMNS if i < j) + ") where \"both\" > 0")
 query("ch12_box_plots", lambda s, d: CH.box_plots(A(s, d).quartiles),
       f"select {_DS}, cast(row_number() over (order by ordinal) as integer) as rank, o.name, median, q25, q75,"
       " greatest(mn, q25-1.5*(q75-q25)) as whisker_low, least(mx, q75+1.5*(q75-q25)) as whisker_high from ostat o join"

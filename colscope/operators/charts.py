@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope.functions import numeric as N
-from colscope.operators.longform import by_position, columns_of, pos
+from colscope.operators.missing import co_missing, co_missing_pairs  # noqa: F401  CH11
 
 MISSING_BANDS = ((50, "critical"), (20, "high"), (5, "medium"))
 
@@ -139,16 +139,6 @@ def missing_pattern(counts: DataFrame, k: int | None = None) -> DataFrame:
         "dataset", "rank", "name", "missing_pct", N.bands(F.col("missing_pct"), MISSING_BANDS, "low").alias("band"))
 
 
-def co_missing(df: DataFrame, dataset: str = "", columns=None) -> DataFrame:
-    """CH11: rows per set of columns that are missing together; counted before anything is shuffled."""
-    names = [
-        F.when((N.as_double(pos(c), c.dtype) if c.family == "float" else pos(c)).isNull(), F.lit(c.name))
-        for c in columns_of(df, columns)
-    ]
-    return by_position(df).select(F.array_join(F.array_compact(F.array(*names)), "+").alias("missing_together")).groupBy(
-        "missing_together").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(dataset).alias("dataset"), "missing_together", "rows")
-
-
 def box_plots(quartiles: DataFrame, k: int | None = None) -> DataFrame:
     """CH12: median, quartiles and whiskers of the numeric columns."""
     return _top(quartiles.where("q25 is not null and q75 is not null"), ["ordinal"], k).select(
