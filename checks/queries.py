@@ -22,6 +22,7 @@ from colscope.operators import quantiles as Q, recommend as RC, requestlog as RL
 from colscope.operators.longform import columns_of, schema_table
 from colscope.plans.analysis import Analysis
 from colscope.plans.catalogue import Catalogue
+from colscope.plans.slices import Slices
 from colscope.schemas import as_finding, union_all
 from colscope.sources import csvfiles, uploads as UP
 from colscope.sources.tables import REVERSAL_COLUMNS, dirty_orders, nan_to_null, read_table, reversal_orders, spread_orders
@@ -44,6 +45,7 @@ def query(key: str, fn: Query, sql: str | None = None, replace: dict | None = No
 
 def fresh() -> None:
     _memo.clear()
+    _sliced.clear()
 
 
 def dirty(spark: SparkSession, folder: str) -> DataFrame:
@@ -962,3 +964,82 @@ query("catalogue_overview", _overview, " union all ".join(
     f"select dataset, max(rows) as rows, count(*) as columns, cast(sum(missing_count) as bigint) as missing_cells,"
     f" round(cast(sum(missing_count) as double)/(max(rows)*count(*))*100,2) as missing_percentage from ({sql_counts(t)}) group by dataset"
     for t in CATALOGUE))
+
+# ---- many datasets in one plan: fourteen tables, most of them cut into a dataset per value of some columns
+
+SLICED_BY = {"customer": ("c_nationkey",), "supplier": ("s_nationkey",), "part": ("p_brand",), "orders": ("o_orderpriority",),
+             "lineitem": ("l_returnflag", "l_linestatus"), "events": ("event_type",), "documents": ("lang", "source"), "conversations": ("role",)}
+#: Types of the columns of COLS: integer, float, text, date, other.
+KINDS = {"region": "it", "nation": "iti", "customer": "itift", "supplier": "itif", "part": "itttif", "orders": "iitfdt", "lineitem": "iiiiffffttd",
+         "events": "iditft", "documents": "ittti", "embeddings": "ioi", "pages": "itt", "benchmark": "it", "labels": "iii", "conversations": "iitt"}
+_sliced: dict[tuple[str, str], Slices] = {}
+
+
+def S(spark: SparkSession, folder: str) -> Slices:
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _sliced:
+        _sliced[key] = Slices({t: read_table(spark, folder, t) for t in TABLES}, SLICED_BY)
+    return _sliced[key]
+
+
+def _slice_columns(kinds: str):
+    """(table, dataset as SQL, ordinal, column, kind) of every column that no table is cut by."""
+    for t in TABLES:
+        ds = "concat_ws('/', " + ", ".join([f"'{t}'", *[f"coalesce(cast({c} as varchar), 'None')" for c in SLICED_BY.get(t, ())]]) + ")"
+        for i, (c, kind) in enumerate(zip(COLS[t].split(", "), KINDS[t], strict=True)):
+            if kind in kinds and c not in SLICED_BY.get(t, ()):
+                yield t, ds, i, c, kind
+
+
+_num = "kind in ('i', 'f')"
+SLICE_CTE = {
+    "counts": " union all ".join(
+        f"select {ds} as dataset, {i} as ordinal, '{c}' as name, '{kind}' as kind, count(*) as rows, count(*) - count({c}) as missing_count,"
+        f" count(distinct {c}) as unique_count from {t} group by 1" for t, ds, i, c, kind in _slice_columns("iftdo")),
+    "info": "select dataset, max(rows) as rows, count(*) as columns, cast(sum(missing_count) as bigint) as missing_cells,"
+            " round(cast(sum(missing_count) as double)/(max(rows)*count(*))*100, 2) as missing_percentage from counts group by dataset",
+    "feat": f"select * from counts where {_num} and not ({book.any_of('name', K.ID_KEYWORDS)} or (rows > missing_count and unique_count = rows - missing_count))",
+    "hist": " union all ".join(f"select {ds} as dataset, {i} as ordinal, cast({c} as varchar) as v, count(*) as cnt from {t} group by 1, 3"
+                               for t, ds, i, c, _ in _slice_columns("iftdo")),
+    "targets": f"""select dataset, ordinal, unique_count as n_classes, case when unique_count <= 10 then 'classification' else 'regression' end as task_type from (
+        select *, case when {book.any_of('name', K.TARGET_KEYWORDS)} then 3 else 0 end + case when ordinal = max(ordinal) over (partition by dataset) then 1 else 0 end
+          + case when {_num} and unique_count = 2 then 2 when {_num} and unique_count <= 10 then 1 else 0 end
+          + case when kind = 't' and unique_count <= 10 then 2 else 0 end as score from counts)
+        where score >= 2 qualify row_number() over (partition by dataset order by score desc, ordinal) = 1""",
+    "tasks": "select dataset, coalesce(task_type, 'classification') as task_type from info left join targets using (dataset)",
+    "nlong": "select n.* from (" + " union all ".join(
+        f"select {ds} as dataset, row_number() over () as rid, {i} as ordinal, cast({c} as double) as v from {t}"
+        for t, ds, i, c, _ in _slice_columns("if")) + ") n join feat using (dataset, ordinal) where v is not null",
+    "imb": "select dataset, true as yes from hist join targets using (dataset, ordinal) where n_classes <= 20 group by dataset having max(cnt)/cast(sum(cnt) as double) >= 0.85",
+    "mc": "select distinct dataset, true as yes from (" + " union all ".join(
+        f"select {ds} as dataset, {i} as i, {j} as j, count(*) filter (where {a} is not null and {b} is not null) as n, stddev_pop({a}) filter (where {b} is not null) as sa,"
+        f" stddev_pop({b}) filter (where {a} is not null) as sb, try(corr({a}, {b})) as r from {t} group by 1"
+        for t, ds, i, a, _ in _slice_columns("if") for u, _, j, b, _ in _slice_columns("if") if t == u and i < j) + """) p
+        where n >= 3 and sa > 1e-9 and sb > 1e-9 and abs(r) >= 0.95 and exists (select 1 from feat f where f.dataset = p.dataset and f.ordinal = p.i)
+          and exists (select 1 from feat f where f.dataset = p.dataset and f.ordinal = p.j)""",
+    "outl": """select distinct dataset, true as yes from (select dataset, ordinal from nlong join (
+          select dataset, ordinal, quantile_disc(v, 0.25) as a, quantile_disc(v, 0.75) as b, count(*) as nn from nlong group by 1, 2) using (dataset, ordinal)
+        where nn >= 10 and a <> b group by dataset, ordinal having 100.0*sum(case when v < a-3*(b-a) or v > b+3*(b-a) then 1 else 0 end)/count(*) >= 5)""",
+    "skew": """select distinct dataset, true as yes from (select dataset, ordinal, avg(power(v-mu,3))/nullif(power(avg(power(v-mu,2)),1.5),0) as s
+        from (select *, avg(v) over (partition by dataset, ordinal) as mu from nlong) group by 1, 2) where abs(s) > 2 and abs(s) <= 50""",
+    "traits": """select dataset, rows as n_rows, columns as n_cols, coalesce(imb.yes,false) as has_imbalance, coalesce(mc.yes,false) as has_multicollinearity,
+        coalesce(outl.yes,false) as has_outliers, missing_percentage > 5 as has_missing, missing_percentage as missing_pct, rows > 50000 as is_large, rows < 500 as is_small,
+        columns > 50 as is_high_dimensional, texts > coalesce(numbers,0) as has_categoricals, coalesce(skew.yes,false) as has_skewed
+      from info join (select dataset, count(*) filter (where kind='t') as texts from counts group by 1) using (dataset)
+        left join (select dataset, count(*) as numbers from feat group by 1) using (dataset) left join imb using (dataset) left join mc using (dataset)
+        left join outl using (dataset) left join skew using (dataset)""",
+    "mscore": book.CTE["mscore"].replace("select task_type", "select dataset, task_type", 1).replace("from models, traits, tasks where", "from models, traits join tasks using (dataset) where"),
+    "mrank": book.CTE["mrank"].replace("over (order by", "over (partition by dataset order by"),
+    "pick": book.CTE["pick"].replace("select ", "select dataset, ", 1) + " group by dataset",
+}
+_shares = ", ".join(f"round({c}_count*100.0::double/rows,2) as {c}_pct" for c in ("missing", "unique"))
+query("catalogue_sliced_counts", lambda s, d: S(s, d).counts,
+      f"select dataset, ordinal, name, rows, missing_count, unique_count, {_shares} from counts", SLICE_CTE)
+query("catalogue_sliced_tasks", lambda s, d: S(s, d).tasks, "select dataset, task_type from tasks", SLICE_CTE)
+query("catalogue_sliced_traits", lambda s, d: S(s, d).traits, "select * from traits", SLICE_CTE)
+query("catalogue_sliced_models",
+      lambda s, d: S(s, d).recommendation.select("dataset", "task_type", "primary_model", "confidence", joined("reasoning", "; "),
+                                                 F.array_join(F.transform("alternatives", lambda a: a["model"]), ", ").alias("alternatives")),
+      "select * from pick", SLICE_CTE)
+query("catalogue_sliced_findings", lambda s, d: S(s, d).findings.select("dataset", "type", "severity", "column", "action_priority", "headline"))
+query("catalogue_sliced_summary", lambda s, d: S(s, d).summary.join(S(s, d).health, "dataset"))

@@ -61,13 +61,19 @@ def column_counts(df: DataFrame, dataset: str = "", columns=None, approximate: b
             F.approx_count_distinct("v", 0.02).alias("unique_count"),
         ).select(ordinal_of(F.col("o")).alias("ordinal"), "rows", "missing_count", "unique_count")
     else:
-        stats = histogram(df, columns).groupBy("ordinal").agg(
-            F.sum("cnt").alias("rows"),
-            F.sum(F.when(is_null_bucket(), F.col("cnt")).otherwise(0)).alias("missing_count"),
-            F.count_if(~is_null_bucket()).alias("unique_count"),
-        )
+        stats = histogram(df, columns).groupBy("ordinal").agg(*count_sums())
+    return with_shares(_named(df, stats, dataset, columns))
+
+
+def count_sums() -> list[Column]:
+    """Rows, nulls and distinct values from value counts."""
+    return [F.sum("cnt").alias("rows"), F.sum(F.when(is_null_bucket(), F.col("cnt")).otherwise(0)).alias("missing_count"),
+            F.count_if(~is_null_bucket()).alias("unique_count")]
+
+
+def with_shares(named: DataFrame) -> DataFrame:
     n = F.greatest(F.col("rows"), F.lit(1))
-    return _named(df, stats, dataset, columns).select(
+    return named.select(
         "dataset", "ordinal", "name",
         *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("rows", "missing_count", "unique_count")],
         F.coalesce(N.pct(F.col("missing_count"), n), F.lit(0.0)).alias("missing_pct"),
@@ -139,27 +145,23 @@ def moments(df: DataFrame, dataset: str = "", columns=None, exclude=()) -> DataF
     if not cols:
         return local_table(df.sparkSession, [], "dataset string, ordinal int, name string, rows bigint, nn bigint, inf_count bigint, mean double,"
                 " std double, min double, max double, zeros bigint, negatives bigint, skewness double, kurtosis double")
+    stats = long_numeric(df, cols).groupBy("o").agg(*moment_sums()).withColumn("ordinal", ordinal_of(F.col("o"))).drop("o")
+    return finite_moments(_named(df, stats, dataset, [c.name for c in cols]))
+
+
+def moment_sums() -> list[Column]:
+    """Aggregates of a numeric value v; finite values alone make the moments."""
     v, fin = F.col("v"), N.finite(F.col("v"))
-    stats = long_numeric(df, cols).groupBy("o").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count(v).alias("nn"),
-        F.count_if(N.is_inf(v)).alias("inf_count"),
-        F.avg(fin).alias("mean"),
-        F.stddev_samp(fin).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.count_if(v == 0).alias("zeros"),
-        F.count_if(v < 0).alias("negatives"),
-        F.skewness(fin).alias("skewness"),
-        F.kurtosis(fin).alias("kurtosis"),
-    )
+    return [F.count(F.lit(1)).alias("rows"), F.count(v).alias("nn"), F.count_if(N.is_inf(v)).alias("inf_count"), F.avg(fin).alias("mean"),
+            F.stddev_samp(fin).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count_if(v == 0).alias("zeros"),
+            F.count_if(v < 0).alias("negatives"), F.skewness(fin).alias("skewness"), F.kurtosis(fin).alias("kurtosis")]
+
+
+def finite_moments(named: DataFrame) -> DataFrame:
+    """Moments are null where there are infinities, counts never are."""
     clean = F.col("inf_count") == 0
-    stats = stats.withColumns({m: F.when(clean, F.col(m)) for m in ("mean", "std", "skewness", "kurtosis")})
-    stats = stats.withColumn("ordinal", ordinal_of(F.col("o"))).drop("o")
-    named = _named(df, stats, dataset, [c.name for c in cols])
-    return named.withColumns({
-        c: F.coalesce(F.col(c), F.lit(0)) for c in ("rows", "nn", "inf_count", "zeros", "negatives")
-    })
+    return named.withColumns({m: F.when(clean, F.col(m)) for m in ("mean", "std", "skewness", "kurtosis")}).withColumns({
+        c: F.coalesce(F.col(c), F.lit(0)) for c in ("rows", "nn", "inf_count", "zeros", "negatives")})
 
 
 def numeric_profile(m: DataFrame) -> DataFrame:
@@ -211,22 +213,22 @@ def text_profile(df: DataFrame, dataset: str = "", columns=None) -> DataFrame:
         return local_table(df.sparkSession, [], "dataset string, ordinal int, name string, nn bigint, avg_length double, whitespace_issues bigint,"
                 " disguised_missing bigint, numeric_like bigint, ymd bigint, dmy bigint, mixed_type boolean,"
                 " is_datetime boolean")
+    stats = long_text(df, cols).groupBy("o").agg(*text_sums()).withColumn("ordinal", ordinal_of(F.col("o"))).drop("o")
+    return judged_text(_named(df, stats, dataset, [c.name for c in cols]))
+
+
+def text_sums() -> list[Column]:
+    """Aggregates of a text v."""
     v = F.col("v")
-    stats = long_text(df, cols).groupBy("o").agg(
-        F.count(v).alias("nn"),
-        F.avg(F.char_length(v)).alias("avg_length"),
-        F.count_if(X.strip(v) != v).alias("whitespace_issues"),
-        F.count_if(X.is_disguised_missing(v)).alias("disguised_missing"),
-        F.count_if(X.looks_numeric(v)).alias("numeric_like"),
-        F.count_if(X.is_ymd(v)).alias("ymd"),
-        F.count_if(X.is_dmy(v)).alias("dmy"),
-    )
-    stats = stats.withColumn("ordinal", ordinal_of(F.col("o"))).drop("o")
+    return [F.count(v).alias("nn"), F.avg(F.char_length(v)).alias("avg_length"), F.count_if(X.strip(v) != v).alias("whitespace_issues"),
+            F.count_if(X.is_disguised_missing(v)).alias("disguised_missing"), F.count_if(X.looks_numeric(v)).alias("numeric_like"),
+            F.count_if(X.is_ymd(v)).alias("ymd"), F.count_if(X.is_dmy(v)).alias("dmy")]
+
+
+def judged_text(named: DataFrame) -> DataFrame:
     counts = ("nn", "whitespace_issues", "disguised_missing", "numeric_like", "ymd", "dmy")
     share = N.ratio(F.col("numeric_like"), F.col("nn"))
-    return _named(df, stats, dataset, [c.name for c in cols]).withColumns({
-        c: F.coalesce(F.col(c), F.lit(0)) for c in counts
-    }).withColumns({
+    return named.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts}).withColumns({
         "avg_length": F.round("avg_length", 4),
         "mixed_type": F.coalesce((share > 0.1) & (share < 0.9), F.lit(False)),
         "is_datetime": (F.col("nn") > 0) & ((F.col("ymd") == F.col("nn")) | (F.col("dmy") == F.col("nn"))),
