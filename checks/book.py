@@ -545,9 +545,9 @@ def _deps(text: str, names) -> list[str]:
     return [n for n in names if n in words]
 
 
-def sql(select: str, replace: dict[str, str] | None = None) -> str:
-    """WITH clause of everything the statement refers to, directly or not, then the statement."""
-    cte = CTE | (replace or {})
+def sql(select: str, replace: dict[str, str] | None = None, book: dict[str, str] | None = None) -> str:
+    """WITH clause of everything the statement refers to, directly or not, then the statement; `book` stands in for CTE."""
+    cte = (CTE if book is None else book) | (replace or {})
     need: set[str] = set()
 
     def visit(text: str, out: list[str]) -> None:

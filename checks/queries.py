@@ -37,10 +37,10 @@ NOW = "timestamp '2024-01-20 12:00:00'"
 _memo: dict[tuple[str, str], Analysis] = {}
 
 
-def query(key: str, fn: Query, sql: str | None = None, replace: dict | None = None) -> None:
+def query(key: str, fn: Query, sql: str | None = None, replace: dict | None = None, own: dict | None = None) -> None:
     QUERIES[key] = fn
     if sql is not None:
-        ORACLES[key] = book.sql(sql, replace)
+        ORACLES[key] = book.sql(sql, replace, own)
 
 
 def fresh() -> None:
@@ -993,6 +993,7 @@ def _slice_columns(kinds: str):
 
 _num = "kind in ('i', 'f')"
 SLICE_CTE = {
+    "models": book.CTE["models"],
     "counts": " union all ".join(
         f"select {ds} as dataset, {i} as ordinal, '{c}' as name, '{kind}' as kind, count(*) as rows, count(*) - count({c}) as missing_count,"
         f" count(distinct {c}) as unique_count from {t} group by 1" for t, ds, i, c, kind in _slice_columns("iftdo")),
@@ -1013,7 +1014,7 @@ SLICE_CTE = {
     "imb": "select dataset, true as yes from hist join targets using (dataset, ordinal) where n_classes <= 20 group by dataset having max(cnt)/cast(sum(cnt) as double) >= 0.85",
     "mc": "select distinct dataset, true as yes from (" + " union all ".join(
         f"select {ds} as dataset, {i} as i, {j} as j, count(*) filter (where {a} is not null and {b} is not null) as n, stddev_pop({a}) filter (where {b} is not null) as sa,"
-        f" stddev_pop({b}) filter (where {a} is not null) as sb, try(corr({a}, {b})) as r from {t} group by 1"
+        f" stddev_pop({b}) filter (where {a} is not null) as sb, corr({a}, {b}) as r from {t} group by 1"
         for t, ds, i, a, _ in _slice_columns("if") for u, _, j, b, _ in _slice_columns("if") if t == u and i < j) + """) p
         where n >= 3 and sa > 1e-9 and sb > 1e-9 and abs(r) >= 0.95 and exists (select 1 from feat f where f.dataset = p.dataset and f.ordinal = p.i)
           and exists (select 1 from feat f where f.dataset = p.dataset and f.ordinal = p.j)""",
@@ -1034,12 +1035,12 @@ SLICE_CTE = {
 }
 _shares = ", ".join(f"round({c}_count*100.0::double/rows,2) as {c}_pct" for c in ("missing", "unique"))
 query("catalogue_sliced_counts", lambda s, d: S(s, d).counts,
-      f"select dataset, ordinal, name, rows, missing_count, unique_count, {_shares} from counts", SLICE_CTE)
-query("catalogue_sliced_tasks", lambda s, d: S(s, d).tasks, "select dataset, task_type from tasks", SLICE_CTE)
-query("catalogue_sliced_traits", lambda s, d: S(s, d).traits, "select * from traits", SLICE_CTE)
+      f"select dataset, ordinal, name, rows, missing_count, unique_count, {_shares} from counts", own=SLICE_CTE)
+query("catalogue_sliced_tasks", lambda s, d: S(s, d).tasks, "select dataset, task_type from tasks", own=SLICE_CTE)
+query("catalogue_sliced_traits", lambda s, d: S(s, d).traits, "select * from traits", own=SLICE_CTE)
 query("catalogue_sliced_models",
       lambda s, d: S(s, d).recommendation.select("dataset", "task_type", "primary_model", "confidence", joined("reasoning", "; "),
                                                  F.array_join(F.transform("alternatives", lambda a: a["model"]), ", ").alias("alternatives")),
-      "select * from pick", SLICE_CTE)
+      "select * from pick", own=SLICE_CTE)
 query("catalogue_sliced_findings", lambda s, d: S(s, d).findings.select("dataset", "type", "severity", "column", "action_priority", "headline"))
 query("catalogue_sliced_summary", lambda s, d: S(s, d).summary.join(S(s, d).health, "dataset"))
