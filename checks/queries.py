@@ -21,7 +21,6 @@ from colscope.operators import charts as CH, findings as FN, history as HX, mlst
 from colscope.operators import quantiles as Q, recommend as RC, requestlog as RL, stats as ST, targets as TG, textjobs as TX
 from colscope.operators.longform import columns_of, schema_table
 from colscope.plans.analysis import Analysis
-from colscope.plans.catalogue import Catalogue
 from colscope.plans.slices import Slices
 from colscope.schemas import as_finding, union_all
 from colscope.sources import csvfiles, uploads as UP
@@ -32,7 +31,6 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations")
-CATALOGUE = ("customer", "supplier", "part", "orders", "lineitem", "events", "labels")
 NOW = "timestamp '2024-01-20 12:00:00'"
 _memo: dict[tuple[str, str], Analysis] = {}
 
@@ -957,13 +955,13 @@ query("tx4_prompt_fingerprint", lambda s, d: read_table(s, d, "conversations").s
 
 
 def _overview(s, d):
-    return Catalogue({t: read_table(s, d, t) for t in CATALOGUE}).overview()
+    return Slices({t: read_table(s, d, t) for t in TABLES}).info
 
 
 query("catalogue_overview", _overview, " union all ".join(
     f"select dataset, max(rows) as rows, count(*) as columns, cast(sum(missing_count) as bigint) as missing_cells,"
     f" round(cast(sum(missing_count) as double)/(max(rows)*count(*))*100,2) as missing_percentage from ({sql_counts(t)}) group by dataset"
-    for t in CATALOGUE))
+    for t in TABLES))
 
 # ---- many datasets in one plan: fourteen tables, most of them cut into a dataset per value of some columns
 
