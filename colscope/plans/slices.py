@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from colscope.functions import numeric as N
 from colscope.functions.session import local_table, settle, side_by_side
 from colscope.operators import findings as FN, profile as P, quality as QI, recommend as RC, stats as ST, targets as TG
-from colscope.operators.gram import gram_sums, pearson
+from colscope.operators.gram import PASS_BYTES, SUMS, TILE, gram_sums, pearson
 from colscope.operators.longform import ColumnInfo, by_position, columns_of, ordinal_of, pos, typed_cell
 from colscope.plans.analysis import CLASS_LIMIT
 from colscope.schemas import union_all
@@ -137,7 +137,10 @@ class Slices:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        """Correlations of all pairs in every dataset; a table is read once for all of its datasets."""
+        """Correlations of all pairs in every dataset.
+
+        A table is read once for all of its datasets, as long as their sums fit PASS_BYTES in a task; otherwise once for each band of datasets that fits.
+        """
         middle, sizes = {}, {}
         for r in self._measures.groupBy("t", "ordinal").agg(F.avg("mean").alias("mean"), F.count_distinct("dataset").alias("n")).collect():
             middle.setdefault(r["t"], {})[r["ordinal"]], sizes[r["t"]] = r["mean"], r["n"]
@@ -150,8 +153,12 @@ class Slices:
             keyed = by_position(df).withColumn(str(last), self._dataset(name, df))
             cut = next(c for c in columns_of(keyed) if c.ordinal == last)
             label = F.array(*[F.lit(n) for n in df.columns])
-            parts.append(gram_sums(keyed, cols, middle[t], [(cut, sizes[t])]).where("kind = 'group'").select(
-                F.col("value").alias("dataset"), "i", "j", label[F.col("i")].alias("col_a"), label[F.col("j")].alias("col_b"), F.col("n").cast("bigint").alias("n"), pearson().alias("r")))
+            bands = -(-sizes[t] * len(SUMS) * 8 * min(TILE, len(cols)) * len(cols) // PASS_BYTES)
+            for band in range(bands):
+                some = keyed if bands == 1 else keyed.where(F.pmod(F.hash(F.col(f"`{last}`")), F.lit(bands)) == band)
+                parts.append(gram_sums(some, cols, middle[t], [(cut, -(-sizes[t] // bands))]).where("kind = 'group'").select(
+                    F.col("value").alias("dataset"), "i", "j", label[F.col("i")].alias("col_a"), label[F.col("j")].alias("col_b"),
+                    F.col("n").cast("bigint").alias("n"), pearson().alias("r")))
         empty = local_table(self.tables[0][1].sparkSession, [], ST.PAIR_DDL)
         found = reduce(DataFrame.unionByName, parts) if parts else empty
         numeric = self.features.where("role = 'numeric'").select("dataset", "ordinal")

@@ -48,3 +48,12 @@ def test_whole_tables_and_an_empty_one(spark, folder):
     tables = {t: read_table(spark, folder, t) for t in ("nation", "supplier")}
     some = Slices(tables | {"none": spark.createDataFrame([], "a int, b string")})
     assert {r["dataset"]: (r["rows"], r["columns"]) for r in some.info.collect()} == {t: (df.count(), len(df.columns)) for t, df in tables.items()}
+
+
+def test_datasets_in_bands(spark, table, monkeypatch):
+    """Where the sums of all datasets are too large for a task, bands of them give the same pairs."""
+    from colscope.plans import slices
+
+    whole = sorted(map(str, Slices({"t": table}, {"t": ("part",)}).pairs.collect()))
+    monkeypatch.setattr(slices, "PASS_BYTES", 600)
+    assert whole and sorted(map(str, Slices({"t": table}, {"t": ("part",)}).pairs.collect())) == whole
