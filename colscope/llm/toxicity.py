@@ -2,8 +2,9 @@
 
 Weights. For each word, and each word-initial piece of 3 to 8 letters, the log-odds of standing in a toxic rather than a clean
 document, with a Dirichlet prior that follows its overall frequency; documents, not occurrences, are counted, and of a group of near
-copies one counts, so that neither long nor copied documents make a word look toxic. A word or piece is listed when its
-log-odds less some standard errors are clearly positive, and that lower bound is its score. A word of many documents
+copies one counts, so that neither long nor copied documents make a word look toxic. A word or piece is listed when the lower
+end of its log-odds' likelihood interval is clearly positive, and that lower bound is its score; the interval holds also where no
+clean document has the word, which is the clearest case and the one in which standard errors grow without limit. A word of many documents
 scores for itself; a rarer one as the strongest of itself and its pieces, which are counted over rare words only: inflected forms that
 are each too rare back off to what they share. Any other word scores the (negative)
 log ratio of not being listed.
@@ -41,7 +42,7 @@ TRAIN_ROWS = 40_000
 #: One in so many training documents calibrates; the others give the weights.
 CALIBRATE = 4
 #: Weight of the Dirichlet prior, toxic documents that a listed word needs, and words listed by chance (over all words
-#: that are tested), from which the number of standard errors taken off follows.
+#: that are tested), from which the width of the intervals follows.
 PRIOR, LEAST, BY_CHANCE = 20.0, 4, 0.5
 #: Lower bound of the log-odds from which on a word is listed: weaker words say what a text is about, not that it is toxic.
 LEAST_ODDS = 0.7
@@ -215,16 +216,36 @@ def word_scores(training: DataFrame) -> tuple[dict[str, float], frozenset, int,
     clean = {r["feature"]: r["n"] for r in table(0, own, frozenset(toxic)).collect()}
     tested |= {f: (clean.get(f, 0), c1) for f, c1 in toxic.items()}
     z = NormalDist().inv_cdf(1 - BY_CHANCE / max(2, len(tested)))
-    scores = {}
-    for f, (c0, c1) in tested.items():
-        if c0 + c1 == n0 + n1 or c1 < LEAST:
-            continue
-        prior = PRIOR * (c0 + c1) / (n0 + n1)
-        odds = math.log((c1 + prior) / (n1 + PRIOR - c1 - prior)) - math.log((c0 + prior) / (n0 + PRIOR - c0 - prior))
-        bound = odds - z * math.sqrt(1 / (c1 + prior) + 1 / (c0 + prior))
-        if bound > LEAST_ODDS:
-            scores[f] = bound
-    return scores, own, n0, n1
+    tested = {f: (c0, c1) for f, (c0, c1) in tested.items() if c0 + c1 < n0 + n1 and c1 >= LEAST}
+    if not tested:
+        return {}, own, n0, n1
+    c0, c1 = np.array(list(tested.values()), float).T
+    prior = PRIOR * (c0 + c1) / (n0 + n1)
+    bound = least_odds(c0 + prior, c1 + prior, n0 + PRIOR, n1 + PRIOR, z)
+    return {f: b for f, b in zip(tested, bound.tolist()) if b > LEAST_ODDS}, own, n0, n1
+
+
+def least_odds(c0: np.ndarray, c1: np.ndarray, n0: float, n1: float, z: float) -> np.ndarray:
+    """Lower ends of the likelihood intervals (z wide) of the log-odds ratios of c1 in n1 against c0 in n0; 0 where that isn't positive.
+
+    For a ratio r the likeliest share p of n0 solves n1 r p / (1 + (r - 1) p) + n0 p = c0 + c1; the ratio is too low while the
+    deviance from the observed shares is over z * z.
+    """
+    def too_low(odds: np.ndarray) -> np.ndarray:
+        r = np.exp(odds)
+        a, b = n0 * (r - 1), n1 * r + n0 - (c0 + c1) * (r - 1)
+        p = 2 * (c0 + c1) / (b + np.sqrt(b * b + 4 * a * (c0 + c1)))
+        q = r * p / (1 + (r - 1) * p)
+        deviance = 2 * sum(x * np.log(x / y) for x, y in ((c0, n0 * p), (n0 - c0, n0 * (1 - p)), (c1, n1 * q), (n1 - c1, n1 * (1 - q))))
+        return deviance > z * z
+
+    high = np.maximum(0.0, np.log(c1 / (n1 - c1)) - np.log(c0 / (n0 - c0)))
+    low = np.zeros(len(high))
+    for _ in range(50):
+        mid = (low + high) / 2
+        far = too_low(mid)
+        low, high = np.where(far, mid, low), np.where(far, high, mid)
+    return low
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:

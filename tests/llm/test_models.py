@@ -99,6 +99,18 @@ def test_inflected_insults_back_off_to_their_stem(spark, words):
     assert "grum" not in model.scores and model.score("grum") == 0 < model.score("grumbozzz")
 
 
+def test_toxicity_of_words_that_no_clean_document_has(spark, words):
+    """Rare next to all documents, but in toxic ones alone: the clearest words there are."""
+    insults = [f"{a}zzat" for a in "klmnpqrs"]
+    rows = [(0, words(12, i)) for i in range(3000)] + [(1, words(12, -1 - i) + " " + insults[i % 8]) for i in range(64)]
+    scores, *_ = toxicity.word_scores(spark.createDataFrame(rows, "toxic int, text string").repartition(4))
+    assert set(insults) <= set(scores) and all(w.rstrip("*") in {i[:k] for i in insults for k in range(3, 9)} for w in scores)
+    # many of both: as by standard errors; none among the clean: the deviance of the total alone; too few
+    got = toxicity.least_odds(np.array([400.0, 1e-9, 1e-9]), np.array([300.0, 30.0, 3.0]), 36000.0, 4000.0, 4.0)
+    assert got[0] == pytest.approx(math.log(300 / 3700) - math.log(400 / 35600) - 4 * math.sqrt(1 / 400 + 1 / 300), abs=0.05)
+    assert got[1] == pytest.approx(math.log(9) - math.log(math.exp(16 / 60) - 1), abs=0.05) and got[2] == 0
+
+
 def test_toxicity_of_a_very_long_and_of_repeated_texts(spark, toxic):
     docs, labels = toxic
     model = toxicity.fit(docs, labels)
