@@ -7,7 +7,8 @@ company in all its buckets), not with each other; links make components, and onl
 while that would leave many open pairs, and then pair by pair across components, so that no link is lost and the pairs
 of a large group are never all made. Pairs whose signatures agree in fewer than 72 of 128 places, or (pair by pair) in fewer than
 1,712 of 2,048 places of one bit, are not verified: a pair of similarity 0.75 fails either less often than the banding. The bits are
-compared inside the join, so a bucket's pairs that are far apart never leave it.
+compared inside the join, so a bucket's pairs that are far apart never leave it, and so are the bands: a pair leaves the first
+bucket that it shares, and no other.
 """
 
 from __future__ import annotations
@@ -61,10 +62,11 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 BIT_WORDS = [f"w{i}" for i in range(WIDE // 64)]
+BAND_WORDS = [f"g{i}" for i in range(BANDS)]
 
 
 def wide_bits(grams: DataFrame) -> DataFrame:
-    """node and one bit of each of WIDE places as 64-bit numbers, settled. grams: of the nodes in open buckets."""
+    """node, one bit of each of WIDE places and the bands as 64-bit numbers, settled. grams: node, grams and signature of the nodes in open buckets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -72,13 +74,14 @@ def wide_bits(grams: DataFrame) -> DataFrame:
                 part = b.iloc[at: at + 256]
                 marks = signatures([np.frombuffer(g, np.uint64) for g in part["grams"]], WIDE)
                 packed = np.packbits((marks & 1).astype(bool), axis=1).view(np.int64)
-                yield pd.DataFrame({"node": part["node"].to_numpy(), **{w: packed[:, i] for i, w in enumerate(BIT_WORDS)}})
+                bands = np.frombuffer(b"".join(part["signature"]), np.int64).reshape(len(part), BANDS)
+                yield pd.DataFrame({"node": part["node"].to_numpy(), **{w: packed[:, i] for i, w in enumerate(BIT_WORDS)}, **{g: bands[:, i] for i, g in enumerate(BAND_WORDS)}})
 
-    return settle(grams.mapInPandas(run, "node long, " + ", ".join(f"{w} long" for w in BIT_WORDS)), "wide")
+    return settle(grams.mapInPandas(run, "node long, " + ", ".join(f"{w} long" for w in BIT_WORDS + BAND_WORDS)), "wide")
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
-    """key, node for each band of each node."""
+    """key, band, node for each band of each node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -86,9 +89,10 @@ def band_keys(nodes: DataFrame) -> DataFrame:
                 rows = np.frombuffer(b"".join(b["signature"]), np.uint64).reshape(len(b), BANDS)
                 mixed = rows * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
                 mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                yield pd.DataFrame({"key": (mixed ^ (mixed >> np.uint64(32))).view(np.int64).reshape(-1), "node": np.repeat(b["node"].to_numpy(), BANDS)})
+                yield pd.DataFrame({"key": (mixed ^ (mixed >> np.uint64(32))).view(np.int64).reshape(-1), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(b)),
+                                    "node": np.repeat(b["node"].to_numpy(), BANDS)})
 
-    return nodes.select("node", "signature").mapInPandas(run, "key long, node long")
+    return nodes.select("node", "signature").mapInPandas(run, "key long, band int, node long")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -119,16 +123,30 @@ def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return settle(both.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long"), "verified")
 
 
+def open_pairs(parts: DataFrame, nodes: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """node_x, node_y of the pairs across components that share a bucket and are near by size and bits: each once, from the first band it shares.
+
+    parts: key, band, node, root of open buckets; any bucket that a pair across components shares is open.
+    """
+    known = parts.join(nodes.select("node", "n"), "node").join(bits, "node")
+    one, two = (known.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("band", "node", "root", "n", *BIT_WORDS, *BAND_WORDS)]) for side in "xy")
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in BIT_WORDS])
+    size = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+    first = reduce(lambda found, i: found.when(F.col(f"{BAND_WORDS[i]}_x") == F.col(f"{BAND_WORDS[i]}_y"), i), range(BANDS), F)
+    near = (F.col("root_x") < F.col("root_y")) & size & (apart <= WIDE_APART) & (first == F.col("band_x"))
+    return one.join(two, (one["key"] == two["key"]) & near).select("node_x", "node_y")
+
+
 def links_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """node, root of every linked node but the roots. nodes: node, doc_id, thash, n, signature."""
     keys = band_keys(nodes)
     buckets = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    shared = settle(keys.join(buckets, "key").select("key", "node", "held"), "shared")
+    shared = settle(keys.join(buckets, "key").select("key", "band", "node", "held"), "shared")
     # the text that a group's copies were made from shares the most bands with them: it is the centre that most of them are linked with
     weights = shared.groupBy("node").agg(F.sum("held").alias("weight"))
     weighted = shared.select("key", "node").join(weights, "node")
     hubs = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("hub")).select("key", (-F.col("hub.m")).alias("centre"))
-    members = settle(shared.select("key", "node").join(hubs, "key"), "members")
+    members = settle(shared.select("key", "band", "node").join(hubs, "key"), "members")
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "thash")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("thash", F.xxhash64("text"))
     # of rows that repeat identifier and text, any is as good
@@ -156,7 +174,7 @@ def links_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     turn, before = 0, None
     while True:
         roots = components(found)
-        labelled = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        labelled = members.select("key", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
         parts = labelled.join(split, "key")
         parts = settle(parts, "open")
@@ -165,13 +183,8 @@ def links_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
         if not nodes_open:
             return roots
         if pairs_open <= OPEN_PAIRS * nodes_open or (before is not None and pairs_open > 0.9 * before):
-            bits = wide_bits(grams.join(parts.select("node").distinct(), "node", "left_semi"))
-            known = parts.join(nodes.select("node", "n"), "node").join(bits, "node")
-            one, two = (known.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", *BIT_WORDS)]) for side in "xy")
-            apart = reduce(Column.__add__, [F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in BIT_WORDS])
-            size = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-            pairs = one.join(two, (one["key"] == two["key"]) & (F.col("root_x") < F.col("root_y")) & size & (apart <= WIDE_APART))
-            rest = pairs.select(*as_pairs("node_x", "node_y")).distinct().join(tried, ["a", "b"], "left_anti")
+            bits = wide_bits(grams.join(parts.select("node").distinct(), "node", "left_semi").join(nodes.select("node", "signature"), "node"))
+            rest = open_pairs(parts, nodes, bits, percent).select(*as_pairs("node_x", "node_y")).join(tried, ["a", "b"], "left_anti")
             found = settle(found.union(verified(likely(rest), grams, percent)), "found")
             return components(found)
         before, turn = pairs_open, turn + 1

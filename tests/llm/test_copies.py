@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colscope.llm import exactdedup, fingerprints, neardedup, passages, sharding
 from colscope.llm.components import components
@@ -208,3 +209,21 @@ def test_queries_whole_tables(spark, folder):
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     assert sorted(r.doc_id for r in shards) == ids
     assert all(r["size"] == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id]) and r.grown_shard is None for r in shards)
+
+
+def test_open_pairs_are_made_once(spark):
+    """A pair leaves one of the buckets it shares, and none that is near enough stays behind."""
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(60):
+        rng = random.Random(i)
+        texts.append(" ".join(f"odd{rng.random()}" if rng.random() < 0.015 else w for w in base))
+    sets = [shingles(t, WordHashes()) for t in texts]
+    marks = signatures(sets)
+    nodes = spark.createDataFrame([(i, len(s), m.tobytes(), s.tobytes()) for i, (s, m) in enumerate(zip(sets, marks))], "node long, n long, signature binary, grams binary").repartition(3)
+    parts = neardedup.band_keys(nodes).withColumn("root", F.col("node") % 50)
+    got = [(min(r), max(r)) for r in neardedup.open_pairs(parts, nodes, neardedup.wide_bits(nodes.select("node", "grams", "signature")), 75).collect()]
+    bits, bands = signatures(sets, neardedup.WIDE) & 1, marks.view("uint64")
+    shared = {(a, b): int((bands[a] == bands[b]).sum()) for a in range(60) for b in range(a + 1, 60)
+              if a % 50 != b % 50 and (bits[a] != bits[b]).sum() <= neardedup.WIDE_APART and 100 * min(len(sets[a]), len(sets[b])) >= 75 * max(len(sets[a]), len(sets[b]))}
+    assert sorted(got) == sorted(p for p, n in shared.items() if n) and max(shared.values()) > 1
