@@ -5,8 +5,8 @@ Documents with the same shingle set are one node, so exact copies cost nothing b
 5e-6. In each bucket (nodes with the same band) the nodes are compared with the bucket's centre (the node with the most
 company in all its buckets), not with each other; links make components, and only buckets that still hold more than one component are looked at again: with other centres
 while that would leave many open pairs, and then pair by pair across components, so that no link is lost and the pairs
-of a large group are never all made. Pairs whose signatures agree in fewer than 72 of 128 places, or (pair by pair) in fewer than
-1,712 of 2,048 places of one bit, are not verified: a pair of similarity 0.75 fails either less often than the banding. The bits are
+of a large group are never all made. Pairs with a centre whose signatures agree in fewer than 72 of 128 places, and pairs across components that
+agree in fewer than 1,712 of 2,048 places of one bit, are not verified: a pair of similarity 0.75 fails either less often than the banding. The bits are
 compared inside the join, so a bucket's pairs that are far apart never leave it, and so are the bands: a pair leaves the first
 bucket that it shares, and no other.
 """
@@ -185,7 +185,7 @@ def links_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
         if pairs_open <= OPEN_PAIRS * nodes_open or (before is not None and pairs_open > 0.9 * before):
             bits = wide_bits(grams.join(parts.select("node").distinct(), "node", "left_semi").join(nodes.select("node", "signature"), "node"))
             rest = open_pairs(parts, nodes, bits, percent).select(*as_pairs("node_x", "node_y")).join(tried, ["a", "b"], "left_anti")
-            found = settle(found.union(verified(likely(rest), grams, percent)), "found")
+            found = settle(found.union(verified(rest, grams, percent)), "found")
             return components(found)
         before, turn = pairs_open, turn + 1
         centres = parts.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn), "node")).alias("centre"))
