@@ -26,6 +26,16 @@ def settle(df: DataFrame, stem: str = "llm") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch. A worker holds a batch's texts several times over (as Arrow, as strings, as what is made of them) and keeps
+#: that memory for the next task, and the JVM holds a batch for each running task; Spark's own limit is 64 MB.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark) -> None:
+    """From now on the session's Python tasks get batches of at most BATCH_BYTES. It stays set, as what an operator returns is computed later."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def whole_text(name: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from colscope.llm.common import documents, filled, free_name, settle, whole_text
 from colscope.llm.components import components
+from colscope.llm.suffixtree import bit_map
 from colscope.llm.superminhash import PLACES, WordHashes, shingles, signatures, similar
 from colscope.llm.tokens import portions
 
@@ -95,18 +96,32 @@ def band_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInPandas(run, "key long, band int, node long")
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """node and its sorted shingle hashes as bytes, settled: made once, however many pairs a node is in."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node and its sorted shingle hashes as bytes, settled: made once, however many pairs a node is in. wanted: node, doc_id, thash.
+
+    Texts are not shuffled: a bit map tells nearly all rows that aren't wanted where they are read, and the join drops the others.
+    """
+    key = F.xxhash64("thash", "doc_id").alias("key")
+    wanted = settle(wanted.select("node", "doc_id", "thash", key), "wanted")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for b in filled(batches):
+            b = b[shared.value.holds(b["key"].to_numpy())]
             at = 0
             for some in portions(b["text"]):
-                yield pd.DataFrame({"node": b["node"].to_numpy()[at: at + len(some)], "grams": [shingles(t, known).tobytes() for t in some]})
+                part = b.iloc[at: at + len(some)]
                 at += len(some)
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "thash": part["thash"].to_numpy(), "grams": [shingles(t, known).tobytes() for t in some]})
 
-    return settle(texts.mapInPandas(run, "node long, grams binary"), "grams")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("thash", F.xxhash64("text"))
+    sets = slim.select("doc_id", "thash", "text", key).mapInPandas(run, "doc_id long, thash long, grams binary")
+    found = sets.alias("d").join(wanted.alias("w"), (F.col("d.thash") == F.col("w.thash")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
+    # of rows that repeat identifier and text, any is as good
+    grams = settle(found.select("node", "grams").dropDuplicates(["node"]), "grams")
+    shared.unpersist()
+    return grams
 
 
 def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
@@ -148,10 +163,7 @@ def links_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     hubs = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("hub")).select("key", (-F.col("hub.m")).alias("centre"))
     members = settle(shared.select("key", "band", "node").join(hubs, "key"), "members")
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "thash")
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("thash", F.xxhash64("text"))
-    # of rows that repeat identifier and text, any is as good
-    grams = shingle_sets(slim.alias("d").join(wanted.alias("w"), (F.col("d.thash") == F.col("w.thash")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-                   .select("node", "text").dropDuplicates(["node"]))
+    grams = shingle_sets(docs, wanted, id_col, text_col)
     sizes = nodes.select("node", "n", "signature")
 
     @F.pandas_udf("boolean")

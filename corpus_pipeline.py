@@ -1,39 +1,57 @@
 """From raw documents to packed sequences: toxicity, exact copies, near copies, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last return the
-columns of documents. run() writes every stage's rows to the shared folder and reads them back for the next.
+columns of documents. run() writes every stage's rows to the shared folder and reads them back for the next. Executors keep
+their Python workers from stage to stage, so all stages work on small Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.llm import exactdedup, neardedup, packing, passages, toxicity
-from colscope.llm.common import documents, settle
+from colscope.llm.common import documents, settle, small_batches
+
+
+def in_small_batches(stage: Callable) -> Callable:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@in_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; the model is learnt from the labelled ones among docs."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, documents(spark, sf_dir, "labels")))
 
 
+@in_small_batches
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest doc_id."""
     return exactdedup.drop_copies(docs)
 
 
+@in_small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id."""
     return neardedup.drop_near_copies(docs)
 
 
+@in_small_batches
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that stand earlier; n_chars follows the text."""
     cut = passages.remove_passages(docs)
     return cut.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids in sequences of at most 2048."""
     return packing.pack_documents(docs)

@@ -227,3 +227,30 @@ def test_open_pairs_are_made_once(spark):
     shared = {(a, b): int((bands[a] == bands[b]).sum()) for a in range(60) for b in range(a + 1, 60)
               if a % 50 != b % 50 and (bits[a] != bits[b]).sum() <= neardedup.WIDE_APART and 100 * min(len(sets[a]), len(sets[b])) >= 75 * max(len(sets[a]), len(sets[b]))}
     assert sorted(got) == sorted(p for p, n in shared.items() if n) and max(shared.values()) > 1
+
+
+def test_shingle_sets_without_texts_in_a_shuffle(spark, tmp_path, monkeypatch):
+    """Sets are made where texts are read: what is joined and written holds no text, and only the wanted rows are in it."""
+    rows = [(i if i % 9 else None, f"one two three four five six {i // 2}") for i in range(60)] + [(3, "one two three four five six 1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = docs.where("doc_id is null or doc_id % 5 = 0").select(F.monotonically_increasing_id().alias("node"), "doc_id", F.xxhash64("text").alias("thash"))
+    seen, plain = [], neardedup.settle
+    monkeypatch.setattr(neardedup, "settle", lambda df, stem="llm": (seen.append(df), plain(df, stem))[1])
+    got = {r.node: r.grams for r in neardedup.shingle_sets(docs, neardedup.settle(wanted), "doc_id", "text").collect()}
+    assert len(got) == wanted.count() and set(got.values()) <= {shingles(t, WordHashes()).tobytes() for _, t in rows}
+    plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan[: plan.index("MapInPandas")] and "MapInPandas" in plan[plan.index("Join"):]
+
+
+def test_pipeline_stages_keep_arrow_batches_small(spark):
+    """Executors keep their Python workers from stage to stage; a batch of any stage is bounded by bytes, not by Spark's 64 MB."""
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a text of its own"), (2, "another text " * 1500), (3, None)], "doc_id long, text string")
+    for step, stage in corpus_pipeline.STAGES[1:]:
+        spark.conf.set(name, "64m")
+        stage(spark, docs, "").count()
+        assert spark.conf.get(name) == "8m", step
+    spark.conf.set(name, before)
