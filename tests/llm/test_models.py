@@ -205,6 +205,31 @@ def test_scores_against_the_tree(spark, words, monkeypatch):
         assert {i: got[i][2] for i in want} == pytest.approx(want)
 
 
+def test_tokens_hashed_side_by_side():
+    """Equal words have equal hashes, others not, of any length and beside any white space; words over LONG bytes alone are looked up."""
+    odd = ["", None, "  a B\tc\x0bd\x0c ", "Straße ŒUVRE x A b", "y" * 63 + " " + "Y" * 64 + " " + "z" * 65 + " " + "z" * 200, "abcdefgh abcdefghi\r\nabcdefg \0 \0\0", "\xa0 \x85 \x1c ab", " ", "ab"]
+    plain = [[*(t or "").encode().lower().split(), b""] for t in odd]
+    known = suffixtree.WordHashes()
+    hashes, text = suffixtree.tokens_of(odd, known)
+    assert text.tolist() == [i for i, words in enumerate(plain) for _ in words] and set(known) == {b"", b"z" * 65, b"z" * 200}
+    pairs = set(zip((w for words in plain for w in words), hashes.tolist(), strict=True))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    assert [len(x) for x in suffixtree.tokens_of([], known)] == [0, 0]
+
+
+def test_scores_leave_only_what_they_read(spark, folder):
+    """Tables of a length go when the next ones stand, and all of them before texts are scored."""
+    from pathlib import Path
+
+    from colscope.functions.session import shared_folder
+
+    place = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(place.iterdir())
+    scored = QUERIES["op8_score"](spark, folder)
+    left = sorted(p.name.split("-")[0] for p in set(place.iterdir()) - before)
+    assert left == ["terms", "words"] and scored.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
 PAGES = [
     ("<html><head><title>t</title><script>var a='<p>x</p>';</script></head><body><nav><a href=/>home</a> <a href=/b>b</a></nav><div class=\"ad\">Buy now please.</div>"
      "<article><h1>A &amp; B</h1><p><b>First  part<br>of it.<p>Second\npart here, with &eacute;.</article><footer>&copy; us</footer></body></html>",
