@@ -217,6 +217,90 @@ def test_tokens_hashed_side_by_side():
     assert [len(x) for x in suffixtree.tokens_of([], known)] == [0, 0]
 
 
+def plain_tree(texts):
+    """For each length the kept contexts (as tuples of words) of a tree that counts every sequence, without pruning."""
+    docs = [[*t.lower().split(), ""] for t in texts]
+    count = lambda k: Counter(tuple(d[i: i + k]) for d in docs for i in range(len(d) - k + 1))
+    words = count(1)
+    tokens = sum(words.values())
+    shorter = {w: (n, (n + 1) / (tokens + len(words) + 1)) for w, n in words.items() if n >= 3}
+    found = []
+    while True:
+        following = {}
+        for q, n in count(len(found) + 2).items():
+            if n >= 3:
+                following.setdefault(q[:-1], []).append((q, n))
+        kept, longer = set(), {}
+        for s, some in following.items():
+            held, t = shorter[s][0], len(some)
+            less = [shorter[q[1:]][1] for q, _ in some]
+            prob = [(n + t * b) / (held + t) for (_, n), b in zip(some, less)]
+            longer |= {q: (n, p) for (q, n), p in zip(some, prob)}
+            left = max(1e-12, 1 - sum(prob)) / max(1e-12, 1 - sum(less))
+            gain = sum(n * math.log(p / b) for (_, n), p, b in zip(some, prob, less)) + (held - sum(n for _, n in some)) * math.log(left)
+            if gain > t * math.log(held) / 2:
+                kept.add(s)
+        if not kept:
+            break
+        found.append(kept)
+        shorter = longer
+    for below, above in reversed(list(zip(found, found[1:]))):
+        below |= {s[1:] for s in above}
+    return found
+
+
+def copied_texts():
+    """Families of texts whose last words are decided 1 to 30 words before, and long copies, among other texts."""
+    rng = random.Random(8)
+    some = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    texts = [some(30) for _ in range(40)]
+    for far in range(1, 31):
+        passage = some(far)
+        texts += [f"{some(2)} {'left' if i % 2 else 'right'} {passage} {'up' if i % 2 else 'down'} {some(3)}" for i in range(8)]
+    return texts + [some(50)] * 3
+
+
+def test_tree_against_all_counts(spark):
+    """Long contexts are grown from windows, and closed ones aren't grown: the tree is that of all counts, its terms those of its walk."""
+    texts = copied_texts()
+    want = plain_tree(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    group = "colscope-tree"
+    spark.sparkContext.setJobGroup(group, group)
+    tree, counts = suffixtree.fit(df)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tree.depth == len(want) >= 30 and jobs < 5 * tree.depth  # lengths share their jobs
+    known = suffixtree.WordHashes()
+
+    def key(s):
+        word, doc = suffixtree.tokens_of([" ".join(s)], known)
+        return int(list(suffixtree.sequences_of(word[:-1], doc[:-1], len(s)))[-1][0][-1])
+
+    assert [set(level.contexts[level.kept].tolist()) for level in tree.levels] == [{key(s) for s in some} for some in want]
+    got = {r.doc_id: r.score for r in suffixtree.score(df, tree, counts).collect()}
+    for i in range(40, len(texts), 41):
+        word, doc = suffixtree.tokens_of([texts[i]], known)
+        total = 0.0
+        for k in range(len(word)):
+            context, depth = 0, 0
+            for d, level in enumerate(tree.levels, 1):
+                if k < d:
+                    break
+                at = int(suffixtree.find(level.contexts, list(suffixtree.sequences_of(word[:k], doc[:k], d))[-1][0][-1:])[0])
+                if at >= 0 and level.kept[at]:
+                    context, depth = at, d
+            place = suffixtree.find(tree.head, word[k: k + 1])
+            if place[0] < 0:  # a rare word: the root's probability times the share of every kept suffix
+                p = math.log10(counts.where(f"word = {word[k]}").first()["n"] + 1) - tree.log_total
+                while depth:
+                    p, context, depth = p + tree.levels[depth - 1].back[context], int(tree.levels[depth - 1].suffix[context]), depth - 1
+            else:
+                p = float(suffixtree.log_next(tree, depth, np.array([context]), place)[0])
+            total += p
+        assert got[i] == pytest.approx(total)
+
+
 def test_scores_leave_only_what_they_read(spark, folder):
     """Tables of a length go when the next ones stand, and all of them before texts are scored."""
     from pathlib import Path
