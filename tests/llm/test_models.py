@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colscope.llm import htmltext, suffixtree, toxicity
 from colscope.llm.queries import QUERIES
@@ -301,6 +302,36 @@ def test_tree_against_all_counts(spark):
         assert got[i] == pytest.approx(total)
 
 
+def test_groups_are_bounded(spark, monkeypatch):
+    """Windows of one very common context are grown in many tasks, contexts are marked in groups of a bounded size, and the tree stays the same."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(600):
+        a, b, c = (f"m{rng.randrange(12)}" for _ in range(3))
+        texts.append(f"{a} {b} of the {a}{b} {c}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of, the = (suffixtree.tokens_of([t], suffixtree.WordHashes())[0][:1] for t in ("of", "the"))
+    common, at = int(suffixtree.mixed(of, the)[0]), suffixtree.TEXT_PASSES
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a file for each task that has rows
+    found = []
+    try:
+        for size, marked in ((suffixtree.GROUP_BYTES, suffixtree.MARKED), (1 << 10, 50)):
+            monkeypatch.setattr(suffixtree, "GROUP_BYTES", size)
+            monkeypatch.setattr(suffixtree, "MARKED", marked)
+            tree, counts = suffixtree.fit(df)
+            sequences, contexts = tree.tables[at]
+            longer = contexts.where((F.col("depth") == at + 1) & (F.col("s") == common)).select(F.col("key").alias("p"))
+            files = sequences.withColumn("file", F.input_file_name()).join(longer, "p").select("file").distinct().count()
+            scores = sorted((r.doc_id, round(r.score, 6)) for r in suffixtree.score(df, tree, counts).collect())
+            found.append((longer.count(), scores, [(x.contexts[x.kept].tolist(), x.next.tolist(), x.next_log.round(9).tolist()) for x in tree.levels], files))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    (contexts, *same, one), (*others, many) = found
+    assert contexts >= 8 and others == [contexts, *same]
+    assert one == 1 and many > 2
+
+
 def test_scores_leave_only_what_they_read(spark, folder):
     """Tables of a length go when the next ones stand, and all of them before texts are scored."""
     from pathlib import Path
