@@ -57,3 +57,22 @@ def test_datasets_in_bands(spark, table, monkeypatch):
     whole = sorted(map(str, Slices({"t": table}, {"t": ("part",)}).pairs.collect()))
     monkeypatch.setattr(slices, "PASS_BYTES", 600)
     assert whole and sorted(map(str, Slices({"t": table}, {"t": ("part",)}).pairs.collect())) == whole
+
+
+def test_no_column_is_counted_twice(spark, table, monkeypatch, tmp_path):
+    """Classes are counted of the columns that may be targets alone; outliers are the same whether bounds are sent to all tasks or joined."""
+    from colscope.plans import slices
+
+    table.write.parquet(f"{tmp_path}/t")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    plans, keep = [], slices.settle
+    both = Slices({"t": read, "u": read.select("n", "twice")}, {"t": ("part",)})
+    assert both.features.count() and both.target_scores.count()
+    monkeypatch.setattr(slices, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    assert {"label_text", "padded"} <= {r["name"] for r in both.class_counts.collect()}
+    assert "ReadSchema" in plans[0] and "label_text" in plans[0] and "spiky" not in plans[0]
+    outliers = sorted(map(str, both.outliers.collect()))
+    monkeypatch.setattr(slices, "SENT_ROWS", 0)
+    assert outliers and sorted(map(str, Slices({"t": read, "u": read.select("n", "twice")}, {"t": ("part",)}).outliers.collect())) == outliers
+    text = Slices({"words": read.select("label_text")})
+    assert text.outliers.count() == 0 and text.traits.count() == 1
