@@ -70,7 +70,7 @@ def test_no_column_is_counted_twice(spark, table, monkeypatch, tmp_path):
     assert both.features.count() and both.target_scores.count()
     monkeypatch.setattr(slices, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
     assert {"label_text", "padded"} <= {r["name"] for r in both.class_counts.collect()}
-    assert "ReadSchema" in plans[0] and "label_text" in plans[0] and "spiky" not in plans[0]
+    assert "ReadSchema" in plans[0] and "label_text" in plans[0] and "twice" not in plans[0]
     outliers = sorted(map(str, both.outliers.collect()))
     monkeypatch.setattr(slices, "SENT_ROWS", 0)
     assert outliers and sorted(map(str, Slices({"t": read, "u": read.select("n", "twice")}, {"t": ("part",)}).outliers.collect())) == outliers
